@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from corroborate.functions.text import let
 
@@ -49,7 +50,7 @@ JOINERS = "[\u200c\u200d]"
 # ----------------------------------------------------------------------------
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in for it."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

@@ -107,10 +107,11 @@ def normalize_text(c: Column) -> Column:
 
 def noise_reason(normalized: Column) -> Column:
     """H2: why a normalized text is noise, or null."""
-    return (
-        F.when(F.coalesce(normalized, F.lit("")) == "", F.lit("empty"))
-        .when(F.char_length(normalized) < MIN_TEXT_CHARS, F.lit("too_short"))
-        .when(matches(normalized, "|".join(NOISE_PATTERNS)), F.lit("promotion_or_advertisement"))
+    return let(
+        normalized,
+        lambda t: F.when(F.coalesce(t, F.lit("")) == "", F.lit("empty"))
+        .when(F.char_length(t) < MIN_TEXT_CHARS, F.lit("too_short"))
+        .when(matches(t, "|".join(NOISE_PATTERNS)), F.lit("promotion_or_advertisement")),
     )
 
 

@@ -175,18 +175,28 @@ def judge_pairs(pairs: DataFrame, judgments: DataFrame) -> DataFrame:
 def veto_pairs(judged: DataFrame, posts: DataFrame) -> DataFrame:
     """Accepted pairs whose explicit places contradict are vetoed.
 
-    Places are found once per post, and only for posts of accepted pairs.
+    Places are found once per post, and only for posts of accepted pairs; both
+    sides of a pair then meet by aggregation.
     """
-    accepted = judged.filter("accepted").select("left_post_id", "right_post_id").distinct()
-    needed = accepted.select(F.explode(F.array("left_post_id", "right_post_id")).alias("post_id")).distinct()
-    places = posts.join(needed, "post_id", "left_semi").select(
-        "post_id", explicit_places(first_non_empty(F.col("normalized_text"), F.col("original_text"))).alias("places")
+    key = ["left_post_id", "right_post_id"]
+    accepted = judged.filter("accepted").select(*key).distinct()
+    sides = accepted.select(*key, F.explode(F.array(*key)).alias("post_id"))
+    text = first_non_empty(F.col("normalized_text"), F.col("original_text"))
+    places = (
+        posts.join(sides.select("post_id"), "post_id", "left_semi")
+        .select("post_id", explicit_places(text).alias("places"))
+        .filter(F.size("places") > 0)
     )
+
+    def side(name: str) -> Column:
+        return F.max(F.when(F.col("post_id") == F.col(name), F.col("places")))
+
     vetoed = (
-        accepted.join(places.toDF("left_post_id", "left_places"), "left_post_id")
-        .join(places.toDF("right_post_id", "right_places"), "right_post_id")
-        .filter(places_contradict(F.col("left_places"), F.col("right_places")))
-        .select("left_post_id", "right_post_id", F.lit(True).alias("_vetoed"))
+        sides.join(places, "post_id")
+        .groupBy(*key)
+        .agg(side("left_post_id").alias("_left"), side("right_post_id").alias("_right"))
+        .filter(places_contradict(F.col("_left"), F.col("_right")))
+        .select(*key, F.lit(True).alias("_vetoed"))
     )
     return (
         judged.join(vetoed, ["left_post_id", "right_post_id"], "left")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corroborate
 from corroborate.config import LIMITS
 
 
@@ -16,8 +18,10 @@ def configure(spark: SparkSession) -> SparkSession:
     Time zone UTC makes instants comparable with ISO text. Adaptive execution
     splits skewed joins and coalesces small shuffle partitions. The group
     limit threshold lets per-key quotas (up to 2,048) be pruned before the
-    shuffle.
+    shuffle. The few Python functions travel by value, so executors need no
+    copy of this package.
     """
+    cloudpickle.register_pickle_by_value(corroborate)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -16,14 +16,22 @@ DESCRIPTIVE = (
 EPOCH = "1970-01-01"
 
 
-def read_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """A4: registry seeds from a JSON array file."""
-    seeds = spark.read.schema(SEEDS).option("multiLine", True).json(path)
+def _registry_columns(seeds: DataFrame) -> DataFrame:
     return seeds.withColumnRenamed("telegram_username", "username").withColumn(
         "public_url", F.concat(F.lit("https://t.me/"), "username")
     )
 
 
+def read_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """A4: registry seeds from a JSON array file."""
+    return _registry_columns(spark.read.schema(SEEDS).option("multiLine", True).json(path))
+
+
+def seeds_from_json(rows: DataFrame, column: str) -> DataFrame:
+    """A4: registry seeds from a column of JSON objects."""
+    return _registry_columns(rows.select(F.from_json(column, SEEDS).alias("s")).select("s.*"))
+
+
 def upsert_sources(current: DataFrame, seeds: DataFrame) -> DataFrame:
     """A5: new keys start inactive; known keys keep activity, health and cursors."""
     fresh = seeds.select("source_key", *[F.col(c).alias(f"_new_{c}") for c in DESCRIPTIVE], F.lit(True).alias("_seeded"))
