@@ -106,33 +106,33 @@ def resolve_proposals(first: DataFrame, correction: DataFrame, batch_posts: Data
     an uncertain singleton with confidence 0. Batches without a first answer do
     not appear: they stay pending.
     """
-    first_ok = validate_proposals(first, batch_posts).filter("code is null").select("batch_id")
-    answered = first.select("batch_id").distinct()
-    second_ok = (
-        validate_proposals(correction, batch_posts)
-        .filter("code is null")
-        .select("batch_id")
-        .join(answered, "batch_id", "left_semi")
-        .join(first_ok, "batch_id", "left_anti")
+    verdicts = validate_proposals(first, batch_posts).select("batch_id", F.col("code").isNull().alias("_first"))
+    second = validate_proposals(correction, batch_posts).select("batch_id", F.col("code").isNull().alias("_second"))
+    choice = verdicts.join(second, "batch_id", "left").select(
+        "batch_id",
+        F.when(F.col("_first"), F.lit("first"))
+        .when(F.coalesce("_second", F.lit(False)), F.lit("correction"))
+        .otherwise(F.lit("fallback"))
+        .alias("_choice"),
     )
-    columns = ["batch_id", "cluster_no", F.sort_array("post_ids").alias("post_ids"), "classification", "confidence"]
-    kept = (
-        first.join(first_ok, "batch_id", "left_semi")
-        .select(*columns)
-        .unionByName(correction.join(second_ok, "batch_id", "left_semi").select(*columns))
-        .withColumn("processing_mode", F.lit(CLUSTERED))
+    answers = first.withColumn("_choice", F.lit("first")).unionByName(
+        correction.select(*first.columns).withColumn("_choice", F.lit("correction"))
     )
-    failed = answered.join(first_ok, "batch_id", "left_anti").join(second_ok, "batch_id", "left_anti")
-    singles = (
-        batch_posts.join(failed, "batch_id", "left_semi")
-        .select(
-            "batch_id",
-            F.col("post_id").alias("cluster_no"),
-            F.array("post_id").alias("post_ids"),
-            F.lit("UNCERTAIN").alias("classification"),
-            F.lit(0.0).alias("confidence"),
-        )
-        .withColumn("processing_mode", F.lit(FAIL_CLOSED))
+    kept = answers.join(choice, ["batch_id", "_choice"], "left_semi").select(
+        "batch_id",
+        "cluster_no",
+        F.sort_array("post_ids").alias("post_ids"),
+        "classification",
+        "confidence",
+        F.lit(CLUSTERED).alias("processing_mode"),
+    )
+    singles = batch_posts.join(choice.filter("_choice = 'fallback'"), "batch_id", "left_semi").select(
+        "batch_id",
+        F.col("post_id").alias("cluster_no"),
+        F.array("post_id").alias("post_ids"),
+        F.lit("UNCERTAIN").alias("classification"),
+        F.lit(0.0).alias("confidence"),
+        F.lit(FAIL_CLOSED).alias("processing_mode"),
     )
     return kept.unionByName(singles)
 

@@ -16,6 +16,7 @@ from corroborate.operators.evidence import (
     verify_events,
 )
 from corroborate.operators.posts import normalize_posts, upsert_raw_posts
+from corroborate.session import cut_lineage
 from corroborate.sources.pages import changed_posts, page_warnings, parse_pages, to_envelopes
 
 
@@ -30,9 +31,14 @@ def ingest(pages: DataFrame, stored: DataFrame, sources: DataFrame) -> tuple[Dat
 def vetted_pairs(
     first: DataFrame, correction: DataFrame, batch_posts: DataFrame, judgments: DataFrame, posts: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Resolved partitions and their judged pairs after the place veto."""
-    resolved = resolve_proposals(first, correction, batch_posts)
-    return resolved, veto_pairs(judge_pairs(proposed_pairs(resolved), judgments), posts)
+    """Resolved partitions and their judged pairs after the place veto.
+
+    Both are read several times further on, so they are materialized once:
+    they hold ids and confidences only, not texts.
+    """
+    resolved = cut_lineage(resolve_proposals(first, correction, batch_posts))
+    judged = cut_lineage(judge_pairs(proposed_pairs(resolved), judgments))
+    return resolved, veto_pairs(judged, posts)
 
 
 def clusters(
