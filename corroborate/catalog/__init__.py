@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text_queries", "ingest_queries", "event_queries", "ops_queries")
+MODULES = ("text_queries", "ingest_queries", "event_queries", "ops_queries", "stream_queries")
 
 
 def load():

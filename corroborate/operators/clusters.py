@@ -334,3 +334,18 @@ def decisions_from_clusters(clusters: DataFrame, posts: DataFrame) -> DataFrame:
             .alias("reason"),
         )
     )
+
+
+def judgments_from(pairs: DataFrame, posts: DataFrame, scorer) -> DataFrame:
+    """K1: judgments made by a user function instead of read from a table.
+
+    ``scorer(left_text, right_text)`` is any column function, for instance a
+    ``pandas_udf``, giving a struct of relationship and confidence. Pairs are
+    bounded by the cluster contract, so scoring is linear in the posts.
+    """
+    text = first_non_empty(F.col("normalized_text"), F.col("original_text"))
+    left = posts.select(F.col("post_id").alias("left_post_id"), text.alias("_left"))
+    right = posts.select(F.col("post_id").alias("right_post_id"), text.alias("_right"))
+    scored = pairs.join(left, "left_post_id").join(right, "right_post_id")
+    scored = scored.withColumn("_judged", scorer(F.col("_left"), F.col("_right")))
+    return scored.select("batch_id", "left_post_id", "right_post_id", "_judged.relationship", "_judged.confidence")

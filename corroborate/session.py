@@ -45,20 +45,25 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
     return configure(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder of its own.
+    Only a local session without that setting gets a temporary folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` in the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
