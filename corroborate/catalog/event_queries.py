@@ -288,9 +288,7 @@ def _(v):
 
 def _evidence(v):
     """Evidence whose rows copy nothing; copies have queries of their own."""
-    rows = V.attach_evidence(v.links, v.posts, v.sources)
-    none = rows.select("event_id", "post_id", F.lit(None).cast("bigint").alias("parent_post_id")).filter("parent_post_id is not null")
-    return V.propagate_origins(rows, none)
+    return V.own_origins(V.attach_evidence(v.links, v.posts, v.sources))
 
 
 def _copied(v, links):

@@ -12,6 +12,7 @@ from corroborate.operators import evaluate as E
 from corroborate.operators import ops as O
 from corroborate.operators import quota as Q
 from corroborate.operators.editorial import score_events
+from corroborate.session import spread
 from corroborate.streaming import rates
 
 # --- quotas ------------------------------------------------------------------
@@ -406,7 +407,7 @@ def _(v):
         )
     )
     body = F.concat(F.lit('{"error":{"attempts":['), attempt, F.lit("]}}"))
-    rows = v.calls.select("call_id", F.explode(gateway_attempts(body)).alias("a"))
+    rows = spread(v.calls).select("call_id", F.explode(gateway_attempts(body)).alias("a"))
     return rows.select("call_id", "a.provider", "a.model", "a.status", "a.error_code")
 
 

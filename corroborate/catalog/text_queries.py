@@ -260,12 +260,14 @@ def _(v):
 def _(v):
     title = caption.fallback_title(F.col("core_fact"))
     body = caption.fallback_description(F.col("core_fact"), F.col("verification_status"), F.col("independent_confirmation_count"))
-    return v.events.select(
-        "event_id",
-        caption.render_caption(
-            title, body, F.col("verification_status"), F.col("independent_confirmation_count"), text.entity_keys(F.col("core_fact"))
-        ).alias("caption"),
+    drafts = v.events.select(
+        "event_id", title.alias("title"), body.alias("body"), "verification_status", "independent_confirmation_count",
+        text.entity_keys(F.col("core_fact")).alias("tags"),
+    )
+    shown = caption.render_caption(
+        F.col("title"), F.col("body"), F.col("verification_status"), F.col("independent_confirmation_count"), F.col("tags")
     )
+    return drafts.select("event_id", shown.alias("caption"))
 
 
 @query(

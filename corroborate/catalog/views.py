@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corroborate.functions.origin import cited_source
 from corroborate.functions.text import noise_reason, normalize_text
 from corroborate.functions.timefn import day_key
-from corroborate.session import configure, small_side, spread
+from corroborate.session import configure, small_side, spread, stored_table
 
 # Phrases appended to the document texts so that keywords, attributions,
 # denials and advertising occur; the last two are empty.
@@ -92,16 +92,24 @@ class Views:
 
     @cached_property
     def posts(self) -> DataFrame:
-        """Posts with clean text, flags, metadata and processing state."""
+        """Posts with clean text, flags, metadata and processing state.
+
+        Most queries start from stored posts, so they are written once per
+        session to the shared folder and scanned from there: columns are
+        pruned and flags pushed down as for any stored table.
+        """
+        return stored_table(self.spark, f"{self.folder}:posts", self._derive_posts)
+
+    def _derive_posts(self) -> DataFrame:
+        clean = self.raw_posts.withColumn("normalized_text", normalize_text(F.col("original_text")))
+        clean = clean.withColumn("noise_reason", noise_reason(F.col("normalized_text")))
         d = F.col("doc_id")
         forwarded = F.when(d % 17 == 0, pick(FORWARDS, div(d, 17) % len(FORWARDS)))
         metadata = F.to_json(
             F.struct(forwarded.alias("forwarded_from"), cited_source(F.col("original_text")).alias("cited_source"))
         )
         return (
-            self.raw_posts.withColumn("normalized_text", normalize_text(F.col("original_text")))
-            .withColumn("noise_reason", noise_reason(F.col("normalized_text")))
-            .withColumns(
+            clean.withColumns(
                 {
                     "metadata": metadata,
                     "is_deleted": d % 29 == 0,

@@ -31,8 +31,12 @@ def status_label(status: Column) -> Column:
 
 def fallback_title(fact: Column) -> Column:
     """The fact as a one-line title."""
-    flat = collapse_spaces(fact)
-    return F.when(F.char_length(flat) <= 140, flat).otherwise(F.concat(F.substring(flat, 1, 137), F.lit("…")))
+    return let(
+        collapse_spaces(fact),
+        lambda flat: F.when(F.char_length(flat) <= 140, flat).otherwise(
+            F.concat(F.substring(flat, 1, 137), F.lit("…"))
+        ),
+    )
 
 
 def fallback_description(fact: Column, status: Column, confirmations: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corroborate.functions.text import IGNORE_CASE, first_non_empty, matches, trim_spaces
+from corroborate.functions.text import first_non_empty, matches, trim_spaces
 
 # --- fixed values -----------------------------------------------------------
 # Markers of the landed page format.
@@ -37,9 +37,8 @@ ENTITIES = (
 
 
 def capture(c: Column, pattern: str) -> Column:
-    """First group of a case-blind match, null when there is none."""
-    full = IGNORE_CASE + pattern
-    return F.when(c.rlike(full), F.regexp_extract(c, full, 1))
+    """First group of a case-blind match, null when there is none or it is empty."""
+    return first_non_empty(F.regexp_extract(c, "(?i)" + pattern, 1))
 
 
 def decode_numeric_entities(c: Column) -> Column:
@@ -81,7 +80,7 @@ def message_text(segment: Column) -> Column:
 
 
 def message_time(segment: Column) -> Column:
-    return first_non_empty(capture(segment, TIME_TAG)).try_cast("timestamp")
+    return capture(segment, TIME_TAG).try_cast("timestamp")
 
 
 def is_edited(segment: Column) -> Column:

@@ -192,8 +192,12 @@ def cross_language(left: Column, right: Column) -> Column:
 
 def ellipsize(c: Column, n: int) -> Column:
     """Collapse blanks, then cut to ``n`` characters with an ellipsis."""
-    flat = collapse_spaces(c)
-    return F.when(F.char_length(flat) > n, F.concat(F.substring(flat, 1, n - 1), F.lit("…"))).otherwise(flat)
+    return let(
+        collapse_spaces(c),
+        lambda flat: F.when(
+            F.char_length(flat) > n, F.concat(F.substring(flat, 1, n - 1), F.lit("…"))
+        ).otherwise(flat),
+    )
 
 
 def truncate_chars(c: Column, n: Column) -> Column:

@@ -11,6 +11,7 @@ from corroborate.functions.text import compact_report
 from corroborate.functions.timefn import window_end, window_start
 from corroborate.operators.blocks import id_block, number_rows, running_sum, time_block
 from corroborate.operators.posts import arrived_at, eligible
+from corroborate.session import cut_lineage
 
 ROW_OVERHEAD = 32
 ARRAY_RESERVE = 10_000
@@ -83,6 +84,7 @@ def pack_windows(
     are chained per window, and the entry that really occurs marks the starts.
     Returns the input with ``batch_sequence`` (0-based in its window).
     """
+    reports = cut_lineage(reports)  # ids and sizes only, read several times below
     placed = number_rows(reports, ["window_end"], ["post_id"], id_block(F.col("post_id")), "position")
     placed = placed.withColumn("_block", F.floor((F.col("position") - 1) / block_rows)).withColumn(
         "_at", ((F.col("position") - 1) % block_rows).cast("int")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corroborate.config import CLASSIFICATIONS, LIMITS
 from corroborate.functions.places import explicit_places, places_contradict
 from corroborate.functions.text import first_non_empty, infer_category
+from corroborate.session import compute_once
 
 # --- fixed values -----------------------------------------------------------
 INVALID = "current_window_proposal_invalid"
@@ -182,11 +183,8 @@ def veto_pairs(judged: DataFrame, posts: DataFrame) -> DataFrame:
     accepted = judged.filter("accepted").select(*key).distinct()
     sides = accepted.select(*key, F.explode(F.array(*key)).alias("post_id"))
     text = first_non_empty(F.col("normalized_text"), F.col("original_text"))
-    places = (
-        posts.join(sides.select("post_id"), "post_id", "left_semi")
-        .select("post_id", explicit_places(text).alias("places"))
-        .filter(F.size("places") > 0)
-    )
+    texts = posts.join(sides.select("post_id"), "post_id", "left_semi").select("post_id", text.alias("text"))
+    places = compute_once(texts, "places", explicit_places(F.col("text"))).filter(F.size("places") > 0)
 
     def side(name: str) -> Column:
         return F.max(F.when(F.col("post_id") == F.col(name), F.col("places")))

@@ -22,6 +22,7 @@ from corroborate.functions.text import (
 )
 from corroborate.operators.blocks import number_rows, running_sum, time_block, top_per_key
 from corroborate.operators.pointers import follow
+from corroborate.session import cut_lineage
 
 EVENT_ORDER = ["attached_at", "post_id"]
 
@@ -105,6 +106,16 @@ def copy_pairs(batch_posts: DataFrame, threshold: float = LIMITS.copy_overlap) -
     )
 
 
+def own_origins(evidence: DataFrame) -> DataFrame:
+    """Origin type and group of evidence rows that copy nothing."""
+    group = F.coalesce(
+        own_origin(F.col("metadata")),
+        default_origin(F.col("is_wire_origin"), F.col("source_key"), F.col("source_id")),
+    )
+    kind = origin_type(F.col("metadata"), F.col("is_wire_origin"), F.col("role"))
+    return evidence.withColumn("origin_type", kind).withColumn("origin_group", group)
+
+
 def propagate_origins(evidence: DataFrame, copies: DataFrame) -> DataFrame:
     """Origin type and group of every evidence row.
 
@@ -113,6 +124,7 @@ def propagate_origins(evidence: DataFrame, copies: DataFrame) -> DataFrame:
     has no origin of its own; following the pointers ends at the row whose
     group everybody on the way inherits.
     """
+    copies = cut_lineage(copies)  # ids only, read several times below
     own = own_origin(F.col("metadata"))
     rows = evidence.join(copies, ["event_id", "post_id"], "left").withColumn("_own", own)
     rows = rows.withColumn(

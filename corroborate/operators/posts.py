@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corroborate.config import LIMITS
 from corroborate.functions.text import first_non_empty, noise_reason, normalize_text, trim_spaces
 from corroborate.functions.timefn import is_stale
+from corroborate.session import compute_once
 
 KEY = ["source_id", "message_id"]
 LEGACY = ("embedding", "embedded", "processing")
@@ -101,9 +102,9 @@ def normalize_posts(posts: DataFrame) -> DataFrame:
         F.col("analysis_content_hash") == F.col("_hash")
     )
     filtered = F.col("is_deleted") | F.col("_reason").isNotNull()
+    clean = compute_once(posts.drop("normalized_text"), "normalized_text", normalize_text(F.col("original_text")))
     return (
-        posts.withColumn("normalized_text", normalize_text(F.col("original_text")))
-        .withColumn("_reason", noise_reason(F.col("normalized_text")))
+        compute_once(clean, "_reason", noise_reason(F.col("normalized_text")))
         .withColumn("_hash", F.sha2("normalized_text", 256))
         .withColumn(
             "_next",
@@ -122,7 +123,7 @@ def normalize_posts(posts: DataFrame) -> DataFrame:
                 "analysis_lease_at": F.when(~F.col("_next").isin("noise", "analyzed"), F.col("analysis_lease_at")),
             }
         )
-        .drop("_reason", "_hash", "_next")
+        .select(*posts.columns)
     )
 
 

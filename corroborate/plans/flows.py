@@ -12,6 +12,7 @@ from corroborate.operators.evidence import (
     copied_from,
     event_facts,
     origin_groups,
+    own_origins,
     propagate_origins,
     verify_events,
 )
@@ -56,12 +57,8 @@ def confirmed_events(links: DataFrame, posts: DataFrame, sources: DataFrame, now
     that repeats one of the thirty before it counts for the origin it copied.
     """
     evidence = attach_evidence(links, posts, sources)
-    copied = (
-        copied_from(evidence)
-        if copies
-        else evidence.select("event_id", "post_id", F.lit(None).cast("bigint").alias("parent_post_id")).filter("false")
-    )
-    verified = verify_events(origin_groups(propagate_origins(evidence, copied)))
+    traced = propagate_origins(evidence, copied_from(evidence)) if copies else own_origins(evidence)
+    verified = verify_events(origin_groups(traced))
     events = event_facts(evidence).join(verified, "event_id").withColumn("event_state", F.lit("active"))
     scored = score_events(events, now)
     return scored.select(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +77,33 @@ def small_side(df: DataFrame, max_rows: int = LIMITS.broadcast_rows) -> DataFram
     return df
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_table(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that is written once per application and then scanned.
+
+    The parquet folder lies in the shared folder, so losing an executor loses
+    nothing of it.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def compute_once(df: DataFrame, name: str, value) -> DataFrame:
+    """``df`` with a column that later filters do not recompute.
+
+    The optimizer copies the expression of a projected column into every
+    filter on it and moves the filter towards the scan. For a costly
+    expression a one-element ``explode`` keeps the value where it is computed.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a scan that has fewer splits than cores.
 
