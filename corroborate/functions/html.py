@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corroborate.functions.text import first_non_empty, matches, trim_spaces
+from corroborate.functions.text import first_non_empty, let, matches, trim_spaces
 
 # --- fixed values -----------------------------------------------------------
 # Markers of the landed page format.
@@ -56,8 +56,11 @@ def decode_numeric_entities(c: Column) -> Column:
         known = piece.rlike(lead) & (number <= 0x10FFFF)
         return F.when(known, F.concat(F.decode(code, "UTF-32"), F.regexp_replace(piece, lead, ""))).otherwise(piece)
 
-    pieces = F.transform(F.split(c, "(?=&#[0-9]+;)"), decoded)
-    return F.when(c.contains("&#"), F.array_join(pieces, "")).otherwise(c)
+    def joined(text: Column) -> Column:
+        pieces = F.transform(F.split(text, "(?=&#[0-9]+;)"), decoded)
+        return F.when(text.contains("&#"), F.array_join(pieces, "")).otherwise(text)
+
+    return let(c, joined)
 
 
 def html_text(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +68,61 @@ def pack_batch(candidates: DataFrame, budget: int, max_rows: int = LIMITS.report
     )
 
 
+def _next_starts(sizes, max_rows: int, max_chars: int) -> list[int]:
+    """For every position, where the batch that starts there ends."""
+    rows, ends, end, total = len(sizes), [], 0, 0
+    for start in range(rows):
+        if end < start:
+            end, total = start, 0
+        while end < rows and end - start < max_rows and (end == start or 2 + total + sizes[end] + (end - start) <= max_chars):
+            total += sizes[end]
+            end += 1
+        ends.append(end)
+        total -= sizes[start]
+    return ends
+
+
+def _block_exits(max_rows, max_chars, block_rows, frames):
+    """Where each possible entry of a block leaves it, counted from its end."""
+    for frame in frames:
+        out = []
+        for sizes in frame["_sizes"]:
+            own = min(block_rows, len(sizes))
+            ends = _next_starts(list(sizes), max_rows, max_chars)
+            exits = []
+            for entry in range(min(max_rows, own)):
+                at = entry
+                while at < own:
+                    at = ends[at]
+                exits.append(at - own)
+            out.append(exits)
+        yield frame[["window_end", "_block"]].assign(_exits=out)
+
+
+def _chain_blocks(frame):
+    """The entry that occurs at each block of one window."""
+    ordered = frame.sort_values("_block")
+    entries, entry = [], 0
+    for exits in ordered["_exits"]:
+        entries.append(entry)
+        entry = int(exits[entry]) if entry < len(exits) else 0
+    return ordered[["window_end", "_block"]].assign(_entry=entries).astype({"_entry": "int32"})
+
+
+def _batch_starts(max_rows, max_chars, block_rows, frames):
+    """Positions of the batch starts of each block."""
+    for frame in frames:
+        rows = []
+        for r in frame.to_dict("records"):
+            own = min(block_rows, len(r["_sizes"]))
+            ends = _next_starts(list(r["_sizes"]), max_rows, max_chars)
+            at = int(r["_entry"])
+            while at < own:
+                rows.append((r["window_end"], r["_block"], at))
+                at = ends[at]
+        yield pd.DataFrame(rows, columns=["window_end", "_block", "_at"]).astype({"_at": "int32", "_block": "int64"})
+
+
 def pack_windows(
     reports: DataFrame,
     max_rows: int = LIMITS.reports_per_batch,
@@ -78,82 +135,34 @@ def pack_windows(
     ``reports`` has window_end, post_id and size (JSON length). A batch ends
     where the next report would overflow, so where a batch starts depends on
     all batches before it. To keep a crowded window out of one task the window
-    is cut into blocks of positions. As a batch never spans more than
-    ``max_rows`` positions, a block can be entered at ``max_rows`` places only:
-    each block is folded once for every entry, the small entry-to-exit tables
-    are chained per window, and the entry that really occurs marks the starts.
-    Returns the input with ``batch_sequence`` (0-based in its window).
+    is cut into blocks of positions, one row of sizes each. As a batch never
+    spans more than ``max_rows`` positions, a block can be entered at
+    ``max_rows`` places only. In windows of several blocks each block is folded
+    once for every entry, and the small entry-to-exit tables are chained per
+    window; other windows are entered at 0. The entry that occurs marks the
+    batch starts. Returns the input with ``batch_sequence`` (0-based).
     """
     reports = cut_lineage(reports)  # ids and sizes only, read several times below
     placed = number_rows(reports, ["window_end"], ["post_id"], id_block(F.col("post_id")), "position")
-    placed = placed.withColumn("_block", F.floor((F.col("position") - 1) / block_rows)).withColumn(
-        "_at", ((F.col("position") - 1) % block_rows).cast("int")
-    )
-    lean = placed.select("window_end", "_block", "_at", "size")
+    block = F.floor((F.col("position") - 1) / block_rows)
+    placed = placed.withColumn("_block", block).withColumn("_at", ((F.col("position") - 1) % block_rows).cast("int"))
+    lean = placed.select("window_end", "_block", "_at", F.col("size").cast("bigint").alias("size"))
     # reports just past the block end, needed to see where its last batch ends
-    spill = (
-        lean.filter(F.col("_at") < max_rows)
-        .filter(F.col("_block") > 0)
-        .select("window_end", (F.col("_block") - 1).alias("_block"), (F.col("_at") + block_rows).alias("_at"), "size")
-    )
-
-    def next_starts(pdf: pd.DataFrame) -> list[int]:
-        sizes = pdf.sort_values("_at")["size"].tolist()
-        rows = len(sizes)
-        ends, end, total = [], 0, 0
-        for start in range(rows):
-            if end < start:
-                end, total = start, 0
-            while end < rows and end - start < max_rows and (end == start or 2 + total + sizes[end] + (end - start) <= max_chars):
-                total += sizes[end]
-                end += 1
-            ends.append(end)
-            total -= sizes[start]
-        return ends
-
-    def exits(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = min(block_rows, len(pdf))
-        ends = next_starts(pdf)
-        out = []
-        for entry in range(min(max_rows, own)):
-            at = entry
-            while at < own:
-                at = ends[at]
-            out.append(at - own if own == block_rows else 0)
-        return pd.DataFrame({"window_end": [key[0]], "_block": [key[1]], "_exits": [out]})
-
-    blocks = lean.unionByName(spill)
-    tables = blocks.groupBy("window_end", "_block").applyInPandas(
-        exits, "window_end timestamp, _block bigint, _exits array<int>"
+    spill = lean.filter((F.col("_at") < max_rows) & (F.col("_block") > 0)).select(
+        "window_end", (F.col("_block") - 1).alias("_block"), (F.col("_at") + block_rows).alias("_at"), "size"
     )
-
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("_block")
-        entries, entry = [], 0
-        for table in ordered["_exits"]:
-            entries.append(entry)
-            entry = int(table[entry]) if entry < len(table) else 0
-        return pd.DataFrame({"window_end": key[0], "_block": ordered["_block"].to_numpy(), "_entry": entries})
-
-    entries = tables.groupBy("window_end").applyInPandas(chain, "window_end timestamp, _block bigint, _entry int")
-
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = min(block_rows, len(pdf))
-        ends = next_starts(pdf)
-        marks, at = [], int(pdf["_entry"].iloc[0])
-        while at < own:
-            marks.append(at)
-            at = ends[at]
-        return pd.DataFrame(
-            {"window_end": pdf["window_end"].iloc[0], "_block": pdf["_block"].iloc[0], "_at": marks}
-        ).astype({"_at": "int32"})
-
-    marks = (
-        blocks.join(entries, ["window_end", "_block"])
-        .groupBy("window_end", "_block")
-        .applyInPandas(starts, "window_end timestamp, _block bigint, _at int")
-        .withColumn("_start", F.lit(1).cast("bigint"))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "size")))
+    sizes = F.transform(ordered, lambda x: x["size"])
+    blocks = lean.unionByName(spill).groupBy("window_end", "_block").agg(sizes.alias("_sizes"))
+    several = blocks.filter("_block = 1").select("window_end")
+    tables = blocks.join(several, "window_end", "left_semi").mapInPandas(
+        partial(_block_exits, max_rows, max_chars, block_rows), "window_end timestamp, _block bigint, _exits array<int>"
     )
+    entries = tables.groupBy("window_end").applyInPandas(_chain_blocks, "window_end timestamp, _block bigint, _entry int")
+    entered = blocks.join(entries, ["window_end", "_block"], "left").withColumn("_entry", F.coalesce("_entry", F.lit(0)))
+    marks = entered.mapInPandas(
+        partial(_batch_starts, max_rows, max_chars, block_rows), "window_end timestamp, _block bigint, _at int"
+    ).withColumn("_start", F.lit(1).cast("bigint"))
     marked = placed.join(marks, ["window_end", "_block", "_at"], "left").withColumn(
         "_start", F.coalesce("_start", F.lit(0).cast("bigint"))
     )

@@ -54,35 +54,41 @@ def copied_from(
     same event before it whose token overlap reaches ``threshold``.
 
     Rows are numbered per event in blocks, then cut into runs of ``lookback``
-    positions: a row can only look into its own run and the one before, so an
-    equi-join on (event, run) sees at most two runs, however large the event.
-    Sizes are compared before the token sets are.
+    positions. A row can only look into its own run and the one before, so
+    each row is sent to its run and, as context, to the next one: a group
+    holds at most two runs however large the event is, texts are tokenized
+    once, and one shuffle does it. Sizes are compared before the token sets.
     """
     rows = evidence.select("event_id", "post_id", "attached_at", tokens(F.col("text")).alias("tokens"))
     placed = number_rows(rows, ["event_id"], EVENT_ORDER, time_block(F.col("attached_at")), "position")
-    placed = placed.withColumn("run", F.floor((F.col("position") - 1) / lookback))
-    later = placed.select(
-        "event_id",
-        F.explode(F.array("run", F.col("run") - 1)).alias("run"),
-        "post_id",
-        "position",
-        F.col("tokens").alias("_tokens"),
+    run = F.floor((F.col("position") - 1) / lookback)
+    targets = F.array(
+        F.struct(run.alias("run"), F.lit(True).alias("mine")), F.struct((run + 1).alias("run"), F.lit(False).alias("mine"))
     )
-    earlier = placed.select(
-        "event_id",
-        "run",
-        F.col("post_id").alias("parent_post_id"),
-        F.col("position").alias("_position"),
-        F.col("tokens").alias("_parent_tokens"),
+    sent = placed.filter(F.size("tokens") > 0).select("event_id", "post_id", "position", "tokens", F.explode(targets).alias("t"))
+    groups = sent.groupBy("event_id", "t.run").agg(
+        F.collect_list(F.struct("position", "post_id", "tokens", "t.mine")).alias("rows")
     )
-    distance = F.col("position") - F.col("_position")
-    matched = (
-        later.join(earlier, ["event_id", "run"])
-        .filter(distance.between(1, lookback))
-        .filter(within_size_ratio(F.size("_tokens"), F.size("_parent_tokens"), threshold))
-        .filter(set_overlap(F.col("_tokens"), F.col("_parent_tokens")) >= threshold)
+
+    def latest_parent(row: Column, others: Column) -> Column:
+        distance = lambda other: row["position"] - other["position"]
+        near = F.filter(
+            others,
+            lambda other: distance(other).between(1, lookback)
+            & within_size_ratio(F.size(row["tokens"]), F.size(other["tokens"]), threshold)
+            & (set_overlap(row["tokens"], other["tokens"]) >= threshold),
+        )
+        return F.array_max(F.transform(near, lambda other: F.struct(other["position"], other["post_id"].alias("post_id"))))
+
+    found = F.transform(
+        F.filter("rows", lambda row: row["mine"]),
+        lambda row: F.struct(row["post_id"].alias("post_id"), latest_parent(row, F.col("rows"))["post_id"].alias("parent_post_id")),
+    )
+    return (
+        groups.select("event_id", F.explode(found).alias("f"))
+        .select("event_id", "f.post_id", "f.parent_post_id")
+        .filter("parent_post_id is not null")
     )
-    return matched.groupBy("event_id", "post_id").agg(F.max_by("parent_post_id", "_position").alias("parent_post_id"))
 
 
 def copy_pairs(batch_posts: DataFrame, threshold: float = LIMITS.copy_overlap) -> DataFrame:
@@ -124,27 +130,30 @@ def propagate_origins(evidence: DataFrame, copies: DataFrame) -> DataFrame:
     has no origin of its own; following the pointers ends at the row whose
     group everybody on the way inherits.
     """
-    copies = cut_lineage(copies)  # ids only, read several times below
+    key = ["event_id", "post_id"]
     own = own_origin(F.col("metadata"))
-    rows = evidence.join(copies, ["event_id", "post_id"], "left").withColumn("_own", own)
-    rows = rows.withColumn(
-        "_group",
-        F.coalesce("_own", default_origin(F.col("is_wire_origin"), F.col("source_key"), F.col("source_id"))),
+    fallback = default_origin(F.col("is_wire_origin"), F.col("source_key"), F.col("source_id"))
+    rows = evidence.select(*key, own.alias("_own"), fallback.alias("_default")).join(copies, key, "left")
+    # ids and origins without texts, read several times below
+    rows = cut_lineage(
+        rows.select(*key, "parent_post_id", F.col("_own").isNotNull().alias("_declared"), F.coalesce("_own", "_default").alias("_group"))
     )
-    inherits = rows.filter("parent_post_id is not null and _own is null")
-    roots = follow(inherits, ["event_id"], "post_id", "parent_post_id").select("event_id", "post_id", F.col("last").alias("_root"))
+    inherits = rows.filter("parent_post_id is not null and not _declared")
+    roots = follow(inherits, ["event_id"], "post_id", "parent_post_id").select(*key, F.col("last").alias("_root"))
     groups = rows.select("event_id", F.col("post_id").alias("_root"), F.col("_group").alias("_root_group"))
+    traced = (
+        rows.join(roots, key, "left")
+        .join(groups, ["event_id", "_root"], "left")
+        .select(*key, "parent_post_id", F.coalesce("_root_group", "_group").alias("origin_group"))
+    )
     kind = origin_type(F.col("metadata"), F.col("is_wire_origin"), F.col("role"))
     copied = F.col("parent_post_id").isNotNull()
     return (
-        rows.join(roots, ["event_id", "post_id"], "left")
-        .join(groups, ["event_id", "_root"], "left")
+        evidence.join(traced, key)
         .withColumn("origin_type", kind)
-        .withColumn("origin_group", F.coalesce("_root_group", "_group"))
         .withColumn("relationship_confidence", relationship_confidence(copied, F.col("origin_type")))
         .withColumn("dependency_reason", F.when(copied, F.lit("strong_lexical_copy_relationship")))
         .withColumn("supports_core_fact", ~refutes(F.col("text")))
-        .drop("_own", "_group", "_root", "_root_group")
     )
 
 
