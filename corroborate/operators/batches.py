@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,18 +108,23 @@ def _chain_blocks(frame):
     return ordered[["window_end", "_block"]].assign(_entry=entries).astype({"_entry": "int32"})
 
 
-def _batch_starts(max_rows, max_chars, block_rows, frames):
-    """Positions of the batch starts of each block."""
-    for frame in frames:
-        rows = []
-        for r in frame.to_dict("records"):
-            own = min(block_rows, len(r["_sizes"]))
-            ends = _next_starts(list(r["_sizes"]), max_rows, max_chars)
-            at = int(r["_entry"])
-            while at < own:
-                rows.append((r["window_end"], r["_block"], at))
-                at = ends[at]
-        yield pd.DataFrame(rows, columns=["window_end", "_block", "_at"]).astype({"_at": "int32", "_block": "int64"})
+def _batch_starts(sizes: Column, entry: Column, own: Column, max_rows: int, max_chars: int) -> Column:
+    """Positions of the batch starts of a block that is entered at ``entry``."""
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("chars"), F.lit(0).alias("held"), entry.alias("at"), F.array().cast("array<int>").alias("starts")
+    )
+
+    def step(acc: Column, size: Column) -> Column:
+        full = (acc["held"] >= max_rows) | (2 + acc["chars"] + size + acc["held"] > max_chars)
+        opens = (acc["held"] == 0) | full
+        return F.struct(
+            F.when(opens, size).otherwise(acc["chars"] + size).alias("chars"),
+            F.when(opens, F.lit(1)).otherwise(acc["held"] + 1).alias("held"),
+            (acc["at"] + 1).alias("at"),
+            F.when(opens, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"),
+        )
+
+    return F.aggregate(F.slice(sizes, entry + 1, own - entry), start, step, lambda acc: acc["starts"])
 
 
 def pack_windows(
@@ -155,14 +159,19 @@ def pack_windows(
     sizes = F.transform(ordered, lambda x: x["size"])
     blocks = lean.unionByName(spill).groupBy("window_end", "_block").agg(sizes.alias("_sizes"))
     several = blocks.filter("_block = 1").select("window_end")
-    tables = blocks.join(several, "window_end", "left_semi").mapInPandas(
-        partial(_block_exits, max_rows, max_chars, block_rows), "window_end timestamp, _block bigint, _exits array<int>"
-    )
-    entries = tables.groupBy("window_end").applyInPandas(_chain_blocks, "window_end timestamp, _block bigint, _entry int")
-    entered = blocks.join(entries, ["window_end", "_block"], "left").withColumn("_entry", F.coalesce("_entry", F.lit(0)))
-    marks = entered.mapInPandas(
-        partial(_batch_starts, max_rows, max_chars, block_rows), "window_end timestamp, _block bigint, _at int"
-    ).withColumn("_start", F.lit(1).cast("bigint"))
+    if several.isEmpty():
+        entered = blocks.withColumn("_entry", F.lit(0))
+    else:
+        tables = blocks.join(several, "window_end", "left_semi").mapInPandas(
+            partial(_block_exits, max_rows, max_chars, block_rows), "window_end timestamp, _block bigint, _exits array<int>"
+        )
+        entries = tables.groupBy("window_end").applyInPandas(
+            _chain_blocks, "window_end timestamp, _block bigint, _entry int"
+        )
+        entered = blocks.join(entries, ["window_end", "_block"], "left").withColumn("_entry", F.coalesce("_entry", F.lit(0)))
+    own = F.least(F.lit(block_rows), F.size("_sizes"))
+    starts = _batch_starts(F.col("_sizes"), F.col("_entry"), own, max_rows, max_chars)
+    marks = entered.select("window_end", "_block", F.explode(starts).alias("_at"), F.lit(1).cast("bigint").alias("_start"))
     marked = placed.join(marks, ["window_end", "_block", "_at"], "left").withColumn(
         "_start", F.coalesce("_start", F.lit(0).cast("bigint"))
     )

@@ -2,8 +2,8 @@
 
 A plain window over a key sorts all rows of that key in one task, which fails
 when one key holds a large part of the table. The operators here cut the key
-into *blocks*: ``block`` is a column that never decreases along the order (an
-hour, an id range). Rows are sorted inside (key, block); only one row per
+into *blocks*: ``block`` is a column that never decreases along the order (a
+minute, an id range). Rows are sorted inside (key, block); only one row per
 block takes part in the window over the whole key, and what came before the
 block is joined back to its rows.
 """
@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ID_BLOCK = 65_536
-HOUR_MICROS = 3_600_000_000
 
 
 def id_block(c: Column, width: int = ID_BLOCK) -> Column:
     return F.floor(c / width)
 
 
-def time_block(ts: Column, seconds: int = 3_600) -> Column:
+def time_block(ts: Column, seconds: int = 60) -> Column:
     return F.floor(F.unix_seconds(ts) / seconds)
 
 

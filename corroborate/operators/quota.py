@@ -15,8 +15,8 @@ CALL_ORDER = ["ts", "call_id"]
 def admit_calls(calls: DataFrame, caps: Column) -> DataFrame:
     """The first calls of every (day, stage) are reserved, the rest blocked.
 
-    Positions come from hour blocks, so a stage that takes most of the log is
-    spread over its hours.
+    Positions come from minute blocks, so a stage that takes most of the log
+    is spread over its minutes.
     """
     placed = number_rows(calls, ["day", "stage"], CALL_ORDER, time_block(F.col("ts")), "position")
     cap = F.coalesce(caps, F.lit(0))

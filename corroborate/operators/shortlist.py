@@ -19,7 +19,7 @@ def eligible_event_counts(windows: DataFrame, events: DataFrame) -> DataFrame:
 
     Every event is +1 when it is first seen and -1 just after it falls out of
     the horizon; a window reads the running sum. Equal marks are added up
-    first and the sum runs in hour blocks, so the cost is linear in both
+    first and the sum runs in minute blocks, so the cost is linear in both
     tables and no (window, event) pair is ever built.
     """
     horizon = HORIZON * 1_000_000
@@ -36,7 +36,7 @@ def eligible_event_counts(windows: DataFrame, events: DataFrame) -> DataFrame:
         F.unix_micros("window_end").alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("value")
     ).distinct()
     summed = running_sum(
-        marks.unionByName(probes), [], ["at", "kind"], F.floor(F.col("at") / 3_600_000_000), F.col("value"), "active_events"
+        marks.unionByName(probes), [], ["at", "kind"], F.floor(F.col("at") / 60_000_000), F.col("value"), "active_events"
     )
     return summed.filter("kind = 1").select(F.timestamp_micros("at").alias("window_end"), "active_events")
 
