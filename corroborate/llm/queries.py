@@ -138,3 +138,17 @@ def op5_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@query("op7_near_duplicates")
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of each document: the smallest id in it; its own id if it has no words."""
+    from corroborate.llm.neardup import near_duplicates
+
+    classes = cut_lineage(near_duplicates(table(spark, folder, "documents")))
+    named = classes.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return classes.join(named, "class", "left").select(
+        "doc_id",
+        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("class").isNull(), F.lit(1)).otherwise(F.col("class_size")).alias("class_size"),
+    )
