@@ -152,3 +152,35 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("class").isNull(), F.lit(1)).otherwise(F.col("class_size")).alias("class_size"),
     )
+
+
+def id_hash(doc_id: str, modulus: int):
+    """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base figures of each document and whether it is kept."""
+    from corroborate.llm.quality_rules import judge, train
+
+    docs = table(spark, folder, "documents")
+    model = train(docs, table(spark, folder, "labels"))
+    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept probability".split()
+    return judge(docs.select("doc_id", "text"), model).select(*columns)
+
+
+@query("op10_quality_scores")
+def op10_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of each document; every fifth id (by hash) is held out of training."""
+    from corroborate.llm.quality_model import score, train
+
+    docs = table(spark, folder, "documents")
+    model = train(docs, table(spark, folder, "labels"), allowed=id_hash("_id", 5) != 0)
+    scored = score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        (id_hash("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
