@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
@@ -44,6 +45,15 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def send(spark: SparkSession, value):
+    """Broadcast an object of this package by value; ``received`` gives it in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent):
+    return pickle.loads(sent.value)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -156,11 +156,12 @@ def mix(
     )
 
 
-def repeat_taken(mixed: DataFrame, text: str = "text") -> DataFrame:
+def repeat_taken(mixed: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
     """One row for each time a document is taken; the last may be its first words only.
 
     A document cut at the target keeps its first words, joined by single
-    spaces. Documents of which nothing is taken go; documents without words
+    spaces, and their number of characters goes to column ``n_chars`` if one
+    is named. Documents of which nothing is taken go; documents without words
     have nothing to take and go too.
     """
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
@@ -172,6 +173,9 @@ def repeat_taken(mixed: DataFrame, text: str = "text") -> DataFrame:
     )
     taken = mixed.withColumn("_words", F.explode(copies))
     cut = F.when(F.col("_words") > 0, first_words).otherwise(F.col(text))
-    return taken.withColumn(text, cut).drop("_words")
+    out = taken.withColumn(text, cut)
+    if n_chars is not None:
+        out = out.withColumn(n_chars, F.when(F.col("_words") > 0, F.length(text)).otherwise(F.col(n_chars)))
+    return out.drop("_words")
 
 

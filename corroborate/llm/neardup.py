@@ -70,9 +70,9 @@ def near_duplicates(
     links = None
     for salt in ("", "second"):
         pairs = _star_pairs(_labelled(buckets, labels), threshold, salt)
-        links, labels = _grow(links, pairs, texts, threshold, width)
+        links, labels = _grow(links, labels, pairs, texts, threshold, width)
     pairs = _rest_pairs(_labelled(buckets, labels), threshold)
-    links, labels = _grow(links, pairs, texts, threshold, width)
+    links, labels = _grow(links, labels, pairs, texts, threshold, width)
     return members.select("doc_id", "content").join(labels, "content", "left").select(
         "doc_id", "content", F.coalesce("label", "content").alias("class")
     )
@@ -129,7 +129,10 @@ def _rest_pairs(named: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _grow(links, pairs: DataFrame, texts: DataFrame, threshold: float, width: int):
+def _grow(links, labels, pairs: DataFrame, texts: DataFrame, threshold: float, width: int):
+    pairs = cut_lineage(pairs)
+    if labels is not None and pairs.isEmpty():
+        return links, labels
     found = cut_lineage(verified(pairs, texts, threshold, width).select("centre", "content"))
     links = found if links is None else links.unionByName(found)
     return links, components(links, "centre", "content")
@@ -137,7 +140,6 @@ def _grow(links, pairs: DataFrame, texts: DataFrame, threshold: float, width: in
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
     """The pairs (centre, content) whose multisets overlap by ``threshold`` or more, with ``similarity``."""
-    pairs = cut_lineage(pairs)
     parts = F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("_parts")
     groups = pairs.groupBy("centre").agg(parts)
     salt = F.pmod(F.xxhash64("content"), F.col("_parts")).cast("int")

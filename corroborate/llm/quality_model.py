@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corroborate.llm.common import SpanHash, add_columns
+from corroborate.llm.common import SpanHash, add_columns, received, send
 from corroborate.llm.ngrams import NGrams, labelled_sample, sigmoid
 
 
@@ -81,11 +81,11 @@ def score(docs: DataFrame, model: Embeddings, text: str = "text") -> DataFrame:
     learned = model.vectors is not None
     table, constant = model.logits() if learned else (None, 0.0)
     kinds = model.grams.kinds
-    sent = docs.sparkSession.sparkContext.broadcast((table, constant, model.grams, kinds))
+    sent = send(docs.sparkSession, (table, constant, model.grams, kinds))
 
     def build():
         hasher = SpanHash()
-        weights, shift, grams, count = sent.value
+        weights, shift, grams, count = received(sent)
 
         def compute(texts: pa.Array) -> list[pa.Array]:
             if weights is None:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.llm.bagminhash import Shingler
-from corroborate.llm.common import IS_TOKEN_BYTE, SpanHash, add_columns, mix64, text_buffer, word_bounds
+from corroborate.llm.common import IS_TOKEN_BYTE, SpanHash, add_columns, mix64, received, send, text_buffer, word_bounds
 from corroborate.llm.ngrams import NGrams, labelled_sample, sigmoid
 
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
@@ -155,10 +155,10 @@ def judge(docs: DataFrame, model: Model, text: str = "text", thresholds: Thresho
     are kept whose calibrated probability of the good label reaches the
     threshold. Columns of ``docs`` with one of these names are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def build():
-        figures, hasher, scorer = BaseFigures(), SpanHash(), sent.value
+        figures, hasher, scorer = BaseFigures(), SpanHash(), received(sent)
 
         def compute(texts: pa.Array) -> list[pa.Array]:
             made = [pa.array(x, pa.int64()) for x in figures(texts)]
