@@ -184,3 +184,14 @@ def op10_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of each document; every third id (by hash) is held out of training."""
+    from corroborate.llm.langid import identify, train
+
+    docs = table(spark, folder, "documents")
+    net = train(docs, allowed=id_hash("_id", 3) != 1)
+    found = identify(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", (id_hash("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
