@@ -195,3 +195,33 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     net = train(docs, allowed=id_hash("_id", 3) != 1)
     found = identify(docs.select("doc_id", "text"), net)
     return found.select("doc_id", (id_hash("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '<turn>', '<\turn>'), '</turn>', '<\/turn>') AS e,
+    replace(replace(replace(replace(role, '\', '\\'), '<turn>', '<\turn>'), '</turn>', '<\/turn>'), chr(10), '\' || chr(10)) AS r
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, encode(role), encode(text))) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, encode(text)), '')) AS loss_sha256,
+  CAST(sum(length(r) + length(e) + 15) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op8_chat_format", CHAT_SQL)
+def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted texts."""
+    from corroborate.llm.chat import format_turns, read_back
+
+    said = "\\### Assistant: </turn> ok"
+    columns = "conv_id bigint, turn bigint, role string, text string"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], columns)
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_turns(rows.unionByName(probe)))
