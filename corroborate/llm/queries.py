@@ -225,3 +225,31 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], columns)
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return read_back(format_turns(rows.unionByName(probe)))
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licenses named in each document."""
+    from corroborate.llm.licenses import scan_licenses
+
+    found = scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on each page's url."""
+    from corroborate.llm.urls import judge_urls, train
+
+    pages = table(spark, folder, "pages")
+    judged = judge_urls(pages.select("page_id", "url"), train(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"))
