@@ -124,7 +124,7 @@ VIEWS = {
               FROM (SELECT *, {norm("original_text")} AS normalized_text FROM raw_posts))""",
     "sources": f"""
         SELECT n AS source_id, source AS source_key, 'Channel ' || n AS name, 'chan_' || n AS username,
-               {cycle(("primary_source", "authority_confirmation", "breaking_radar", "specialist", "aggregator"), "n % 5")} AS role,
+               {cycle(("primary_source", "authority_confirmation", "early_alert", "specialist", "aggregator"), "n % 5")} AS role,
                {cycle(("TIER_1", "TIER_2", "TIER_3"), "n % 3")} AS priority_tier,
                0.35::DOUBLE + 0.05::DOUBLE * (n % 7) AS trust_score, n % 2 = 0 AS is_wire_origin, n % 4 <> 0 AS is_active,
                {cycle(("healthy", "degraded", "pending_validation"), "n % 3")} AS health_status,
@@ -134,8 +134,8 @@ VIEWS = {
                CASE WHEN n % 3 = 1 THEN 'http_' || (n + 400) END AS last_error
         FROM (SELECT DISTINCT source, CAST(regexp_extract(source, '([0-9]+)', 1) AS BIGINT) + 1 AS n FROM documents)""",
     "links": """
-        SELECT doc_id // 12 * 12 + (doc_id % 12) // (1 + doc_id // 12 % 4) + 1 AS event_id, post_id,
-               observed_at AS attached_at FROM raw_posts""",
+        SELECT f // 12 * 12 + (f % 12) // (1 + f // 12 % 4) + 1 AS event_id, post_id, observed_at AS attached_at
+        FROM raw_posts JOIN (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents) USING (doc_id)""",
     "crowded_links": """
         SELECT CASE language WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS event_id, post_id,
                observed_at AS attached_at FROM raw_posts""",
@@ -253,13 +253,33 @@ def group_of(post: str = "p", source: str = "s") -> str:
 KIND = (
     "CASE WHEN p.forwarded_from IS NOT NULL THEN 'forward_repost' WHEN p.cited_source IS NOT NULL THEN 'wire_republish' "
     "WHEN s.is_wire_origin OR s.role = 'primary_source' THEN 'original_reporting' "
-    "WHEN s.role IN ('aggregator', 'breaking_radar') THEN 'aggregation' ELSE 'unknown' END"
+    "WHEN s.role IN ('aggregator', 'early_alert') THEN 'aggregation' ELSE 'unknown' END"
 )
 
 VIEWS["evidence"] = f"""
     SELECT l.event_id, l.post_id, l.attached_at, s.source_id, s.name, s.priority_tier, s.trust_score, p.canonical_url,
-           p.normalized_text AS text, {group_of()} AS origin_group, {KIND} AS origin_type
-    FROM links l JOIN posts p USING (post_id) JOIN sources s ON s.source_id = p.source_id"""
+           p.normalized_text AS text, t.origin_group, {KIND} AS origin_type
+    FROM links l JOIN posts p USING (post_id) JOIN sources s ON s.source_id = p.source_id
+    JOIN links_traced t ON t.event_id = l.event_id AND t.post_id = l.post_id"""
+
+
+def lineage_sql(links: str) -> dict[str, str]:
+    """Views that follow every report to the one whose origin it takes (recursive)."""
+    return {
+        f"{links}_base": f"""
+            SELECT l.event_id, l.post_id, {group_of()} AS own_group, {KIND} AS kind, c.parent_post_id,
+                   CASE WHEN p.forwarded_from IS NULL AND p.cited_source IS NULL THEN c.parent_post_id END AS up
+            FROM {links} l JOIN posts p USING (post_id) JOIN sources s ON s.source_id = p.source_id
+            LEFT JOIN {links}_copies c ON c.event_id = l.event_id AND c.post_id = l.post_id""",
+        f"{links}_walk": f"""
+            SELECT event_id, post_id, own_group, 0 AS depth, up FROM {links}_base UNION ALL
+            SELECT w.event_id, w.post_id, b.own_group, depth + 1, b.up FROM {links}_walk w
+            JOIN {links}_base b ON b.event_id = w.event_id AND b.post_id = w.up""",
+        f"{links}_traced": f"""
+            SELECT w.event_id, w.post_id, w.own_group AS origin_group, b.kind AS origin_type,
+                   CASE WHEN b.parent_post_id IS NOT NULL THEN 0.9::DOUBLE WHEN b.kind = 'unknown' THEN 0.55::DOUBLE ELSE 0.8::DOUBLE END AS relationship_confidence
+            FROM {links}_walk w JOIN {links}_base b ON b.event_id = w.event_id AND b.post_id = w.post_id WHERE w.up IS NULL""",
+    }
 
 
 def copies_sql(links: str) -> str:
@@ -277,22 +297,25 @@ for _links in ("links", "crowded_links"):
                row_number() OVER (PARTITION BY l.event_id ORDER BY l.attached_at, l.post_id) AS n
         FROM {_links} l JOIN posts p USING (post_id)"""
     VIEWS[f"{_links}_copies"] = copies_sql(_links)
+    VIEWS.update(lineage_sql(_links))
 
 
-def sql(body: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
+def sql(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix a query with the views it needs, in dependency order."""
     known = {**VIEWS, **(extra or {})}
     order: list[str] = []
+    open_: list[str] = []
 
     def need(text: str) -> None:
         for name in known:
-            if name not in order and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+            if name not in order and name not in open_ and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+                open_.append(name)
                 need(known[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     need(body)
-    parts = ",\n".join(f"{name} AS MATERIALIZED ({known[name]})" if not recursive or name in VIEWS else f"{name} AS ({known[name]})" for name in order)
+    loops = {name for name in order if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", known[name])}
+    parts = ",\n".join(f"{name} AS {'' if name in loops else 'MATERIALIZED '}({known[name]})" for name in order)
     if not parts:
         return body
-    return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{body}"
+    return f"WITH {'RECURSIVE ' if loops else ''}{parts}\n{body}"

@@ -287,8 +287,8 @@ def _(v):
 
 
 def _evidence(v):
-    """Evidence whose rows copy nothing; copies have queries of their own."""
-    return V.own_origins(V.attach_evidence(v.links, v.posts, v.sources))
+    """Evidence with the origin of every report; a copy has that of the report it copies."""
+    return V.propagate_origins(*_copied(v, v.links))
 
 
 def _copied(v, links):
@@ -306,21 +306,7 @@ def _(v):
     return _copied(v, v.crowded_links)[1]
 
 
-_LINEAGE_VIEWS = ("raw_posts", "posts", "sources", "crowded_links", "crowded_links_tokens", "crowded_links_copies")
-
-
-@query(
-    "copy_lineage", "I10 H38",
-    "WITH RECURSIVE " + ", ".join(f"{n} AS ({d.VIEWS[n]})" for n in _LINEAGE_VIEWS) + f""",
-        base AS (SELECT l.event_id, l.post_id, {d.group_of()} AS own_group, {d.KIND} AS kind, c.parent_post_id,
-                 CASE WHEN p.forwarded_from IS NULL AND p.cited_source IS NULL THEN c.parent_post_id END AS up
-                 FROM crowded_links l JOIN posts p USING (post_id) JOIN sources s ON s.source_id = p.source_id LEFT JOIN crowded_links_copies c ON c.event_id = l.event_id AND c.post_id = l.post_id),
-        walk AS (SELECT event_id, post_id, own_group, 0 AS depth, up FROM base UNION ALL
-                 SELECT w.event_id, w.post_id, b.own_group, depth + 1, b.up FROM walk w JOIN base b ON b.event_id = w.event_id AND b.post_id = w.up)
-        SELECT w.event_id, w.post_id, w.own_group AS origin_group, b.kind AS origin_type,
-               CASE WHEN b.parent_post_id IS NOT NULL THEN 0.9::DOUBLE WHEN b.kind = 'unknown' THEN 0.55::DOUBLE ELSE 0.8::DOUBLE END AS relationship_confidence
-        FROM walk w JOIN base b ON b.event_id = w.event_id AND b.post_id = w.post_id WHERE w.up IS NULL""",
-)
+@query("copy_lineage", "I10 H38", d.sql("SELECT event_id, post_id, origin_group, origin_type, relationship_confidence FROM crowded_links_traced"))
 def _(v):
     rows, copies = _copied(v, v.crowded_links)
     return V.propagate_origins(rows, copies).select("event_id", "post_id", "origin_group", "origin_type", "relationship_confidence")
@@ -400,19 +386,13 @@ def _band(x: str) -> str:
 
 
 @query(
-    "confirmed_events", "D2 H36 F2",
+    "confirmed_events", "D1 D2 H36 F2 I10",
     d.sql(f"""SELECT event_id, verification_status, independent_confirmation_count, source_count, category, importance_score, {_band('importance_score')} AS band FROM scored""",
           {**_GROUPS, **_FACTS, "joined": "SELECT f.*, v.* EXCLUDE (event_id), 'active' AS event_state FROM facts f JOIN verified v USING (event_id)", "scored": _score_sql("joined")}),
 )
 def _(v):
     """Flagship: every event with its verification and score, best first."""
-    return flows.confirmed_events(v.links, v.posts, v.sources, now(), copies=False)
-
-
-@query("confirmed_with_copies", "I10 D1 D2 H36")
-def _(v):
-    """The flagship with copy lineage: a copied report confirms nothing."""
-    return flows.confirmed_events(v.links, v.posts, v.sources, now(), copies=True)
+    return flows.confirmed_events(v.links, v.posts, v.sources, now())
 
 
 def _entity_hits(expr):
@@ -553,7 +533,7 @@ def _(v):
 
 
 _CHANGES = {
-    "versions": "SELECT (event_id - 1) // 5 AS e, event_id AS version, left(core_fact, 2) AS fact, verification_status AS status, importance_score AS score FROM scored",
+    "versions": "SELECT (event_id - 1) // 5 AS e, event_id AS version, core_fact AS fact, verification_status AS status, importance_score AS score FROM scored",
     "stepped": """SELECT *, lag(fact) OVER w AS f0, lag(status) OVER w AS s0, lag(score) OVER w AS p0 FROM versions WINDOW w AS (PARTITION BY e ORDER BY version)""",
 }
 
@@ -578,7 +558,7 @@ def _versions(v):
     return X.score_events(v.events, now()).select(
         F.floor((F.col("event_id") - 1) / 5).alias("event_id"),
         F.col("event_id").alias("event_version"),
-        F.substring("core_fact", 1, 2).alias("core_fact"),
+        "core_fact",
         "verification_status",
         "importance_score",
     )

@@ -85,9 +85,9 @@ _SEEDED = f"""
 
 @query(
     "upsert_sources", "A4 A5",
-    d.sql("""SELECT source_key, 'Seed ' || source_key AS name, CASE WHEN source_id % 3 = 0 THEN 'TIER_1' ELSE 'TIER_2' END AS priority_tier, is_active, health_status,
+    d.sql("""SELECT source_id, source_key, 'Seed ' || source_key AS name, CASE WHEN source_id % 3 = 0 THEN 'TIER_1' ELSE 'TIER_2' END AS priority_tier, is_active, health_status,
              coalesce(last_seen_message_id, -1) AS last_seen FROM sources
-             UNION ALL SELECT 'new_' || source_key, 'Seed new_' || source_key, 'TIER_2', false, 'pending_validation', -1 FROM sources"""),
+             UNION ALL SELECT (SELECT max(source_id) FROM sources) + row_number() OVER (ORDER BY 'new_' || source_key), 'new_' || source_key, 'Seed new_' || source_key, 'TIER_2', false, 'pending_validation', -1 FROM sources"""),
 )
 def _(v):
     """Every channel is seeded again under new names, plus one new key each."""
@@ -111,6 +111,7 @@ def _(v):
     )
     seeds = R.seeds_from_json(listed.select(text.alias("seed")), "seed")
     return R.upsert_sources(v.sources, seeds).select(
+        "source_id",
         "source_key", "name", "priority_tier", "is_active", "health_status", F.coalesce("last_seen_message_id", F.lit(-1)).alias("last_seen")
     )
 
@@ -411,7 +412,7 @@ def _(v):
 
 _PACKED = {
     "sized": _SIZED,
-    "placed": f"SELECT post_id, time_bucket(INTERVAL 5 MINUTE, {AT}) AS w, size, row_number() OVER (PARTITION BY time_bucket(INTERVAL 5 MINUTE, {AT}) ORDER BY post_id) AS n FROM sized",
+    "placed": f"SELECT post_id, time_bucket(INTERVAL 5 MINUTE, {AT}) AS w, size, row_number() OVER (PARTITION BY time_bucket(INTERVAL 5 MINUTE, {AT}) ORDER BY {AT} DESC, post_id DESC) AS n FROM sized WHERE NOT is_deleted AND noise_reason IS NULL",
     "packed": """SELECT w, n, post_id, 0 AS seq, size AS chars, 1 AS held FROM placed WHERE n = 1
         UNION ALL SELECT p.w, p.n, p.post_id, CASE WHEN k.held >= 32 OR 2 + k.chars + p.size + k.held > 50000 THEN k.seq + 1 ELSE k.seq END,
           CASE WHEN k.held >= 32 OR 2 + k.chars + p.size + k.held > 50000 THEN p.size ELSE k.chars + p.size END,

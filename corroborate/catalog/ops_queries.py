@@ -12,7 +12,6 @@ from corroborate.operators import evaluate as E
 from corroborate.operators import ops as O
 from corroborate.operators import quota as Q
 from corroborate.operators.editorial import score_events
-from corroborate.session import spread
 from corroborate.streaming import rates
 
 # --- quotas ------------------------------------------------------------------
@@ -217,7 +216,7 @@ def _(v):
 
 # --- evaluation --------------------------------------------------------------
 _MEMBERS = {
-    "grouping": "SELECT *, action || ':' || coalesce(event_id::VARCHAR, 'new:' || decision_no) AS predicted FROM decision_posts",
+    "grouping": "SELECT *, action || ':' || coalesce(event_id::VARCHAR, 'new:' || decision_no) AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, post_id ORDER BY decision_no DESC) AS latest FROM decision_posts) WHERE latest = 1",
     "compared": """SELECT d.batch_id, d.decision_no, d.action, NOT (d.action = 'UNCERTAIN' OR d.confidence < 0.72::DOUBLE) AS sure, h.n, coalesce(h.hit, false) AS hit
         FROM decisions d LEFT JOIN (SELECT batch_id, decision_no, count(DISTINCT h.event_id) AS n, bool_or(coalesce(h.event_id = p.event_id, false)) AS hit
              FROM decision_posts p JOIN history h USING (post_id) GROUP BY 1, 2) h USING (batch_id, decision_no)""",
@@ -241,9 +240,10 @@ def _(v):
     return E.agreement_totals(E.agreement(v.decisions, v.history))
 
 
-@query("false_splits", "D21", d.sql("SELECT batch_id, h.event_id, count(DISTINCT predicted) AS groups, count(*) AS posts FROM grouping p JOIN history h USING (post_id) GROUP BY 1, 2 HAVING count(DISTINCT predicted) > 1", _MEMBERS))
+@query("false_splits", "D21", d.sql("""SELECT b.batch_id, h.event_id, count(DISTINCT coalesce(p.predicted, '-')) AS groups, count(*) AS posts FROM batch_posts b JOIN history h USING (post_id)
+             LEFT JOIN grouping p ON p.batch_id = b.batch_id AND p.post_id = b.post_id GROUP BY 1, 2 HAVING count(DISTINCT coalesce(p.predicted, '-')) > 1""", _MEMBERS))
 def _(v):
-    return E.false_splits(v.decisions, v.history)
+    return E.false_splits(v.batch_posts, v.decisions, v.history)
 
 
 _FA, _LA = "regexp_matches({}.text, '[؀-ۿ]')", "regexp_matches({}.text, '[A-Za-z]')"
@@ -407,7 +407,7 @@ def _(v):
         )
     )
     body = F.concat(F.lit('{"error":{"attempts":['), attempt, F.lit("]}}"))
-    rows = spread(v.calls).select("call_id", F.explode(gateway_attempts(body)).alias("a"))
+    rows = v.calls.select("call_id", F.explode(gateway_attempts(body)).alias("a"))
     return rows.select("call_id", "a.provider", "a.model", "a.status", "a.error_code")
 
 

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from corroborate.catalog import duck as d
+from corroborate.catalog.event_queries import _RESOLVED
 from corroborate.catalog.ops_queries import _CAP, caps
 from corroborate.catalog.registry import query
 from corroborate.functions import sql as S
+from corroborate.functions.text import set_overlap, tokens
 from corroborate.operators import clusters as C
 from corroborate.session import shared_folder
 from corroborate.streaming import jobs as J
@@ -84,15 +86,19 @@ def _(v):
     )
 
 
-@query("scored_pairs", "K1 C8")
+@query(
+    "scored_pairs", "K1 C8",
+    d.sql("SELECT batch_id, left_post_id, right_post_id, CASE WHEN confidence >= 0.25::DOUBLE THEN 'SAME_EVENT' ELSE 'DIFFERENT_EVENT' END AS relationship, confidence FROM overlap_rows",
+          {**_RESOLVED, "sets": f"SELECT post_id, {d.words('normalized_text')} AS t FROM posts",
+           "overlap_rows": f"SELECT p.batch_id, left_post_id, right_post_id, {d.overlap('a.t', 'b.t')} AS confidence FROM pairs p JOIN sets a ON a.post_id = left_post_id JOIN sets b ON b.post_id = right_post_id"}),
+)
 def _(v):
-    """Judgments by a user function: identical first words mean the same event."""
+    """Judgments by a user function: how many words of the whole texts are shared."""
 
     def scorer(left, right):
-        same = F.substring_index(left, " ", 2) == F.substring_index(right, " ", 2)
-        return F.struct(
-            F.when(same, F.lit("SAME_EVENT")).otherwise(F.lit("DIFFERENT_EVENT")).alias("relationship"), F.lit(0.97).alias("confidence")
-        )
+        shared = set_overlap(tokens(left), tokens(right))
+        same = F.when(shared >= 0.25, F.lit("SAME_EVENT")).otherwise(F.lit("DIFFERENT_EVENT"))
+        return F.struct(same.alias("relationship"), shared.alias("confidence"))
 
     pairs = C.proposed_pairs(C.resolve_proposals(v.proposals, v.corrections, v.batch_posts))
     return C.judgments_from(pairs, v.posts, scorer)

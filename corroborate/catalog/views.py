@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corroborate.functions.origin import cited_source
 from corroborate.functions.text import noise_reason, normalize_text
 from corroborate.functions.timefn import day_key
-from corroborate.session import configure, small_side, spread, stored_table
+from corroborate.session import configure
 
 # Phrases appended to the document texts so that keywords, attributions,
 # denials and advertising occur; the last two are empty.
@@ -67,8 +67,7 @@ class Views:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table) if name in ("documents", "pages") else table
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     # -- documents ------------------------------------------------------------
     @cached_property
@@ -92,15 +91,7 @@ class Views:
 
     @cached_property
     def posts(self) -> DataFrame:
-        """Posts with clean text, flags, metadata and processing state.
-
-        Most queries start from stored posts, so they are written once per
-        session to the shared folder and scanned from there: columns are
-        pruned and flags pushed down as for any stored table.
-        """
-        return stored_table(self.spark, f"{self.folder}:posts", self._derive_posts)
-
-    def _derive_posts(self) -> DataFrame:
+        """Posts with clean text, flags, metadata and processing state."""
         clean = self.raw_posts.withColumn("normalized_text", normalize_text(F.col("original_text")))
         clean = clean.withColumn("noise_reason", noise_reason(F.col("normalized_text")))
         d = F.col("doc_id")
@@ -128,7 +119,7 @@ class Views:
 
     @cached_property
     def sources(self) -> DataFrame:
-        """One row per channel; small enough to be broadcast, which is counted."""
+        """One row per channel."""
         n = F.col("source_id")
         keys = self.table("documents").select("source").distinct()
         named = keys.select(
@@ -136,13 +127,13 @@ class Views:
             F.col("source").alias("source_key"),
         )
         stamp = F.lit(NOW).cast("timestamp")
-        sources = named.select(
+        return named.select(
             "source_id",
             "source_key",
             F.concat(F.lit("Channel "), n.cast("string")).alias("name"),
             F.concat(F.lit("chan_"), n.cast("string")).alias("username"),
             F.concat(F.lit("https://t.me/chan_"), n.cast("string")).alias("public_url"),
-            pick(("primary_source", "authority_confirmation", "breaking_radar", "specialist", "aggregator"), n % 5).alias("role"),
+            pick(("primary_source", "authority_confirmation", "early_alert", "specialist", "aggregator"), n % 5).alias("role"),
             pick(("TIER_1", "TIER_2", "TIER_3"), n % 3).alias("priority_tier"),
             F.lit("IRAN").alias("category"),
             F.lit("en").alias("language"),
@@ -156,14 +147,20 @@ class Views:
             F.when(n % 3 != 0, n * 20).alias("last_seen_message_id"),
             F.when(n % 3 == 1, F.concat(F.lit("http_"), (n + 400).cast("string"))).alias("last_error"),
         )
-        return small_side(sources)
 
     @cached_property
     def links(self) -> DataFrame:
         """Which event a post was attached to, and when."""
-        d = F.col("doc_id")
+        d = F.col("_first")
         event = div(d, 12) * 12 + F.floor((d % 12) / (1 + div(d, 12) % 4)) + 1
-        return self.raw_posts.select(event.alias("event_id"), "post_id", F.col("observed_at").alias("attached_at"))
+        posts = self.raw_posts.join(self._first_copies, "doc_id")
+        return posts.select(event.alias("event_id"), "post_id", F.col("observed_at").alias("attached_at"))
+
+    @cached_property
+    def _first_copies(self) -> DataFrame:
+        """The first document with the same text, for every document: copies report the same event."""
+        named = self.table("documents").select("doc_id", F.md5("text").alias("_text"))
+        return named.join(named.groupBy("_text").agg(F.min("doc_id").alias("_first")), "_text").drop("_text")
 
     @cached_property
     def crowded_links(self) -> DataFrame:

@@ -89,6 +89,10 @@ def fold_origin(c: Column) -> Column:
     return F.coalesce(F.try_element_at(aliases, folded), F.substring(folded, 1, ORIGIN_CHARS))
 
 
+#: Roles of channels that pass on reports of others.
+AGGREGATING = ("aggregator", "early_alert")
+
+
 def own_origin(metadata: Column) -> Column:
     """The origin a post declares itself, forwarded before cited; null if none."""
     forwarded = first_non_empty(fold_origin(meta_string(metadata, "forwarded_from")))
@@ -116,13 +120,13 @@ def origin_group(
     return F.coalesce(*choices, default_origin(is_wire, source_key, source_id))
 
 
-def origin_type(metadata: Column, is_wire: Column, role: Column) -> Column:
-    """How the report reached the channel."""
+def origin_type(metadata: Column, is_wire: Column, role: Column, aggregating: tuple[str, ...] = AGGREGATING) -> Column:
+    """How the report reached the channel. Channels of an ``aggregating`` role pass on what others report."""
     return (
         F.when(meta_truthy(metadata, "forwarded_from"), F.lit("forward_repost"))
         .when(meta_string(metadata, "cited_source").isNotNull(), F.lit("wire_republish"))
         .when(is_wire | (role == "primary_source"), F.lit("original_reporting"))
-        .when(role.isin("aggregator", "breaking_radar"), F.lit("aggregation"))
+        .when(role.isin(*aggregating), F.lit("aggregation"))
         .otherwise(F.lit("unknown"))
     )
 

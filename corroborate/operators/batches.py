@@ -134,9 +134,9 @@ def pack_windows(
     block_rows: int = 4_096,
 ) -> DataFrame:
     """Cut every window into batches of at most ``max_rows`` reports and
-    ``max_chars`` characters of JSON array, in report order.
+    ``max_chars`` characters of JSON array, newest report first.
 
-    ``reports`` has window_end, post_id and size (JSON length). A batch ends
+    ``reports`` has window_end, seen_at, post_id and size (JSON length). A batch ends
     where the next report would overflow, so where a batch starts depends on
     all batches before it. To keep a crowded window out of one task the window
     is cut into blocks of positions, one row of sizes each. As a batch never
@@ -146,8 +146,9 @@ def pack_windows(
     window; other windows are entered at 0. The entry that occurs marks the
     batch starts. Returns the input with ``batch_sequence`` (0-based).
     """
+    newest = [F.col("seen_at").desc(), F.col("post_id").desc()]
     reports = cut_lineage(reports)  # ids and sizes only, read several times below
-    placed = number_rows(reports, ["window_end"], ["post_id"], id_block(F.col("post_id")), "position")
+    placed = number_rows(reports, ["window_end"], newest, -F.unix_seconds("seen_at"), "position")
     block = F.floor((F.col("position") - 1) / block_rows)
     placed = placed.withColumn("_block", block).withColumn("_at", ((F.col("position") - 1) % block_rows).cast("int"))
     lean = placed.select("window_end", "_block", "_at", F.col("size").cast("bigint").alias("size"))
@@ -159,16 +160,11 @@ def pack_windows(
     sizes = F.transform(ordered, lambda x: x["size"])
     blocks = lean.unionByName(spill).groupBy("window_end", "_block").agg(sizes.alias("_sizes"))
     several = blocks.filter("_block = 1").select("window_end")
-    if several.isEmpty():
-        entered = blocks.withColumn("_entry", F.lit(0))
-    else:
-        tables = blocks.join(several, "window_end", "left_semi").mapInPandas(
-            partial(_block_exits, max_rows, max_chars, block_rows), "window_end timestamp, _block bigint, _exits array<int>"
-        )
-        entries = tables.groupBy("window_end").applyInPandas(
-            _chain_blocks, "window_end timestamp, _block bigint, _entry int"
-        )
-        entered = blocks.join(entries, ["window_end", "_block"], "left").withColumn("_entry", F.coalesce("_entry", F.lit(0)))
+    tables = blocks.join(several, "window_end", "left_semi").mapInPandas(
+        partial(_block_exits, max_rows, max_chars, block_rows), "window_end timestamp, _block bigint, _exits array<int>"
+    )
+    entries = tables.groupBy("window_end").applyInPandas(_chain_blocks, "window_end timestamp, _block bigint, _entry int")
+    entered = blocks.join(entries, ["window_end", "_block"], "left").withColumn("_entry", F.coalesce("_entry", F.lit(0)))
     own = F.least(F.lit(block_rows), F.size("_sizes"))
     starts = _batch_starts(F.col("_sizes"), F.col("_entry"), own, max_rows, max_chars)
     marks = entered.select("window_end", "_block", F.explode(starts).alias("_at"), F.lit(1).cast("bigint").alias("_start"))
@@ -180,12 +176,13 @@ def pack_windows(
 
 
 def window_reports(posts: DataFrame, sources: DataFrame) -> DataFrame:
-    """Posts with their window and the length of their compact report."""
-    named = posts.join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
+    """Posts that are neither deleted nor noise, with their window and the length of their compact report."""
+    named = posts.filter("not is_deleted and not is_noise").join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
     seen = F.coalesce("published_at", "observed_at")
     return named.select(
         window_end(seen).alias("window_end"),
         window_start(seen).alias("window_start"),
+        seen.alias("seen_at"),
         "post_id",
         F.char_length(report_json()).cast("bigint").alias("size"),
     )
@@ -208,7 +205,7 @@ def next_sequences(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def density_groups(posts: DataFrame, size: int = 28, groups: int = 10) -> DataFrame:
-    """Evenly spaced runs of consecutive posts, in time order.
+    """Evenly spaced runs of consecutive posts, in time order. Fewer than ``size`` posts are an error.
 
     Positions come from blocked numbering; only the rows of the groups leave
     the scan.
@@ -217,7 +214,8 @@ def density_groups(posts: DataFrame, size: int = 28, groups: int = 10) -> DataFr
     placed = number_rows(
         posts.select("post_id", seen.alias("seen_at")), [], ["seen_at", "post_id"], time_block(F.col("seen_at")), "position"
     )
-    total = posts.agg(F.count("*").alias("total"))
+    enough = F.when(F.count("*") >= size, F.count("*"))
+    total = posts.agg(F.coalesce(enough, F.raise_error(F.lit(f"fewer than {size} posts"))).alias("total"))
     starts = total.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group_no"), "total").select(
         "group_no",
         F.floor(F.col("group_no") * (F.col("total") - size) / max(1, groups - 1)).alias("start"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corroborate.config import ACTIONS, LIMITS
 from corroborate.functions.text import cross_language, review_tokens
 from corroborate.functions.timefn import round_half_up
-from corroborate.operators.blocks import first_per_key, top_per_key
+from corroborate.operators.blocks import first_per_key, last_per_key, top_per_key
 from corroborate.operators.ops import latency_summary
 
 DECISION_KEYS = (
@@ -29,6 +29,12 @@ def decision_members(decisions: DataFrame) -> DataFrame:
     )
 
 
+def last_groups(decisions: DataFrame) -> DataFrame:
+    """Group of every post (batch_id, post_id); the last decision that names it counts."""
+    members = decision_members(decisions)
+    return last_per_key(members, ["batch_id", "post_id"], ["decision_no"]).select("batch_id", "post_id", "predicted_group")
+
+
 def agreement(decisions: DataFrame, history: DataFrame) -> DataFrame:
     """Every decision compared with the stored events of its posts.
 
@@ -81,13 +87,13 @@ def agreement_totals(compared: DataFrame) -> DataFrame:
     )
 
 
-def false_splits(decisions: DataFrame, history: DataFrame) -> DataFrame:
+def false_splits(batch_posts: DataFrame, decisions: DataFrame, history: DataFrame) -> DataFrame:
     """Stored events whose posts of one batch fell into several groups.
 
-    Posts no decision covers form a group of their own.
+    Of several decisions on a post the last counts. Posts no decision covers
+    form a group of their own.
     """
-    members = decision_members(decisions)
-    posts = members.select("batch_id", "post_id", F.col("predicted_group"))
+    posts = batch_posts.select("batch_id", "post_id").join(last_groups(decisions), ["batch_id", "post_id"], "left")
     joined = posts.join(history, "post_id").groupBy("batch_id", "event_id", "predicted_group").agg(F.count("*").alias("_n"))
     return (
         joined.groupBy("batch_id", "event_id")
@@ -102,8 +108,7 @@ def cross_language_pairs(batch_posts: DataFrame, history: DataFrame, decisions:
     The join runs on (batch, event): a batch is packed to a few dozen posts,
     which bounds the pairs. ``batch_posts`` has batch_id, post_id and text.
     """
-    groups = decision_members(decisions).select("batch_id", "post_id", "predicted_group")
-    rows = batch_posts.join(history, "post_id").join(groups, ["batch_id", "post_id"], "left")
+    rows = batch_posts.join(history, "post_id").join(last_groups(decisions), ["batch_id", "post_id"], "left")
     left = rows.select(
         "batch_id", "event_id", F.col("post_id").alias("left_post_id"), F.col("text").alias("_lt"), F.col("predicted_group").alias("_lg")
     )

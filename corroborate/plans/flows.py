@@ -12,7 +12,6 @@ from corroborate.operators.evidence import (
     copied_from,
     event_facts,
     origin_groups,
-    own_origins,
     propagate_origins,
     verify_events,
 )
@@ -50,14 +49,14 @@ def clusters(
     return star_clusters(resolved, pairs), pairs
 
 
-def confirmed_events(links: DataFrame, posts: DataFrame, sources: DataFrame, now: Column, copies: bool = True) -> DataFrame:
+def confirmed_events(links: DataFrame, posts: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
     """Which reported events are independently confirmed, and how much they matter.
 
-    Reports are grouped by origin, origins by event. With ``copies`` a report
-    that repeats one of the thirty before it counts for the origin it copied.
+    Reports are grouped by origin, origins by event. A report that repeats one
+    of the thirty before it counts for the origin it copied.
     """
     evidence = attach_evidence(links, posts, sources)
-    traced = propagate_origins(evidence, copied_from(evidence)) if copies else own_origins(evidence)
+    traced = propagate_origins(evidence, copied_from(evidence))
     verified = verify_events(origin_groups(traced))
     events = event_facts(evidence).join(verified, "event_id").withColumn("event_state", F.lit("active"))
     scored = score_events(events, now)

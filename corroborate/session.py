@@ -1,17 +1,12 @@
-"""Session set-up, lineage cuts and size-checked broadcasts."""
+"""Session set-up and lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corroborate
-from corroborate.config import LIMITS
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -32,31 +27,31 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and local benchmarks."""
-    spark = (
+def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A session for tests and local benchmarks; ``shared`` is the folder of checkpoints."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("corroborate")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared).config("spark.sql.warehouse.dir", f"{shared}/warehouse")
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, from ``spark.checkpoint.dir``.
+    """A folder that all executors reach: ``spark.checkpoint.dir``, or one in the warehouse where it is unset.
 
-    Only a local session without that setting gets a temporary folder.
+    The warehouse is shared as well, so no node writes where others cannot read.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -70,30 +65,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = LIMITS.broadcast_rows) -> DataFrame:
-    """Broadcast ``df`` if it is counted to be small, else join it by shuffle."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-_STORED: dict[tuple[str, str], str] = {}
-
-
-def stored_table(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table that is written once per application and then scanned.
-
-    The parquet folder lies in the shared folder, so losing an executor loses
-    nothing of it.
-    """
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _STORED:
-        path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-        build().write.parquet(path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
-
-
 def compute_once(df: DataFrame, name: str, value) -> DataFrame:
     """``df`` with a column that later filters do not recompute.
 
@@ -102,15 +73,3 @@ def compute_once(df: DataFrame, name: str, value) -> DataFrame:
     expression a one-element ``explode`` keeps the value where it is computed.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than cores.
-
-    A large table has far more splits than the cluster has cores and is
-    returned as it is. A file with one row group would run as one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

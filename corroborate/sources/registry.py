@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corroborate.config import LIMITS
@@ -33,9 +33,17 @@ def seeds_from_json(rows: DataFrame, column: str) -> DataFrame:
 
 
 def upsert_sources(current: DataFrame, seeds: DataFrame) -> DataFrame:
-    """A5: new keys start inactive; known keys keep activity, health and cursors."""
+    """A5: new keys start inactive; known keys keep activity, health and cursors.
+
+    New keys get the next ids in the order of the keys. The window over all
+    of them is one task: a registry has a row for each channel, not for each
+    post.
+    """
     fresh = seeds.select("source_key", *[F.col(c).alias(f"_new_{c}") for c in DESCRIPTIVE], F.lit(True).alias("_seeded"))
     joined = current.join(fresh, "source_key", "full_outer")
+    new = F.sum(F.when(F.col("source_id").isNull(), 1).otherwise(0)).over(Window.orderBy("source_key"))
+    last = F.coalesce(F.max("source_id").over(Window.partitionBy()), F.lit(0))
+    joined = joined.withColumn("source_id", F.coalesce("source_id", last + new))
     described = {c: F.when(F.col("_seeded"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in DESCRIPTIVE}
     return joined.withColumns(
         {

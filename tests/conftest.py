@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -8,7 +9,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from corroborate.session import local_session  # noqa: E402
 
 # Column expressions in test modules need a running session.
-SESSION = local_session("8", partitions=4, memory="6g")
+SHARED = tempfile.mkdtemp(prefix="spark-")
+SESSION = local_session("8", partitions=4, memory="6g", shared=SHARED)
 
 
 @pytest.fixture(scope="session")

@@ -126,10 +126,11 @@ def test_seeds_file_and_upsert(spark, tmp_path):
     (tmp_path / "seeds.json").write_text(json.dumps(seeds))
     loaded = R.read_seeds(spark, str(tmp_path / "seeds.json"))
     current = loaded.filter("source_key = 'k1'").withColumns(
-        {"name": F.lit("Old"), "is_active": F.lit(True), "health_status": F.lit("healthy"), "last_seen_message_id": F.lit(9)}
+        {"source_id": F.lit(7).cast("bigint"), "name": F.lit("Old"), "is_active": F.lit(True), "health_status": F.lit("healthy"), "last_seen_message_id": F.lit(9)}
     )
     rows = {r.source_key: r for r in R.upsert_sources(current, loaded).collect()}
     assert (rows["k1"].name, rows["k1"].is_active, rows["k1"].health_status, rows["k1"].last_seen_message_id) == ("New", True, "healthy", 9)
+    assert (rows["k1"].source_id, rows["k2"].source_id) == (7, 8)
     assert (rows["k2"].is_active, rows["k2"].health_status, rows["k2"].last_seen_message_id) == (False, "pending_validation", None)
 
 

@@ -55,8 +55,9 @@ def test_window_packing_against_a_fold(spark, block_rows):
     rng = random.Random(block_rows)
     rows = [(T0, i, rng.choice([5, 40, 90])) for i in range(400)] + [(T0 + dt.timedelta(minutes=5), 1000 + i, 10) for i in range(33)]
     frame = spark.createDataFrame(rows, "window_end timestamp, post_id bigint, size bigint")
+    frame = frame.withColumn("seen_at", F.timestamp_seconds(F.floor(F.col("post_id") / 3)))
     expected, state = {}, {}
-    for w, post, size in rows:
+    for w, post, size in sorted(rows, key=lambda r: -r[1]):  # newest first
         held, chars, seq = state.get(w, (0, 0, 0))
         if held and (held >= 8 or 2 + chars + size + held > 300):
             held, chars, seq = 0, 0, seq + 1
