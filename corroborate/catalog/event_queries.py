@@ -93,12 +93,41 @@ def _(v):
     )
 
 
-@query("star_clusters", "I4")
+def _stars_sql():
+    """One star of every cluster for each step, until nothing remains (at most 40 steps, one post each)."""
+    touching = "list_filter(alive, lambda e: e.l = p OR e.r = p)"
+    ranks = f"list_transform(remaining, lambda p: {{'d': -len({touching}), 'w': -coalesce(list_sum(list_transform({touching}, lambda e: e.c)), 0.0::DOUBLE), 'p': p}})"
+    return {
+        **_placed_sql(),
+        "usable": "SELECT batch_id, cluster_no, list({'l': left_post_id, 'r': right_post_id, 'c': confidence} ORDER BY left_post_id, right_post_id) AS alive FROM vetted WHERE accepted AND NOT vetoed GROUP BY 1, 2",
+        "paired": """SELECT r.batch_id, r.cluster_no, r.confidence, r.post_ids AS remaining, coalesce(u.alive, list_filter([{'l': 0::BIGINT, 'r': 0::BIGINT, 'c': 0.0::DOUBLE}], lambda e: false)) AS alive
+            FROM resolved r LEFT JOIN usable u USING (batch_id, cluster_no) WHERE r.classification = 'EVENT' AND len(r.post_ids) >= 2""",
+        "stars": f"""SELECT batch_id, cluster_no, confidence, remaining, alive, NULL::BIGINT AS anchor, alive AS mine, remaining AS members FROM paired UNION ALL
+            SELECT batch_id, cluster_no, confidence, list_filter(remaining, lambda p: NOT list_contains(members, p)),
+                list_filter(alive, lambda e: NOT list_contains(members, e.l) AND NOT list_contains(members, e.r)), anchor, mine, members
+            FROM (SELECT *, list_sort(list_distinct(list_concat([anchor], list_concat(list_transform(mine, lambda e: e.l), list_transform(mine, lambda e: e.r))))) AS members
+                  FROM (SELECT *, list_filter(alive, lambda e: e.l = anchor OR e.r = anchor) AS mine
+                        FROM (SELECT batch_id, cluster_no, confidence, remaining, alive, list_sort({ranks})[1].p AS anchor FROM stars WHERE len(remaining) > 0)))""",
+        "clustered": """SELECT batch_id, cluster_no, members AS post_ids, 'EVENT' AS classification, least(confidence, coalesce(list_min(list_transform(mine, lambda e: e.c)), confidence)) AS confidence,
+                anchor AS anchor_post_id, len(mine) AS edge_count FROM stars WHERE anchor IS NOT NULL
+            UNION ALL SELECT batch_id, cluster_no, [p], classification, confidence, p, 0
+            FROM (SELECT *, unnest(post_ids) AS p FROM resolved WHERE NOT (classification = 'EVENT' AND len(post_ids) >= 2))""",
+        "checked": """SELECT batch_id, count(*) AS pair_checks, count(*) FILTER (accepted) AS raw_same_event_edges, count(*) FILTER (accepted AND NOT vetoed) AS accepted_same_event_edges,
+            count(*) FILTER (vetoed) AS hard_contradiction_vetoes, count(*) FILTER (NOT accepted OR vetoed) AS rejected_edges FROM vetted GROUP BY 1""",
+    }
+
+
+@query("star_clusters", "I4", d.sql(f"SELECT batch_id, cluster_no, {ID_LIST.format('post_ids')} AS post_ids, classification, confidence, anchor_post_id, edge_count FROM clustered", _stars_sql()))
 def _(v):
     return flows.clusters(v.proposals, v.corrections, v.batch_posts, v.pair_judgments, v.posts)[0]
 
 
-@query("edge_stats", "D12")
+@query(
+    "edge_stats", "D12",
+    d.sql("""SELECT c.batch_id, c.multi AS final_multi_report_clusters, c.single AS final_singletons, coalesce(pair_checks, 0) AS pair_checks, coalesce(raw_same_event_edges, 0) AS raw_same_event_edges,
+             coalesce(accepted_same_event_edges, 0) AS accepted_same_event_edges, coalesce(hard_contradiction_vetoes, 0) AS hard_contradiction_vetoes, coalesce(rejected_edges, 0) AS rejected_edges
+             FROM (SELECT batch_id, count(*) FILTER (len(post_ids) > 1) AS multi, count(*) FILTER (len(post_ids) = 1) AS single FROM clustered GROUP BY 1) c LEFT JOIN checked k USING (batch_id)""", _stars_sql()),
+)
 def _(v):
     clusters, pairs = flows.clusters(v.proposals, v.corrections, v.batch_posts, v.pair_judgments, v.posts)
     return C.edge_stats(pairs, clusters)
@@ -114,7 +143,17 @@ def _(v):
     return C.edge_stats(pairs, clusters).drop("final_multi_report_clusters", "final_singletons").filter("pair_checks > 0")
 
 
-@query("cluster_decisions", "I5")
+def _decided():
+    from corroborate.functions.text import CATEGORY_PATTERNS
+
+    return d.sql(f"""SELECT batch_id, decision_no, {ID_LIST.format('post_ids')} AS post_ids, CASE WHEN classification IN ('NOISE', 'UNCERTAIN') THEN classification ELSE 'NEW_EVENT' END AS action,
+        NULL::BIGINT AS event_id, NULL::BIGINT AS duplicate_of_post_id, confidence, left(t, 800) AS canonical_fact, {d.first_hit('t', CATEGORY_PATTERNS, "'IRAN'")} AS category,
+        CASE WHEN classification = 'EVENT' THEN 'v8_current_window_anchor_cluster:' || anchor_post_id ELSE 'v8_current_window_' || lower(classification) END AS reason
+        FROM (SELECT c.*, c.post_ids[1] AS decision_no, coalesce(nullif(p.normalized_text, ''), nullif(p.original_text, ''), 'Current-window report') AS t
+              FROM clustered c LEFT JOIN posts p ON p.post_id = c.post_ids[1])""", _stars_sql())
+
+
+@query("cluster_decisions", "I5", _decided())
 def _(v):
     clusters, _ = flows.clusters(v.proposals, v.corrections, v.batch_posts, v.pair_judgments, v.posts)
     return C.decisions_from_clusters(clusters, v.posts)
