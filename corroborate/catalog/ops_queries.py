@@ -111,6 +111,16 @@ def _(v):
     return Q.reservation_stats(rows, 50).withColumn("usage_signal", F.coalesce("usage_signal", F.lit("none")))
 
 
+@query(
+    "reservation_entries", "D13",
+    d.sql("SELECT batch, entry_no, call_id, structured FROM (SELECT batch_id % 5 AS batch, call_id, structured, row_number() OVER (PARTITION BY batch_id % 5 ORDER BY ts, call_id) AS entry_no FROM calls) WHERE entry_no <= 50"),
+)
+def _(v):
+    rows = v.calls.select((F.col("batch_id") % 5).alias("batch_id"), "call_id", "ts", "structured")
+    kept = Q.reservation_entries(rows, ["ts", "call_id"], 50)
+    return kept.select(F.col("batch_id").alias("batch"), F.col("entry_no").cast("bigint").alias("entry_no"), "call_id", "structured")
+
+
 # --- operations --------------------------------------------------------------
 @query("daily_counters", "D3 H34", d.sql("SELECT strftime(ts, '%Y-%m-%d') AS counter_date, event_type AS metric, CAST(sum(cents) AS BIGINT) AS value FROM log GROUP BY 1, 2"))
 def _(v):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.config import CLASSIFICATIONS, LIMITS
@@ -45,59 +45,68 @@ def _cluster_shape_ok(max_posts: int) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def validate_proposals(
-    proposals: DataFrame, batch_posts: DataFrame, max_posts: int = LIMITS.cluster_posts
-) -> DataFrame:
-    """One verdict per proposed batch: ``code`` (null if valid), its failure
-    class and the offending ids.
+def _verdicts(answers: DataFrame, batch_posts: DataFrame, names: tuple[str, ...], max_posts: int) -> DataFrame:
+    """One row for every batch and answer (column ``_answer``) with its code and offending ids.
 
-    Shape errors come first, then the first unknown or repeated id in proposal
-    order, then missing ids. Only batches of valid shape are exploded, so at
-    most 40 x 40 ids of a batch take part.
+    Clusters, their members and the posts of the batch are laid one under the
+    other and dealt out by batch once; every later step groups by more columns
+    than that, so nothing is shuffled again. Answers of wrong shape are not
+    exploded, so at most 40 x 40 ids of an answer take part.
     """
-    shapes = proposals.groupBy("batch_id").agg(
-        F.bool_and(_cluster_shape_ok(max_posts)).alias("_shaped"), F.count("*").alias("_clusters")
-    ).withColumn("_shaped", F.col("_shaped") & (F.col("_clusters") <= max_posts))
-    shaped = shapes.filter("_shaped").select("batch_id")
-    members = (
-        proposals.join(shaped, "batch_id", "left_semi")
-        .select("batch_id", "cluster_no", F.posexplode("post_ids").alias("pos", "post_id"))
-    )
-    expected = batch_posts.select("batch_id", "post_id").distinct().withColumn("_expected", F.lit(True))
-    seen = Window.partitionBy("batch_id", "post_id").orderBy("cluster_no", "pos")
-    flagged = (
-        members.join(expected, ["batch_id", "post_id"], "full_outer")
-        .withColumn("_nth", F.row_number().over(seen))
-        .withColumn(
-            "_code",
-            F.when(F.col("_expected").isNull(), F.lit(UNKNOWN))
-            .when(F.col("cluster_no").isNull(), F.lit(MISSING))
-            .when(F.col("_nth") > 1, F.lit(REPEATED)),
-        )
-        .filter("_code is not null")
+    shapely = answers.withColumn("_ok", _cluster_shape_ok(max_posts))
+    key = ["batch_id", "_answer"]
+    none = F.lit(None).cast("bigint")
+    place = F.struct(F.col("cluster_no").cast("bigint").alias("cluster_no"), F.col("pos").cast("bigint").alias("pos"))
+    shapes = shapely.select(*key, none.alias("post_id"), F.lit(None).cast(PLACE).alias("place"), "_ok", F.lit(False).alias("_expected"))
+    members = shapely.filter("_ok").select(*key, "cluster_no", F.posexplode("post_ids").alias("pos", "post_id"))
+    members = members.select(*key, "post_id", place.alias("place"), F.lit(None).cast("boolean").alias("_ok"), F.lit(False).alias("_expected"))
+    expected = batch_posts.select(
+        "batch_id", F.explode(F.array(*map(F.lit, names))).alias("_answer"), "post_id", F.lit(None).cast(PLACE).alias("place"),
+        F.lit(None).cast("boolean").alias("_ok"), F.lit(True).alias("_expected"),
+    )
+    rows = shapes.unionByName(members).unionByName(expected).repartition("batch_id")
+    places = F.sort_array(F.collect_list("place"))
+    posts = rows.groupBy(*key, "post_id").agg(
+        F.bool_and("_ok").alias("_ok"), F.count("_ok").alias("_clusters"), F.bool_or("_expected").alias("_expected"), places.alias("_places")
     )
-    missing = F.col("_code") == MISSING
-    rank = F.when(~missing, F.struct("cluster_no", "pos", "_code", "post_id"))
-    faults = flagged.groupBy("batch_id").agg(
-        F.min(rank).alias("_first"),
-        F.sort_array(F.collect_set(F.when(missing, F.col("post_id")))).alias("_missing"),
+    code = F.when(~F.col("_expected"), F.lit(UNKNOWN)).when(F.size("_places") > 1, F.lit(REPEATED))
+    at = F.when(F.col("_expected"), F.get("_places", F.lit(1))).otherwise(F.get("_places", F.lit(0)))
+    fault = F.when(F.col("post_id").isNotNull() & code.isNotNull(), F.struct(at.alias("at"), code.alias("code"), "post_id"))
+    missing = F.when(F.col("post_id").isNotNull() & F.col("_expected") & (F.size("_places") == 0), F.col("post_id"))
+    found = posts.groupBy(*key).agg(
+        F.coalesce(F.bool_and("_ok") & (F.sum("_clusters") <= max_posts), F.lit(False)).alias("_shaped"),
+        F.sum("_clusters").alias("_clusters"),
+        F.min(fault).alias("_first"),
+        F.sort_array(F.collect_set(missing)).alias("_missing"),
     )
-    code = (
+    return found.filter("_clusters > 0").select(
+        *key,
         F.when(~F.col("_shaped"), F.lit(INVALID))
-        .when(F.col("_first").isNotNull(), F.col("_first._code"))
+        .when(F.col("_first").isNotNull(), F.col("_first.code"))
         .when(F.size("_missing") > 0, F.lit(MISSING))
-    )
-    offending = (
+        .alias("code"),
         F.when(~F.col("_shaped"), F.array().cast("array<bigint>"))
         .when(F.col("_first").isNotNull(), F.array("_first.post_id"))
-        .otherwise(F.coalesce("_missing", F.array().cast("array<bigint>")))
+        .otherwise(F.col("_missing"))
+        .alias("offending_post_ids"),
     )
+
+
+PLACE = "struct<cluster_no:bigint,pos:bigint>"
+
+
+def validate_proposals(
+    proposals: DataFrame, batch_posts: DataFrame, max_posts: int = LIMITS.cluster_posts
+) -> DataFrame:
+    """One verdict per proposed batch: ``code`` (null if valid), its failure
+    class and the offending ids.
+
+    Shape errors come first, then the first unknown or repeated id in proposal
+    order, then missing ids.
+    """
     classes = F.create_map(*[F.lit(x) for pair in FAILURE_CLASSES.items() for x in pair])
-    return (
-        shapes.join(faults, "batch_id", "left")
-        .select("batch_id", code.alias("code"), offending.alias("offending_post_ids"))
-        .withColumn("failure_class", F.try_element_at(classes, F.col("code")))
-    )
+    verdicts = _verdicts(proposals.withColumn("_answer", F.lit("first")), batch_posts, ("first",), max_posts)
+    return verdicts.drop("_answer").withColumn("failure_class", F.try_element_at(classes, F.col("code")))
 
 
 def resolve_proposals(first: DataFrame, correction: DataFrame, batch_posts: DataFrame) -> DataFrame:
@@ -105,37 +114,38 @@ def resolve_proposals(first: DataFrame, correction: DataFrame, batch_posts: Data
 
     A valid first answer wins, then a valid correction; else every post becomes
     an uncertain singleton with confidence 0. Batches without a first answer do
-    not appear: they stay pending.
+    not appear: they stay pending. Everything is keyed by batch: what is
+    checked and what may be kept are each dealt out by batch once.
     """
-    verdicts = validate_proposals(first, batch_posts).select("batch_id", F.col("code").isNull().alias("_first"))
-    second = validate_proposals(correction, batch_posts).select("batch_id", F.col("code").isNull().alias("_second"))
-    choice = verdicts.join(second, "batch_id", "left").select(
-        "batch_id",
-        F.when(F.col("_first"), F.lit("first"))
-        .when(F.coalesce("_second", F.lit(False)), F.lit("correction"))
-        .otherwise(F.lit("fallback"))
-        .alias("_choice"),
-    )
-    answers = first.withColumn("_choice", F.lit("first")).unionByName(
-        correction.select(*first.columns).withColumn("_choice", F.lit("correction"))
+    answers = first.withColumn("_answer", F.lit("first")).unionByName(
+        correction.select(*first.columns).withColumn("_answer", F.lit("second"))
     )
-    kept = answers.join(choice, ["batch_id", "_choice"], "left_semi").select(
+    verdicts = _verdicts(answers, batch_posts, ("first", "second"), LIMITS.cluster_posts)
+    valid = F.col("code").isNull()
+    choice = verdicts.groupBy("batch_id").agg(
+        F.bool_or(F.col("_answer") == "first").alias("_asked"),
+        F.coalesce(F.min(F.when(valid, F.col("_answer"))), F.lit("neither")).alias("_choice"),
+    ).filter("_asked")
+    offered = answers.select(
         "batch_id",
-        "cluster_no",
+        "_answer",
+        F.col("cluster_no").cast("bigint").alias("cluster_no"),
         F.sort_array("post_ids").alias("post_ids"),
         "classification",
         "confidence",
         F.lit(CLUSTERED).alias("processing_mode"),
     )
-    singles = batch_posts.join(choice.filter("_choice = 'fallback'"), "batch_id", "left_semi").select(
+    singles = batch_posts.select(
         "batch_id",
+        F.lit("neither").alias("_answer"),
         F.col("post_id").alias("cluster_no"),
         F.array("post_id").alias("post_ids"),
         F.lit("UNCERTAIN").alias("classification"),
         F.lit(0.0).alias("confidence"),
         F.lit(FAIL_CLOSED).alias("processing_mode"),
     )
-    return kept.unionByName(singles)
+    candidates = offered.unionByName(singles).repartition("batch_id")
+    return candidates.join(choice, "batch_id").filter("_answer = _choice").drop("_answer", "_choice", "_asked")
 
 
 def proposed_pairs(clusters: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.config import ACTIONS, LIMITS
-from corroborate.functions.text import cross_language, review_tokens
+from corroborate.functions.text import has_latin, has_persian, review_tokens
 from corroborate.functions.timefn import round_half_up
 from corroborate.operators.blocks import first_per_key, last_per_key, top_per_key
 from corroborate.operators.ops import latency_summary
@@ -105,25 +105,24 @@ def false_splits(batch_posts: DataFrame, decisions: DataFrame, history: DataFram
 def cross_language_pairs(batch_posts: DataFrame, history: DataFrame, decisions: DataFrame) -> DataFrame:
     """Pairs of one batch that share a stored event across scripts.
 
-    The join runs on (batch, event): a batch is packed to a few dozen posts,
-    which bounds the pairs. ``batch_posts`` has batch_id, post_id and text.
+    Posts in Persian script meet posts in Latin script on (batch, event);
+    texts stay behind. A batch is packed to a few dozen posts, which bounds the
+    pairs. ``batch_posts`` has batch_id, post_id and text.
     """
-    rows = batch_posts.join(history, "post_id").join(last_groups(decisions), ["batch_id", "post_id"], "left")
-    left = rows.select(
-        "batch_id", "event_id", F.col("post_id").alias("left_post_id"), F.col("text").alias("_lt"), F.col("predicted_group").alias("_lg")
-    )
-    right = rows.select(
-        "batch_id", "event_id", F.col("post_id").alias("right_post_id"), F.col("text").alias("_rt"), F.col("predicted_group").alias("_rg")
-    )
+    script = [has_persian(F.col("text")).alias("_fa"), has_latin(F.col("text")).alias("_la")]
+    posts = batch_posts.select("batch_id", "post_id", *script).filter("_fa or _la")
+    rows = posts.join(history, "post_id").join(last_groups(decisions), ["batch_id", "post_id"], "left")
+    key = ["batch_id", "event_id"]
+    left = rows.filter("_fa").select(*key, F.col("post_id").alias("_a"), F.col("predicted_group").alias("_ag"))
+    right = rows.filter("_la").select(*key, F.col("post_id").alias("_b"), F.col("predicted_group").alias("_bg"))
     return (
-        left.join(right, ["batch_id", "event_id"])
-        .filter("left_post_id < right_post_id")
-        .filter(cross_language(F.col("_lt"), F.col("_rt")))
+        left.join(right, key)
+        .filter("_a <> _b")
         .select(
             "batch_id",
-            "left_post_id",
-            "right_post_id",
-            F.when(F.col("_lg").eqNullSafe(F.col("_rg")), F.lit("grouped")).otherwise(F.lit("separated")).alias("result"),
+            F.least("_a", "_b").alias("left_post_id"),
+            F.greatest("_a", "_b").alias("right_post_id"),
+            F.when(F.col("_ag").eqNullSafe(F.col("_bg")), F.lit("grouped")).otherwise(F.lit("separated")).alias("result"),
         )
         .distinct()
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corroborate.config import LIMITS
 from corroborate.functions.timefn import day_key
-from corroborate.operators.blocks import number_rows, running_sum, time_block, trailing_counts
+from corroborate.operators.blocks import number_rows, running_sum, time_block, top_per_key, trailing_counts
 
 CALL_ORDER = ["ts", "call_id"]
 
@@ -116,7 +116,7 @@ def usage_signal(calls: Column) -> Column:
 
 
 def reservation_stats(events: DataFrame, keep: int = LIMITS.telemetry_entries) -> DataFrame:
-    """Reservation counters per batch; entries past ``keep`` are only counted."""
+    """Reservation counters per batch; ``reservation_entries`` has the first ``keep`` entries themselves."""
     return (
         events.groupBy("batch_id")
         .agg(
@@ -130,6 +130,11 @@ def reservation_stats(events: DataFrame, keep: int = LIMITS.telemetry_entries) -
     )
 
 
+def reservation_entries(events: DataFrame, order: list, keep: int = LIMITS.telemetry_entries) -> DataFrame:
+    """The first ``keep`` reservation entries of every batch, with their place."""
+    return top_per_key(events, ["batch_id"], order, keep, "entry_no")
+
+
 def usage_by_stage(calls: DataFrame) -> DataFrame:
     """Admitted calls and their cost per day and stage."""
     return calls.groupBy("day", "stage").agg(F.count("*").alias("calls"), F.sum("cost").alias("cost"))

@@ -180,3 +180,20 @@ def test_applying_twice_changes_nothing(spark):
     latest = upsert_latest(empty, rows, ["batch_id", "post_id"], ["v"])
     again = upsert_latest(latest, rows, ["batch_id", "post_id"], ["v"])
     assert sorted(latest.collect()) == sorted(again.collect()) == [(1, 2, "b"), (1, 3, "c")]
+
+
+def test_exchanges_of_resolved_proposals(spark):
+    """Everything is keyed by batch: what is checked and what may be kept are dealt out once each."""
+    from corroborate.operators.clusters import resolve_proposals
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        answers = spark.createDataFrame(
+            [(1, 0, [1, 2], "EVENT", 0.9)], "batch_id long, cluster_no long, post_ids array<long>, classification string, confidence double"
+        )
+        posts = spark.createDataFrame([(1, 1), (1, 2)], "batch_id long, post_id long")
+        plan = resolve_proposals(answers, answers, posts)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange RoundRobin") <= 3
+    assert plan.count("BroadcastExchange") <= 1
