@@ -424,16 +424,31 @@ def _band(x: str) -> str:
     return f"CASE WHEN {x} >= 90 THEN 'BREAKING' WHEN {x} >= 78 THEN 'CANDIDATE' WHEN {x} >= 60 THEN 'MONITOR' ELSE 'IGNORE' END"
 
 
-@query(
-    "confirmed_events", "D1 D2 H36 F2 I10",
-    d.sql(f"""SELECT event_id, verification_status, independent_confirmation_count, source_count, category, importance_score, {_band('importance_score')} AS band FROM scored""",
-          {**_GROUPS, **_FACTS, "joined": "SELECT f.*, v.* EXCLUDE (event_id), 'active' AS event_state FROM facts f JOIN verified v USING (event_id)", "scored": _score_sql("joined")}),
-)
+_CONFIRMED = d.sql(
+    f"""SELECT event_id, verification_status, independent_confirmation_count, source_count, category, importance_score, {_band('importance_score')} AS band FROM scored""",
+    {**_GROUPS, **_FACTS, "joined": "SELECT f.*, v.* EXCLUDE (event_id), 'active' AS event_state FROM facts f JOIN verified v USING (event_id)", "scored": _score_sql("joined")},
+)
+
+
+@query("confirmed_events", "D1 D2 H36 F2 I10", _CONFIRMED)
 def _(v):
-    """Flagship: every event with its verification and score, best first."""
+    """Flagship: every event with its verification and score, best first; a copied report confirms nothing."""
     return flows.confirmed_events(v.links, v.posts, v.sources, now())
 
 
+@query("confirmed_with_copies", "I10 D1 D2 H36", _CONFIRMED)
+def _(v):
+    """The flagship from its parts: evidence, copies, origins, verification."""
+    from corroborate.operators.evidence import event_facts
+
+    rows, copies = _copied(v, v.links)
+    verified = V.verify_events(V.origin_groups(V.propagate_origins(rows, copies)))
+    events = event_facts(rows).join(verified, "event_id").withColumn("event_state", F.lit("active"))
+    return X.score_events(events, now()).select(
+        "event_id", "verification_status", "independent_confirmation_count", "source_count", "category", "importance_score", "band"
+    )
+
+
 def _entity_hits(expr):
     from corroborate.functions.text import ENTITY_PATTERNS
 
