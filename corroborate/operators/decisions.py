@@ -67,75 +67,85 @@ def validate_decisions(
     have (batch_id, post_id), ``known_events`` (batch_id, event_id).
     """
     allowed = expected if allowed is None else allowed
-    fields = decisions.withColumn("_code", _field_code()).groupBy("batch_id").agg(
-        F.count("*").alias("_n"), F.min(F.when(F.col("_code").isNotNull(), F.struct("decision_no", "_code"))).alias("_f")
+    batch = Window.partitionBy("batch_id")
+    checked = decisions.repartition("batch_id").withColumn("_code", _field_code()).withColumns(
+        {
+            "_n": F.count("*").over(batch),
+            "_first": F.min(F.when(F.col("_code").isNotNull(), F.struct("decision_no", "_code"))).over(batch),
+        }
     )
-    field_code = F.when(F.col("_n") > MAX_DECISIONS, F.lit(INVALID)).otherwise(F.col("_f._code"))
-    fields = fields.select("batch_id", field_code.alias("_field"))
-    sound = decisions.join(fields.filter("_field is null").select("batch_id"), "batch_id", "left_semi")
-
-    posts_ok = allowed.select("batch_id", "post_id").distinct().withColumn("_ok", F.lit(True))
-    events_ok = known_events.select("batch_id", "event_id").distinct().withColumn("_ok", F.lit(True))
-
-    def hits(df: DataFrame, stage: int, pos: Column, code: Column) -> DataFrame:
-        return df.select(
-            "batch_id",
-            F.struct(F.lit(stage).alias("stage"), F.col("decision_no").alias("no"), pos.cast("int").alias("pos")).alias("rank"),
-            code.alias("code"),
-        )
-
-    unknown_events = hits(
-        sound.filter("event_id is not null").join(events_ok, ["batch_id", "event_id"], "left").filter("_ok is null"),
-        1, F.lit(-1), F.lit(UNKNOWN_EVENT),
-    )
-    members = sound.select(
-        "batch_id", "decision_no", "action", F.posexplode("post_ids").alias("pos", "post_id")
-    )
-    nth = Window.partitionBy("batch_id", "post_id").orderBy("decision_no", "pos")
-    checked = (
-        members.withColumn("_nth", F.row_number().over(nth))
-        .join(posts_ok, ["batch_id", "post_id"], "left")
-        .withColumn(
-            "_code",
-            F.when(F.col("_ok").isNull(), F.lit(UNKNOWN_POST)).when(F.col("_nth") > 1, F.lit(CONTRADICTORY)),
-        )
+    field = F.when(F.col("_n") > MAX_DECISIONS, F.lit(INVALID)).otherwise(F.col("_first._code"))
+    checked = checked.withColumn("_field", field)
+    sound = checked.filter("_field is null")
+    no = F.col("decision_no").cast("bigint")
+
+    def rows(df: DataFrame, space: str, key: Column | None = None, **facts: Column) -> DataFrame:
+        """What one table says about a post, an event or the batch; facts it does not have are null."""
+        columns = [F.lit(None).cast(kind).alias(name) if name not in facts else facts[name].cast(kind).alias(name) for name, kind in FACTS]
+        return df.select("batch_id", F.lit(space).alias("space"), (F.lit(None) if key is None else key).cast("bigint").alias("id"), *columns)
+
+    members = sound.select("batch_id", "decision_no", "action", F.posexplode("post_ids").alias("pos", "post_id"))
+    place = F.struct(no.alias("no"), F.col("pos").cast("int").alias("pos"))
+    unsafe = F.col("action").isin("NOISE", "DUPLICATE", "UNCERTAIN")
+    true = F.lit(True)
+    facts = (
+        rows(checked, "batch", decided=true, field=F.col("_field"))
+        .unionByName(rows(members, "post", F.col("post_id"), place=place, unsafe=unsafe))
+        .unionByName(rows(sound.filter("duplicate_of_post_id is not null"), "post", F.col("duplicate_of_post_id"), target=no))
+        .unionByName(rows(sound.filter("event_id is not null"), "event", F.col("event_id"), target=no))
+        .unionByName(rows(allowed, "post", F.col("post_id"), known=true))
+        .unionByName(rows(expected, "post", F.col("post_id"), wanted=true))
+        .unionByName(rows(known_events, "event", F.col("event_id"), known=true))
+        .repartition("batch_id")
     )
-    bad_posts = hits(checked.filter("_code is not null"), 1, F.col("pos"), F.col("_code"))
-    targets = sound.filter("duplicate_of_post_id is not null").select(
-        "batch_id", "decision_no", F.col("duplicate_of_post_id").alias("post_id")
+    each = facts.groupBy("batch_id", "space", "id").agg(
+        F.sort_array(F.collect_list("place")).alias("places"),
+        *[F.coalesce(F.bool_or(name), F.lit(False)).alias(name) for name in ("unsafe", "known", "wanted", "decided")],
+        F.min("target").alias("target"),
+        F.min("field").alias("field"),
     )
-    unknown_targets = hits(
-        targets.join(posts_ok, ["batch_id", "post_id"], "left").filter("_ok is null"),
-        1, F.lit(MAX_POSTS + 1), F.lit(UNKNOWN_TARGET),
-    )
-    wanted = expected.select("batch_id", "post_id").distinct()
-    unexpected = hits(
-        members.join(wanted, ["batch_id", "post_id"], "left_anti"), 2, F.col("pos"), F.lit(UNEXPECTED)
+    first, second = F.get("places", F.lit(0)), F.get("places", F.lit(1))
+    named, post, event = F.size("places") > 0, F.col("space") == "post", F.col("space") == "event"
+    aimed, known = F.col("target").isNotNull(), F.col("known")
+
+    def fault(when: Column, stage: int, number: Column, pos: Column, code: str) -> Column:
+        rank = F.struct(F.lit(stage).alias("stage"), number.cast("bigint").alias("no"), pos.cast("int").alias("pos"))
+        return F.when(when, F.struct(rank.alias("rank"), F.lit(code).alias("code")))
+
+    faults = F.array_min(
+        F.array_compact(
+            F.array(
+                fault(event & aimed & ~known, 1, F.col("target"), F.lit(-1), UNKNOWN_EVENT),
+                fault(post & named & ~known, 1, first["no"], first["pos"], UNKNOWN_POST),
+                fault(post & known & (F.size("places") > 1), 1, second["no"], second["pos"], CONTRADICTORY),
+                fault(post & aimed & ~known, 1, F.col("target"), F.lit(MAX_POSTS + 1), UNKNOWN_TARGET),
+                fault(post & named & ~F.col("wanted"), 2, first["no"], first["pos"], UNEXPECTED),
+                fault(post & F.col("wanted") & ~named, 3, F.lit(0), F.lit(0), MISSING),
+                fault(post & aimed & F.col("unsafe"), 4, F.col("target"), F.lit(0), BAD_TARGET),
+            )
+        )
     )
-    batches = sound.select("batch_id").distinct()
-    missing = hits(
-        wanted.join(batches, "batch_id", "left_semi")
-        .join(members.select("batch_id", "post_id"), ["batch_id", "post_id"], "left_anti")
-        .withColumn("decision_no", F.lit(0).cast(dict(decisions.dtypes)["decision_no"])),
-        3, F.lit(0), F.lit(MISSING),
-    )
-    unsafe = members.filter(F.col("action").isin("NOISE", "DUPLICATE", "UNCERTAIN")).select("batch_id", "post_id")
-    bad_targets = hits(targets.join(unsafe.distinct(), ["batch_id", "post_id"], "left_semi"), 4, F.lit(0), F.lit(BAD_TARGET))
-    faults = (
-        unknown_events.unionByName(bad_posts)
-        .unionByName(unknown_targets)
-        .unionByName(unexpected)
-        .unionByName(missing)
-        .unionByName(bad_targets)
-        .groupBy("batch_id")
-        .agg(F.min_by("code", "rank").alias("_fault"))
+    found = each.groupBy("batch_id").agg(
+        F.bool_or("decided").alias("_decided"), F.min("field").alias("_field"), F.min(faults).alias("_fault")
     )
-    code = F.coalesce("_field", "_fault")
-    return fields.join(faults, "batch_id", "left").select(
+    code = F.coalesce("_field", "_fault.code")
+    return found.filter("_decided").select(
         "batch_id", code.alias("code"), F.coalesce(code.isin(*RECOVERABLE), F.lit(False)).alias("recoverable")
     )
 
 
+#: What ``validate_decisions`` gathers about posts, events and batches.
+FACTS = (
+    ("place", "struct<no:bigint,pos:int>"),
+    ("target", "bigint"),
+    ("unsafe", "boolean"),
+    ("known", "boolean"),
+    ("wanted", "boolean"),
+    ("decided", "boolean"),
+    ("field", "string"),
+)
+
+
 def ambiguous_posts(decisions: DataFrame, threshold: float = LIMITS.ambiguity) -> DataFrame:
     """Posts of uncertain or low-confidence decisions."""
     unsure = (F.col("action") == "UNCERTAIN") | (F.col("confidence") < threshold)
