@@ -442,7 +442,13 @@ def _(v):
     return v.log.select("event_id", scoring.clamp(F.col("value") - 20).alias("score"))
 
 
-@query("link_rows", "H27")
+@query(
+    "link_rows", "H27",
+    d.sql("""SELECT story, k // 2 AS row_no, string_agg(left(label, 32) || '=' || url, ' | ' ORDER BY k) AS buttons
+             FROM (SELECT *, row_number() OVER (PARTITION BY story ORDER BY first_post) - 1 AS k
+                   FROM (SELECT (post_id - 1) // 8 AS story, 'https://t.me/c' || (source_id % 5) AS url, arg_min('Channel ' || source_id, post_id) AS label, min(post_id) AS first_post
+                         FROM raw_posts GROUP BY 1, 2)) GROUP BY 1, 2"""),
+)
 def _(v):
     """Link rows of the posts of each packed batch of eight."""
     link = F.struct("post_id", F.col("source_id").alias("s"))

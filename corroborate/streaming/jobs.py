@@ -135,8 +135,9 @@ def read_counters(spark: SparkSession, out: str) -> DataFrame:
 def admission_stream(calls: DataFrame, caps: Column, out: str, once: bool = False) -> StreamingQuery:
     """Daily caps on a stream of calls, in arrival order of micro-batches.
 
-    What earlier batches admitted is a small table of (day, stage) counts;
-    positions inside the batch come from the blocked batch operator, so a busy
+    What earlier batches admitted is a small table of (day, stage) counts,
+    stored by day: a batch reads the days of its own calls only, so its cost
+    does not grow with the run. Positions inside the batch come from the blocked batch operator, so a busy
     stage is not one task's work.
     """
 
@@ -144,7 +145,9 @@ def admission_stream(calls: DataFrame, caps: Column, out: str, once: bool = Fals
         spark = rows.sparkSession
         used = spark.createDataFrame([], "day string, stage string, n bigint, batch_id int")
         if batch_id > 0:
-            used = spark.read.schema(used.schema).parquet(f"{out}/usage").filter(F.col("batch_id") < batch_id)
+            days = [r["day"] for r in rows.select("day").distinct().collect()]  # a micro-batch spans few days
+            used = spark.read.schema(used.schema).parquet(f"{out}/usage")
+            used = used.filter(F.col("day").isin(days) & (F.col("batch_id") < batch_id))
         before = used.groupBy("day", "stage").agg(F.sum("n").alias("_used"))
         rest = rows.withColumn("_cap", caps).join(before, ["day", "stage"], "left")
         left = F.greatest(F.lit(0), F.col("_cap") - F.coalesce("_used", F.lit(0)))
@@ -152,6 +155,6 @@ def admission_stream(calls: DataFrame, caps: Column, out: str, once: bool = Fals
         decided.write.mode("overwrite").parquet(f"{out}/calls/batch_id={batch_id}")
         stored = spark.read.parquet(f"{out}/calls/batch_id={batch_id}")
         counts = stored.filter("admitted").groupBy("day", "stage").agg(F.count("*").alias("n"))
-        counts.write.mode("overwrite").parquet(f"{out}/usage/batch_id={batch_id}")
+        counts.write.mode("overwrite").partitionBy("day").parquet(f"{out}/usage/batch_id={batch_id}")
 
     return per_batch(calls, admit, f"{out}/_checkpoints/admissions", once)
