@@ -122,9 +122,10 @@ def _pass(docs: DataFrame, text: str, sent, window: int, carried: str | None) ->
     both = found.withColumn(spans, F.concat("hit_words", F.col(f"{carried}.hit_words")))
     ids = F.array_sort(F.array_union("item_ids", F.col(f"{carried}.item_ids")))
     both = both.withColumn("item_ids", ids)
+    (joined,) = fresh_names(both, "_joined")
     return add_columns(
-        both.withColumn("_text_and_ranges", F.to_json(F.struct(F.col(text).alias("t"), F.col(spans).alias("r")))),
-        "_text_and_ranges",
+        both.withColumn(joined, F.to_json(F.struct(F.col(text).alias("t"), F.col(spans).alias("r")))),
+        joined,
         "hit_words array<struct<first:bigint,last:bigint>>, spans array<struct<first:bigint,last:bigint>>",
         _joiner,
     ).select(*[c for c in [*docs.columns] if c != carried and c not in ("n_words", "hit_words", "item_ids", "spans")],

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import TOKEN, without
+from corroborate.llm.common import TOKEN, fresh_names, without
 from corroborate.session import cut_lineage
 
 #: Result columns.
@@ -106,9 +106,10 @@ def mix(
     """
     u, w = uniform(F.col(doc_id), seed), F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
     rows = docs.select(
-        *without(docs, *ADDED),
+        F.struct(*without(docs, *ADDED)).alias("_row"),  # so that no column of the input clashes with those below
         size.alias("size"),
         (-F.log(u) / w).alias("_key"),
+        F.col(doc_id).alias("_id"),
         (tie if tie is not None else F.lit(0).cast("bigint")).alias("_tie"),
         F.col(source).isNull().alias("_no_source"),
         F.coalesce(F.col(source), F.lit("")).alias("_source"),
@@ -142,13 +143,13 @@ def mix(
         )
         .drop("_words")
     )
-    inside = Window.partitionBy(*part).orderBy("_key", F.col(doc_id), "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*part).orderBy("_key", "_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = cut.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before, part)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.floor(F.col("target") - F.col("_epochs") * F.col("source_size"))
     fraction = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before") - F.col("_inside")))
     return placed.withColumn("_epochs", epochs.cast("bigint")).select(
-        *without(docs, *ADDED),
+        "_row.*",
         "size",
         F.col("source_size").cast("bigint").alias("source_size"),
         "target",
@@ -164,18 +165,14 @@ def repeat_taken(mixed: DataFrame, text: str = "text", n_chars: str | None = Non
     is named. Documents of which nothing is taken go; documents without words
     have nothing to take and go too.
     """
+    (words,) = fresh_names(mixed, "_words")
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     rest = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = F.array_repeat(F.lit(-1), whole.cast("int"))
     copies = F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)
-    first_words = F.concat_ws(
-        " ", F.slice(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), 1, F.col("_words"))
-    )
-    taken = mixed.withColumn("_words", F.explode(copies))
-    cut = F.when(F.col("_words") > 0, first_words).otherwise(F.col(text))
-    out = taken.withColumn(text, cut)
+    first_words = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), 1, F.col(words)))
+    taken = mixed.withColumn(words, F.explode(copies))
+    out = taken.withColumn(text, F.when(F.col(words) > 0, first_words).otherwise(F.col(text)))
     if n_chars is not None:
-        out = out.withColumn(n_chars, F.when(F.col("_words") > 0, F.length(text)).otherwise(F.col(n_chars)))
-    return out.drop("_words")
-
-
+        out = out.withColumn(n_chars, F.when(F.col(words) > 0, F.length(text)).otherwise(F.col(n_chars)))
+    return out.drop(words)

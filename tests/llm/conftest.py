@@ -22,7 +22,7 @@ def odd_docs(spark):
     """Awkward documents with columns whose names clash with those of results."""
     from pyspark.sql import functions as F
 
-    extra = {c: F.lit("mine") for c in ("n_words", "labels", "score", "taken", "content", "_read", "key", "kept", "host")}
+    extra = {c: F.lit("mine") for c in ("n_words", "labels", "score", "taken", "content", "_read", "key", "kept", "host", "_key", "_words", "_row")}
     return spark.createDataFrame(ROWS, SCHEMA).withColumns(extra)
 
 

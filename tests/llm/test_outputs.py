@@ -79,7 +79,7 @@ def one_by_one_targets(sizes, weights=(5, 2, 1), most=3):
 def test_mix(spark, odd_docs, no_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     hot = F.when(F.col("doc_id") % 3 == 0, F.lit("src0")).otherwise(F.col("source"))
-    docs = docs.withColumn("source", hot).unionByName(odd_docs.select(*docs.columns)).withColumn("taken", F.lit("mine"))
+    docs = docs.withColumn("source", hot).unionByName(odd_docs.select(*docs.columns)).withColumns({c: F.lit("mine") for c in ("taken", "_key", "_words", "_row", "_source")})
     text = F.col("text")
     runs = [mixing.mix(docs, mixing.word_count(text), mixing.text_weight(text), tie=F.xxhash64(text), blocks=b) for b in (4, 40)]
     keys = ("doc_id", "size", "source_size", "target", "taken")
