@@ -1,7 +1,7 @@
 """Near-duplicate classes by BagMinHash signatures, banding and verified multiset overlap.
 
-1. Texts with the same words in the same order are one *content* (MD5 of the
-   normalised text); a thousand copies are one row from here on.
+1. Equal texts are one *content* (the MD5 of the text); a thousand copies are
+   one row from here on.
 2. Contents get BagMinHash signatures, cut into bands. Contents that share a
    band are candidates: at a similarity of 0.8, 32 bands of 6 components miss
    a pair with probability 6e-5.
@@ -28,17 +28,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.llm.bagminhash import BagMinHash, Shingler, band_keys, overlap, weigh
-from corroborate.llm.common import add_columns, fresh_names, lower_ascii, slices, strings
+from corroborate.llm.common import TERM_ANY_CASE, add_columns, fresh_names, slices, strings
 from corroborate.session import cut_lineage
 
 #: Texts of one group that are compared with one copy of its centre.
 GROUP_ROWS = 256
 
 
+#: Contents whose texts are looked up by a broadcast of their 16 bytes; with more the texts are shuffled.
+BROADCAST_CONTENTS = 250_000
+
+
 def content_of(text: Column) -> Column:
-    """16 bytes that stand for the words of a text in order; null if it has none."""
-    words = F.trim(F.regexp_replace(lower_ascii(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    return F.when(F.length(words) > 0, F.unhex(F.md5(words)))
+    """16 bytes that stand for a text; null if it has no word."""
+    return F.when(text.rlike(TERM_ANY_CASE), F.unhex(F.md5(text)))
 
 
 def near_duplicates(
@@ -151,8 +154,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -
         F.lit(0).alias("role"),
     )
     roles = roles.unionByName(own)
-    needed = roles.select("content").distinct()
-    # Copies of a content have texts that give the same shingles; any of them will do.
+    needed = cut_lineage(roles.select("content").distinct())
+    if needed.count() <= BROADCAST_CONTENTS:
+        needed = F.broadcast(needed)
     one = texts.join(needed, "content", "left_semi").groupBy("content").agg(F.min("text").alias("text"))
     sent = one.join(roles, "content").select("centre", "salt", "role", "content", "text")
     sent = sent.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
