@@ -78,14 +78,19 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 class BagMinHash:
-    def __init__(self, components: int = 192):
-        self.m = components
+    def __init__(self, components: int = 192, at_once: int = 64):
+        self.m, self.at_once = components, at_once  # a text has thousands of points, so few texts are signed together
 
     def __call__(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """One row of ``m`` 64-bit point names for each multiset; empty ones give zeros."""
         out = np.zeros((len(bags), self.m), np.uint64)
-        todo = np.array([i for i, (x, _) in enumerate(bags) if len(x)], np.int64)
-        slack = 7.0
+        some = [i for i, (x, _) in enumerate(bags) if len(x)]
+        for at in range(0, len(some), self.at_once):
+            self.sign(bags, np.array(some[at : at + self.at_once], np.int64), out)
+        return out
+
+    def sign(self, bags, todo: np.ndarray, out: np.ndarray) -> None:
+        slack = 3.0
         while len(todo):
             shingle = np.concatenate([bags[i][0] for i in todo])
             weight = np.concatenate([bags[i][1] for i in todo]).astype(np.float64)
@@ -95,7 +100,6 @@ class BagMinHash:
             done = np.isfinite(times).all(axis=1)
             out[todo[done]] = names[done]
             todo, slack = todo[~done], slack * 2
-        return out
 
     def points(self, shingle, weight, row, rows, horizon) -> tuple[np.ndarray, np.ndarray]:
         names = np.zeros((rows, self.m), np.uint64)
@@ -115,22 +119,29 @@ class BagMinHash:
         return names, times
 
     def level(self, seed, weight, row, horizon, low, high):
-        """Points of the strips' part between heights ``low`` and ``high``."""
+        """Points of the strips' part between heights ``low`` and ``high``, as far as the horizon.
+
+        Most strips of a long text have no point before the horizon, the few
+        of a short one have many, so twice as many are drawn in each step.
+        """
         rate = self.m * (high - low)
-        time = np.zeros(len(seed))
-        step = 0
-        while True:
-            step += 1
-            draw = mix64(seed + _gold(step))
-            time = time - np.log((draw >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / rate
-            near = time <= horizon[row]
-            if not near.any():
-                return
-            seed, weight, row, time, draw = seed[near], weight[near], row[near], time[near], draw[near]
-            name = mix64(draw ^ _GOLD)
+        time, done, count = np.zeros(len(seed)), 0, 1
+        while len(seed):
+            steps = np.arange(done + 1, done + count + 1, dtype=np.uint64) * _GOLD
+            draw = mix64(seed[:, None] + steps)
+            gaps = -np.log((draw >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / rate
+            gaps[:, 0] += time
+            times = np.cumsum(gaps, axis=1)
+            near = times <= horizon[row][:, None]
+            i, j = np.nonzero(near)
+            name = mix64(draw[i, j] ^ _GOLD)
             height = low + (mix64(name) >> np.uint64(11)).astype(np.float64) * 2.0**-53 * (high - low)
-            inside = height < weight
-            yield row[inside], (name % np.uint64(self.m)).astype(np.int64)[inside], time[inside], name[inside]
+            inside = height < weight[i]
+            i, name = i[inside], name[inside]
+            yield row[i], (name % np.uint64(self.m)).astype(np.int64), times[i, j[inside]], name
+            more = near[:, -1]
+            seed, weight, row, time = seed[more], weight[more], row[more], times[more, -1]
+            done, count = done + count, min(2 * count, 256)
 
 
 def band_keys(signatures: np.ndarray, rows_per_band: int) -> np.ndarray:

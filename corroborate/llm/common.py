@@ -83,6 +83,11 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def thinned(key: Column, share) -> Column:
+    """True for about ``share`` of all keys, by hash: the same ones in each run."""
+    return F.pmod(F.xxhash64(key, F.lit("thin")), F.lit(1 << 30)) < share * float(1 << 30)
+
+
 def without(df: DataFrame, *names: str) -> list[Column]:
     """The columns of ``df`` but those of the given names (a result replaces a column of its name)."""
     gone = {n.lower() for n in names}
@@ -118,13 +123,16 @@ def strings(array: pa.Array) -> pa.Array:
     return array if pa.types.is_large_string(array.type) else array.cast(pa.large_string())
 
 
-def slices(batch: pa.RecordBatch, column: int, bytes_at_once: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part has about ``bytes_at_once`` of text, one row at least."""
+def slices(
+    batch: pa.RecordBatch, column: int, bytes_at_once: int = 1 << 20, rows_at_once: int = 2048
+) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part has about ``bytes_at_once`` of text and few rows, one row at least."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = (np.cumsum(sizes.astype(np.int64)) - sizes) // bytes_at_once
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    cut = (np.diff(group) > 0) | (np.arange(1, batch.num_rows) % rows_at_once == 0)
+    edges = [0, *(np.flatnonzero(cut) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
         yield batch.slice(a, b - a)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import add_columns, received, send, text_buffer
+from corroborate.llm.common import add_columns, received, send, text_buffer, thinned
 
 WINDOW = 64
 UNDETERMINED = "und"
@@ -223,13 +223,24 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> t
 def sample_texts(
     docs: DataFrame, text: str, language: str, doc_id: str, allowed: Column, max_rows: int, max_chars: int
 ) -> list[tuple[str, str]]:
-    """At most ``max_rows`` texts of at most ``max_chars`` characters, as many of each language as possible."""
+    """At most ``max_rows`` texts of at most ``max_chars`` characters, as many of each language as possible.
+
+    Texts without an id are left out. There are few languages, and their
+    counts come to the driver.
+    """
     rows = docs.select(
         F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"), F.col(language).alias("language")
-    ).filter(allowed & F.col("language").isNotNull() & F.col("text").isNotNull())
+    ).filter(
+        allowed & F.col("_id").isNotNull() & F.col("language").isNotNull() & F.col("text").isNotNull()
+    )
     rows = rows.filter((F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}"))
-    kinds = rows.select("language").distinct().count()
-    each = max(1, max_rows // max(1, kinds))
+    counts = {r["language"]: r["count"] for r in rows.groupBy("language").count().collect()}
+    if not counts:
+        return []
+    each = max(1, max_rows // len(counts))
+    # About twice as many of each language as needed go on, however many there are.
+    shares = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, 2.0 * each / n)])
+    rows = rows.filter(thinned(F.col("_id"), F.element_at(shares, F.col("language"))))
     order = Window.partitionBy("language").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text"))
     found = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each).orderBy("language", "_n")
     return [(r["text"], r["language"]) for r in found.select("text", "language").limit(max_rows).collect()]

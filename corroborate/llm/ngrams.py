@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import IS_TOKEN_BYTE, LOWER_BYTES, SpanHash, mix64, text_buffer, word_bounds
+from corroborate.llm.common import IS_TOKEN_BYTE, LOWER_BYTES, SpanHash, mix64, text_buffer, thinned, word_bounds
 
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -116,6 +116,8 @@ def labelled_sample(
     )
     if allowed is not None:
         chosen = chosen.filter(allowed)
+    # About twice as many as needed go on, however many labels there are.
+    chosen = chosen.filter(thinned(F.col("_id"), 8 * max_rows / max(1, chosen.count())))
     chosen = chosen.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(order, "_id").limit(4 * max_rows)
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
     texts = texts.filter(f"_text is not null and length(_text) <= {max_chars}")
