@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +68,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def files_stamp(spark: SparkSession, path: str) -> str:
+    """A name for the present content of a path: places, sizes and times of its files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+    seen = []
+    while found.hasNext():
+        status = found.next()
+        seen.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def derived_table(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the files at ``source``, written to the shared folder and scanned from there.
+
+    Its place follows from the files as they are now, so a changed source
+    never gives an old answer. A table whose writing broke off has no success
+    mark and is written anew.
+    """
+    path = f"{shared_folder(spark)}/tables/{name}-{files_stamp(spark, source)}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def compute_once(df: DataFrame, name: str, value) -> DataFrame:
     """``df`` with a column that later filters do not recompute.
 
