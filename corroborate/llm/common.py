@@ -124,7 +124,7 @@ def strings(array: pa.Array) -> pa.Array:
 
 
 def slices(
-    batch: pa.RecordBatch, column: int, bytes_at_once: int = 1 << 20, rows_at_once: int = 2048
+    batch: pa.RecordBatch, column: int, bytes_at_once: int = 1 << 19, rows_at_once: int = 2048
 ) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part has about ``bytes_at_once`` of text and few rows, one row at least."""
     if not batch.num_rows:

@@ -84,7 +84,7 @@ class WordCache:
     Words are told apart by 64-bit hashes. At most ``most`` words are kept.
     """
 
-    def __init__(self, tokenizer, dtype, most: int = 1_000_000):
+    def __init__(self, tokenizer, dtype, most: int = 250_000):
         self.tokenizer, self.dtype, self.most = tokenizer, np.dtype(dtype), most
         self.marking = type(tokenizer).from_str(tokenizer.to_str())
         self.marking.encode_special_tokens = False
