@@ -86,9 +86,7 @@ class WordCache:
 
     def __init__(self, tokenizer, dtype, most: int = 250_000):
         self.tokenizer, self.dtype, self.most = tokenizer, np.dtype(dtype), most
-        self.marking = type(tokenizer).from_str(tokenizer.to_str())
-        self.marking.encode_special_tokens = False
-        added = self.marking.get_added_tokens_decoder().items()
+        added = tokenizer.get_added_tokens_decoder().items()
         self.mark_id, self.mark = next((i, t.content) for i, t in added if t.special)
         self.hash, self.alphabet = SpanHash(), byte_alphabet()
         self.clear()
@@ -166,7 +164,9 @@ class WordCache:
         for i in range(0, len(others), 4096):
             some = others[i : i + 4096]
             joined = self.mark.join([text for _, text in some])
-            (found,) = self.marking.encode_batch_fast([joined], add_special_tokens=False)
+            self.tokenizer.encode_special_tokens = False  # only here the mark is a token
+            (found,) = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
+            self.tokenizer.encode_special_tokens = True
             at = 0
             for token in found.ids:
                 if token == self.mark_id:
