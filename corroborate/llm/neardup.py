@@ -7,7 +7,8 @@
    a pair with probability 6e-5.
 3. *Star rounds.* In each bucket one content is the centre and the others are
    compared with it, so a bucket of n contents gives n - 1 comparisons. Links
-   that hold are joined into classes. Two rounds with different centres.
+   that hold are joined into classes. In the first round a group has the same
+   centre in most buckets, in the second every bucket draws its own.
 4. *The rest.* Contents of one bucket that are in different classes by now are
    compared with each other, so that no link is lost to the choice of centres.
    Buckets of one class, the large groups of near copies, need none of this.
@@ -71,8 +72,8 @@ def near_duplicates(
     texts = read.filter("content is not null").select("content", "text")
     labels = None
     links = None
-    for salt in ("", "second"):
-        pairs = _star_pairs(_labelled(buckets, labels), threshold, salt)
+    for own_centres in (False, True):
+        pairs = _star_pairs(_labelled(buckets, labels), threshold, own_centres)
         links, labels = _grow(links, labels, pairs, texts, threshold, width)
     pairs = _rest_pairs(_labelled(buckets, labels), threshold)
     links, labels = _grow(links, labels, pairs, texts, threshold, width)
@@ -111,8 +112,14 @@ def _alike(n: Column, m: Column, threshold: float) -> Column:
     return F.least(n, m) >= F.lit(threshold - 1e-9) * F.greatest(n, m)
 
 
-def _star_pairs(named: DataFrame, threshold: float, salt: str) -> DataFrame:
-    rank = F.col("content") if not salt else F.unhex(F.md5(F.concat(F.col("content"), F.lit(salt))))
+def _star_pairs(named: DataFrame, threshold: float, own_centres: bool) -> DataFrame:
+    """Every content of a bucket with the bucket's centre.
+
+    The smallest content is the centre of most buckets of its group, which
+    gives few different pairs. With ``own_centres`` each bucket draws its own,
+    so that the members of a large group meet many of each other.
+    """
+    rank = F.xxhash64("content", "key") if own_centres else F.col("content")
     centres = named.groupBy("key").agg(F.min(F.struct(rank.alias("_r"), "content", "n", "label")).alias("c"))
     return (
         named.join(centres, "key")
