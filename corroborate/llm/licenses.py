@@ -1,9 +1,10 @@
 """License scan: ordered signature rules behind a keyword prefilter, overlaps resolved by containment.
 
 Every rule is a regular expression for one way to name a license, with a
-priority, a weight and one keyword that any match contains. One Aho-Corasick
-automaton finds the keywords of a text in one pass; only the rules of keywords
-that occur are run, in the order of their priority. A detection is suppressed
+priority, a weight and keywords, one of which any match contains once its white
+space runs are folded to one blank. One Aho-Corasick automaton finds the
+keywords of a folded text in one pass; only the rules of keywords that occur
+are run, on the text as it is, in the order of their priority. A detection is suppressed
 if its interval lies inside that of a detection of higher priority, or of a
 longer one of the same priority. Rules of the base phrases are never
 suppressed.
@@ -98,8 +99,10 @@ FAMILIES = (
     ("cc-by-nc-sa", r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nc|non-?commercial)[ -](?:sa|share-?alike)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc-by-nc-nd", r"(?:cc|creative commons)[ -](?:by|attribution)[ -](?:nc|non-?commercial)[ -](?:nd|no-?deriv\w*)", "c", ("1.0", "2.0", "2.5", "3.0", "4.0")),
 )
-# Keywords of families whose names have no longer common part.
+# Keywords of families whose names have no longer common part, one for each alternative.
 KEYWORDS = {
+    "gfdl": ("gnu", "gfdl"),
+    "wtfpl": ("wtfpl", "do what the fuck"),
     "cddl": ("common development", "cddl"),
     "cc0": ("cc0", "creative commons"),
     "lppl": ("latex project", "lppl"),
@@ -181,7 +184,8 @@ class Scanner:
         if not self.gate.search(lowered):
             return []
         wanted: set[int] = set()
-        for _, (_, numbers) in self.keywords.iter(lowered):
+        # Patterns allow any run of white space (str.split's) where a keyword has one blank.
+        for _, (_, numbers) in self.keywords.iter(" ".join(lowered.split())):
             wanted.update(numbers)
         found = [
             Detection(self.rules[i], m.start(), m.end()) for i in sorted(wanted) for m in self.compiled[i].finditer(lowered)
