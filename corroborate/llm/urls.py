@@ -136,7 +136,7 @@ class WordModel:
     def block_probability(self, words: list[str]) -> float:
         if not words:
             return self.block_share
-        score = self.prior + sum(self.evidence.get(w, self.other / max(1, len(words))) for w in words)
+        score = self.prior + sum(self.evidence.get(w, self.other) for w in words)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, score))))
 
 

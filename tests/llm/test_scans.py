@@ -140,6 +140,16 @@ def test_segmentation_is_the_best_split(spark):
     assert empty.segment("casinowin") == ["casino", "win"]
 
 
+def test_every_word_of_a_url_counts():
+    """Multinomial naive Bayes: each occurrence adds its own log ratio, listed or not."""
+    model = urls.WordModel({w: -7.0 for w in "green valley organic fresh milk and eggs".split()})
+    clean = "green valley organic fresh milk and eggs".split()
+    for n in range(len(clean)):
+        p, ratio = model.block_probability(["farm", *clean[:n]]), model.evidence["farm"] + n * np.log(0.5)
+        assert np.isclose(np.log(p / (1 - p)), model.prior + ratio)
+    assert model.block_probability(["farm"]) > 0.5 > model.block_probability(["farm", *clean[:5]])
+
+
 def brute_leaks(text, items, window=10):
     words, hit, found = words_of(text), set(), set()
     for item, item_text in items:
