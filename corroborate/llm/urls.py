@@ -62,6 +62,11 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_UPPER), re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
 
 
+def names(host: str, path: str) -> list[str]:
+    """The runs of letters in all labels of a host and in a path."""
+    return _LETTERS.findall(f"{host} {path.translate(_UPPER)}")
+
+
 class Rules:
     """Look-up by host and its parent domains."""
 
@@ -129,9 +134,8 @@ class WordModel:
         return self.cache[name]
 
     def words(self, host: str, path: str) -> list[str]:
-        """Words of host (but its last label) and path."""
-        named = host.rpartition(".")[0]
-        return [w for part in _LETTERS.findall(f"{named} {path.translate(_UPPER)}") for w in self.segment(part)]
+        """Words of host (all labels) and path."""
+        return [w for part in names(host, path) for w in self.segment(part)]
 
     def block_probability(self, words: list[str]) -> float:
         if not words:

@@ -150,6 +150,14 @@ def test_every_word_of_a_url_counts():
     assert model.block_probability(["farm"]) > 0.5 > model.block_probability(["farm", *clean[:5]])
 
 
+def test_last_label_of_a_host_counts(spark):
+    hosts = ["best.casino", "foo.xxx", "my.poker", "a.bet", "casinowin", "best.example"]
+    pages = spark.createDataFrame([(f"http://{h}/",) for h in hosts], "url string")
+    found = {r["host"]: (r["verdict"], r["words"]) for r in urls.judge_urls(pages, urls.WordModel({"best": -7.0})).collect()}
+    assert [found[h][0] for h in hosts] == ["block"] * 5 + ["allow"]
+    assert found["my.poker"][1] == ["my", "poker"] and found["casinowin"][1] == ["casino", "win"]
+
+
 def brute_leaks(text, items, window=10):
     words, hit, found = words_of(text), set(), set()
     for item, item_text in items:
