@@ -9,26 +9,33 @@ unwanted sites and that same background. So a word that is not in the list
 counts slightly towards allow, and a listed word the more towards block the
 rarer it is in pages.
 
-Size: only words with at least ``LEAST_SHARE`` of all words are known to the
-model, so there are at most 1 / LEAST_SHARE of them however many pages there
-are.
+Size: the counts of all words stay in Spark. Rows are dealt to chunks of a few
+thousand urls; the pieces of a chunk's names are joined to the counts, and the
+chunk is judged with the shares of those pieces that are words.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
-from corroborate.llm.common import add_columns, received, send
+from corroborate.llm.common import add_columns, fresh_names, received, send, slices, without
 from corroborate.session import cut_lineage
 
+#: Share of a listed word that no page has: that of one word in all pages, and this at most.
 LEAST_SHARE = 1e-5
 LONGEST_WORD = 24
+#: A chunk of rows that are judged together: bytes of urls, rows, bytes of all columns (one row at least).
+CHUNK_URL_BYTES, CHUNK_ROWS, CHUNK_BYTES = 1 << 17, 4096, 1 << 24
+#: Pieces of a chunk that are held at once to leave out repeated ones.
+PIECES_HELD = 200_000
 
 # Rules (host, path, verdict).
 RULES = (
@@ -88,11 +95,17 @@ class Rules:
 
 @dataclass
 class WordModel:
-    """Log probabilities of words in pages, and what each unwanted word tells."""
+    """Log probabilities of words in pages, and what each unwanted word tells.
+
+    With ``counts`` (word, n) and their ``total``, ``log_share`` has the listed
+    words only; ``judge_urls`` looks up the others.
+    """
 
     log_share: dict[str, float]
     unwanted: tuple[str, ...] = tuple(UNWANTED)
     block_share: float = 0.05  # prior of unwanted sites
+    counts: DataFrame | None = None
+    total: int = 0
     evidence: dict[str, float] = field(init=False)
 
     def __post_init__(self):
@@ -107,6 +120,11 @@ class WordModel:
         self.prior = math.log(self.block_share / (1 - self.block_share))
         self.cache: dict[str, list[str]] = {}
 
+    def with_counts(self, found: dict[str, int]) -> WordModel:
+        """This model with the shares of the given words, for use in a task."""
+        shares = {w: math.log(n / self.total) for w, n in found.items()}
+        return replace(self, log_share=shares | self.log_share, counts=None)
+
     def segment(self, name: str) -> list[str]:
         """The most probable split of a name; of equal ones the one with the longest last word.
 
@@ -152,11 +170,14 @@ def count_words(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def train(pages: DataFrame, html: str = "html") -> WordModel:
-    """Word shares over all pages. Without any page the model knows the listed words only."""
+    """Word counts over all pages. Without any page the model knows the listed words only."""
     counts = cut_lineage(count_words(pages, html))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    known = counts.filter(F.col("n") >= F.lit(LEAST_SHARE) * F.lit(total)).collect() if total else []
-    return WordModel({r["word"]: math.log(r["n"] / total) for r in known})
+    if not total:
+        return WordModel({})
+    seen = {r["word"]: r["n"] / total for r in counts.filter(F.col("word").isin(UNWANTED)).collect()}
+    shares = {w: math.log(seen.get(w, min(LEAST_SHARE, 1 / total))) for w in UNWANTED}
+    return WordModel(shares, counts=counts, total=total)
 
 
 SCHEMA = "host string, path string, rule string, words array<string>, block_probability double, verdict string"
@@ -172,25 +193,88 @@ def judge_urls(pages: DataFrame, model: WordModel, url: str = "url", rules=RULES
     ``pages`` with one of these names are replaced; repeated rows are judged
     each on its own.
     """
-    sent = send(pages.sparkSession, model)
-
-    def build():
-        words, table = received(sent), Rules(rules)
-
-        def one(address: str | None):
-            host, path = split_url(address)
-            rule = table.find(host, path)
-            split = words.words(host, path)
-            p = words.block_probability(split)
-            verdict = rule[1] if rule else "block" if p > 0.5 else "allow"
-            return host, path, rule[0] if rule else None, split, p, verdict
-
-        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.string()]
-
-        def compute(urls: pa.Array) -> list[pa.Array]:
-            columns = list(zip(*map(one, urls.to_pylist()))) or [()] * len(kinds)
-            return [pa.array(c, kind) for c, kind in zip(columns, kinds)]
-
-        return compute
-
-    return add_columns(pages, url, SCHEMA, build)
+    sent = send(pages.sparkSession, replace(model, counts=None))
+    if model.counts is None:
+        return add_columns(pages, url, SCHEMA, lambda: _judge(received(sent), rules))
+    new = Ty._parse_datatype_string(SCHEMA).fields
+    read, chunk = fresh_names(pages, "_read", "_chunk")
+    kept = pages.select(*without(pages, *(f.name for f in new)), F.col(f"`{url}`").cast("string").alias(read))
+    # Stored, so that pieces and rows have the same chunks.
+    rows = cut_lineage(in_chunks(kept, chunk))
+    pieces = rows.select(F.col(f"`{chunk}`").alias("chunk"), F.col(f"`{read}`").alias("url"))
+    pieces = pieces.mapInArrow(_pieces, "chunk bigint, word string")
+    found = pieces.join(model.counts, "word").select("chunk", "word", "n")
+    out = Ty.StructType([*kept.schema.fields[:-1], *new])
+
+    def judge(part, words):
+        known = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist()))
+        compute = _judge(received(sent).with_counts(known), rules)
+        made = compute(part.column(part.num_columns - 2))
+        return pa.Table.from_arrays([*part.columns[:-2], *made], names=out.names)
+
+    return rows.groupBy(f"`{chunk}`").cogroup(found.groupBy("chunk")).applyInArrow(judge, out)
+
+
+def in_chunks(df: DataFrame, chunk: str) -> DataFrame:
+    """``df``, whose last column is the url, with the number of each row's chunk."""
+
+    def run(batches):
+        first, n = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            rows = max(1, min(CHUNK_ROWS, batch.num_rows * CHUNK_BYTES // max(1, batch.nbytes)))
+            for part in slices(batch, batch.num_columns - 1, CHUNK_URL_BYTES, rows):
+                number = pa.array([first + n] * part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, number], names=[*part.schema.names, chunk])
+                n += 1
+
+    return df.mapInArrow(run, Ty.StructType([*df.schema.fields, Ty.StructField(chunk, Ty.LongType())]))
+
+
+def _pieces(batches):
+    """(chunk, word) for all pieces, up to the longest word, of the names in urls; nearly without repeated ones."""
+
+    def made(number, held):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number] * len(held), pa.int64()), pa.array(list(held), pa.string())], names=["chunk", "word"]
+        )
+
+    number, held, done = None, set(), set()
+    for batch in batches:
+        for at, address in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if at != number:
+                if held:
+                    yield made(number, held)
+                number, held, done = at, set(), set()
+            for name in names(*split_url(address)):
+                if name in done:
+                    continue
+                if len(done) < PIECES_HELD:
+                    done.add(name)
+                for start in range(len(name)):
+                    held.update(name[start:end] for end in range(start + 1, min(len(name), start + LONGEST_WORD) + 1))
+                    if len(held) > PIECES_HELD:
+                        yield made(number, held)
+                        held = set()
+    if held:
+        yield made(number, held)
+
+
+def _judge(words: WordModel, rules):
+    """The function of an array of urls to the arrays of the new columns."""
+    table = Rules(rules)
+
+    def one(address: str | None):
+        host, path = split_url(address)
+        rule = table.find(host, path)
+        split = words.words(host, path)
+        p = words.block_probability(split)
+        verdict = rule[1] if rule else "block" if p > 0.5 else "allow"
+        return host, path, rule[0] if rule else None, split, p, verdict
+
+    kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.string()]
+
+    def compute(urls) -> list[pa.Array]:
+        columns = list(zip(*map(one, urls.to_pylist()))) or [()] * len(kinds)
+        return [pa.array(c, kind) for c, kind in zip(columns, kinds)]
+
+    return compute

@@ -158,6 +158,29 @@ def test_last_label_of_a_host_counts(spark):
     assert found["my.poker"][1] == ["my", "poker"] and found["casinowin"][1] == ["casino", "win"]
 
 
+def test_rare_words_of_pages_stay_whole(spark):
+    """A word with less than 1e-5 of all words is known, and no page's url depends on how urls are dealt out."""
+    texts = ["word " * 4000] * 100 + ["es " * 40 + "sex " * 6 + "essex " * 2]
+    pages = spark.createDataFrame([(t,) for t in texts], "html string")
+    odd = ["http://essex.example/", "http://essex.example/", None, "", "http://" + "essex" * 60 + ".example/", "http://sex.example/"]
+    rows = spark.createDataFrame([(u, "mine", 1) for u in odd], "url string, words string, _chunk int")
+    found = urls.judge_urls(rows, urls.train(pages))
+    assert found.columns.count("words") == 1 and "_chunk" in found.columns and "_read" not in found.columns
+    found = [(r["url"], r["verdict"], r["words"], r["_chunk"]) for r in found.collect()]
+    assert found.count((odd[0], "allow", ["essex", "example"], 1)) == 2 and len(found) == len(odd)
+    assert (None, "allow", [], 1) in found and (odd[5], "block", ["sex", "example"], 1) in found
+    assert (odd[4], "allow", ["essex"] * 60 + ["example"], 1) in found
+
+
+def test_looked_up_counts_give_what_all_counts_give(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    model = urls.train(pages)
+    whole = model.with_counts({r["word"]: r["n"] for r in model.counts.collect()})
+    slim = pages.select("page_id", "url").repartition(3)
+    got, want = (urls.judge_urls(slim, m).sort("page_id", "url").collect() for m in (model, whole))
+    assert got == want and got
+
+
 def brute_leaks(text, items, window=10):
     words, hit, found = words_of(text), set(), set()
     for item, item_text in items:
