@@ -11,7 +11,8 @@ suppressed.
 
 Rules come from a list of licenses (name, pattern, keyword, versions) times a
 list of forms: the name with and without a version, a tag, a grant sentence
-and a reference to a file or address.
+and a reference to a file or address; and from sentences of the licenses' own
+texts.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ BASE = {
 
 # Label, pattern of the name (in lower case; a blank is any white space), keyword, versions.
 FAMILIES = (
-    ("gpl", r"gnu (?:general public|gpl) licen[cs]e|gnu gpl", "gnu", ("1.0", "2.0", "3.0")),
+    ("gpl", r"gnu (?:general public|gpl) licen[cs]e|gnu gpl|gpl", "gpl", ("1.0", "2.0", "3.0")),
     ("lgpl", r"gnu (?:lesser|library) general public licen[cs]e|gnu lgpl|lgpl", "gpl", ("2.0", "2.1", "3.0")),
     ("agpl", r"gnu affero general public licen[cs]e|gnu agpl|agpl", "gpl", ("1.0", "3.0")),
     ("gfdl", r"gnu free documentation licen[cs]e|gfdl", "gnu", ("1.1", "1.2", "1.3")),
@@ -101,6 +102,7 @@ FAMILIES = (
 )
 # Keywords of families whose names have no longer common part, one for each alternative.
 KEYWORDS = {
+    "gpl": ("gnu", "gpl"),
     "gfdl": ("gnu", "gfdl"),
     "wtfpl": ("wtfpl", "do what the fuck"),
     "cddl": ("common development", "cddl"),
@@ -112,6 +114,29 @@ KEYWORDS = {
     "agpl": ("gnu", "agpl"),
 } | {name: ("cc", "creative") for name, *_ in FAMILIES if name.startswith("cc-by")}
 
+# Label, typical sentence of a license's own text (a blank is any break between words), keyword.
+_FREE = "permission is hereby granted free of charge"
+_ANY_USE = "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"
+SENTENCES = (
+    ("mit", f"{_FREE}(?: to any person obtaining a copy of this software and associated documentation files)?", "hereby"),
+    ("ncsa", f"{_FREE} to any person obtaining a copy of this software and associated documentation files the software to deal with the software", "hereby"),
+    ("ofl", f"{_FREE} to any person obtaining a copy of the font software", "hereby"),
+    ("bsl-1.0", f"{_FREE} to any person or organization obtaining a copy of the software and accompanying documentation", "hereby"),
+    ("isc", f"{_ANY_USE} provided that", "hereby"),
+    ("0bsd", f"{_ANY_USE}(?! provided that)", "hereby"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "hereby"),
+    ("bsd", "redistribution and use in source and binary forms(?: with or without modification are permitted)?", "redistribution"),
+    ("bsd-3-clause", r"neither the name of(?: \w+){1,20}? may be used to endorse or promote products derived from this software", "endorse"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "unless"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "liable"),
+    ("zlib", "altered source versions must be plainly marked as such", "plainly"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "dedicated"),
+    ("wtfpl", "you just do what the fuck you want to", "fuck"),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff", "retain"),
+)
+
 _GRANT = r"(?:licensed|released|distributed|available|published|provided)(?: \w+){0,3}? under (?:the )?(?:terms of (?:the )?)?"
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])", r"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
@@ -154,6 +179,11 @@ def build_rules() -> list[Rule]:
         rules.append(Rule(label, _spaced(_GRANT) + name, keywords, 4, 0.8))
         rules.append(Rule(label, name, keywords, 5, 0.5))
         rules.append(Rule(label, rf"spdx-license-identifier:\s*{re.escape(label)}(?![-\w.])", ("spdx",), 1, 1.0))
+        if label in ("gpl", "lgpl", "agpl"):
+            published = _BREAK + "as published by the free software foundation(?: either)?".replace(" ", _BREAK)
+            for version in versions:
+                rules.append(Rule(f"{label}-{version}", name + published + r"[,;]?" + _version(version), keywords, 2, 0.95))
+    rules += [Rule(label, text.replace(" ", _BREAK), (keyword,), 4, 0.8) for label, text, keyword in SENTENCES]
     return sorted(rules, key=lambda r: r.priority)
 
 
@@ -176,8 +206,11 @@ class Scanner:
         for keyword, numbers in owners.items():
             self.keywords.add_word(keyword, (keyword, numbers))
         self.keywords.make_automaton()
-        # Nearly all texts name no license: all rules but tags need one of these.
-        self.gate = re.compile(r"licen[cs]|gpl|bsd|gfdl|cddl|eupl|lppl|wtfpl|odbl|cc|creative|spdx|mit\s+no")
+        # Nearly all texts name no license: all rules need one of these.
+        self.gate = re.compile(
+            r"licen[cs]|gpl|bsd|gfdl|cddl|eupl|lppl|wtfpl|odbl|cc|creative|spdx|mit\s+no"
+            r"|hereby|redistribution|endorse|advertising|liable|plainly|unencumbered|dedicated|fuck|retain"
+        )
 
     def scan(self, lowered: str) -> list[Detection]:
         """Detections in a lower-cased text that survive, by place."""

@@ -42,6 +42,26 @@ def test_license_labels(text, labels):
     assert {d.rule.label for d in Scanner().scan(text.lower())} == labels
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ('# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the "Software"), to deal\n# in the Software', {"mit"}),
+        ("Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation", {"bsl-1.0"}),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above", {"isc"}),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", {"0bsd"}),
+        (" * Redistribution and use in source and binary forms, with or without\n * modification, are permitted", {"bsd"}),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", {"bsd-3-clause"}),
+        ("Use GPLv3 here", {"gpl-3.0"}),
+        ("GPL v2", {"gpl-2.0"}),
+        ("licensed under the GPL.", {"gpl"}),
+        ("the GNU General Public License as published by the Free Software Foundation; either version 3 of the License", {"gpl", "gpl-3.0"}),
+        ("We hereby endorse no redistribution and retain nothing.", set()),
+    ],
+)
+def test_license_texts_and_bare_gpl(text, labels):
+    assert {d.rule.label for d in Scanner().scan(text.lower())} == labels
+
+
 def sample(parsed, rng):
     """A text that a parsed pattern matches (look-around is not obeyed)."""
     out = ""
