@@ -282,15 +282,22 @@ def draft_stories(events: DataFrame, evidence: DataFrame, tags: DataFrame) -> Da
     )
 
 
-def claim_publication(jobs: DataFrame, stories: DataFrame) -> DataFrame:
+def claim_publication(jobs: DataFrame, stories: DataFrame, locks: DataFrame | None = None) -> DataFrame:
     """The first job of an event wins the event; later keys are suppressed.
 
-    An event published under another key is closed to new keys. The winner is
-    an aggregate (smallest creation time, then key), not a sorted window.
+    An event published under another key is closed to new keys, and so is one
+    that another key has locked in an earlier run, whatever the lock's state.
+    ``locks`` has (event_id, publish_key), one row for each event. The winner
+    is an aggregate (smallest creation time, then key), not a sorted window.
     """
     winners = jobs.groupBy("event_id").agg(
         F.min_by("publish_key", F.struct("created_at", "publish_key")).alias("_winner")
     )
+    if locks is not None:
+        held = locks.select("event_id", F.col("publish_key").alias("_lock"))
+        winners = winners.join(held, "event_id", "left").select(
+            "event_id", F.coalesce("_lock", "_winner").alias("_winner")
+        )
     published = stories.filter("publication_state = 'published'").groupBy("event_id").agg(
         F.min("publish_key").alias("_min_key"), F.max("publish_key").alias("_max_key")
     )

@@ -82,12 +82,23 @@ def limiter_reason(total: Column, hourly: Column, cycle: Column, limits=LIMITS)
     )
 
 
-def limiter_decision(stories: DataFrame, start: Column, now: Column, limits=LIMITS) -> DataFrame:
-    """E5: the limiter's answer at ``now``."""
+def limiter_decision(stories: DataFrame, start: Column, now: Column, limits=LIMITS, enabled: bool = True) -> DataFrame:
+    """E5: the limiter's answer at ``now``.
+
+    Switched off it allows everything; without a start, or with a limit that
+    is no positive whole number, it allows nothing. Counts are 0 in both.
+    """
     counts = publication_rates(stories, start, now)
-    return counts.withColumn("reason", limiter_reason(F.col("total"), F.col("hourly"), F.col("cycle"), limits)).withColumn(
-        "allowed", F.col("reason") == "allowed"
-    )
+    caps = (limits.publish_per_cycle, limits.publish_per_hour, limits.publish_total)
+    valid = F.lit(all(isinstance(c, int) and c > 0 for c in caps)) & start.isNotNull()
+    reason = limiter_reason(F.col("total"), F.col("hourly"), F.col("cycle"), limits)
+    if not enabled:
+        reason, valid = F.lit("canary_disabled"), F.lit(False)
+    else:
+        reason = F.when(valid, reason).otherwise(F.lit("canary_configuration_invalid"))
+    return counts.select(
+        *(F.when(valid, F.col(c)).otherwise(F.lit(0)).alias(c) for c in counts.columns), reason.alias("reason")
+    ).withColumn("allowed", F.col("reason").isin("allowed", "canary_disabled"))
 
 
 def replay_limiter(stories: DataFrame, start: Column, limits=LIMITS) -> DataFrame:

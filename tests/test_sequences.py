@@ -105,6 +105,26 @@ def test_limiter_order_and_failed_attempts(spark):
     assert decide([(at(-1), at(-1))]).total == 0
 
 
+def test_limiter_switched_off_or_not_configured(spark):
+    frame = spark.createDataFrame([(T0, T0)] * 9, "published_at timestamp, updated_at timestamp")
+    start, now = F.lit(T0), F.lit(T0 + dt.timedelta(minutes=1))
+    answer = lambda *args, **more: tuple(Q.limiter_decision(frame, *args, **more).first())
+    assert answer(start, now, enabled=False) == (0, 0, 0, "canary_disabled", True)
+    invalid = (0, 0, 0, "canary_configuration_invalid", False)
+    assert answer(start, now, Limits(publish_total=0)) == invalid
+    assert answer(F.lit(None).cast("timestamp"), now) == invalid
+    assert answer(start, now) == (9, 9, 9, "canary_total_exhausted", False)
+
+
+def test_lock_of_an_earlier_run_wins(spark):
+    jobs = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "d", 1), (2, "e", 2), (3, "f", 1)], "event_id bigint, publish_key string, created_at bigint")
+    stories = spark.createDataFrame([], "event_id bigint, publish_key string, publication_state string")
+    locks = spark.createDataFrame([(1, "a", "failed"), (2, "e", "processing")], "event_id bigint, publish_key string, status string")
+    won = lambda *more: sorted(r.publish_key for r in X.claim_publication(jobs, stories, *more).filter("status = 'processing'").collect())
+    assert won(locks) == ["e", "f"]
+    assert won() == ["b", "d", "f"]
+
+
 def test_copies_against_a_fold_in_one_crowded_event(spark):
     rng = random.Random(2)
     vocabulary = [f"word{i}" for i in range(40)]
