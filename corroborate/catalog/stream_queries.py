@@ -36,7 +36,7 @@ def _(v):
     return J.changed_log(rows).select("seq", "source_id", "message_id")
 
 
-@query("stream_fingerprints", "J4 J1", d.sql(_CHANGED))
+@query("stream_fingerprints", "J4", d.sql(_CHANGED))
 def _(v):
     """The fingerprint state over a stream must agree with the batch form."""
     out = _run_folder(v)
@@ -73,7 +73,7 @@ def _(v):
 
 
 @query(
-    "sql_functions", "K3 H1 H2 H4 H6 H8",
+    "sql_functions", "K3 H1 H2 H4",
     d.sql(f"""SELECT post_id, {d.noise('normalized_text')} AS reason, sha256(normalized_text) AS text_hash, {d.overlap('t', 'p')} AS overlap FROM (
               SELECT post_id, normalized_text, {d.words('normalized_text')} AS t, ['missile', 'attack', 'in', 'tehran'] AS p FROM posts)"""),
 )

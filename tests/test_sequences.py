@@ -195,3 +195,10 @@ def test_update_classes(spark):
 
 def test_tokens_are_distinct(value):
     assert value(tokens(F.col("s")), s="a bb bb cc") == ["bb", "cc"]
+
+
+def test_queries_claim_only_rows_they_exercise():
+    from corroborate.catalog import load
+
+    rows = {name: set(query.survey) for name, query in load().items()}
+    assert "J1" not in rows["stream_fingerprints"] and not {"H6", "H8"} & rows["sql_functions"]
