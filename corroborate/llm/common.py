@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -148,9 +149,12 @@ def text_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Starts and ends (bytes) of all words, and for each row the number of words before it."""
-    inside = is_word[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray | None, inside: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Starts and ends (bytes) of all words, and for each row the number of words before it.
+
+    ``is_word`` says which bytes stand in words; where that depends on their neighbours ``inside`` flags each byte instead.
+    """
+    inside = is_word[data] if inside is None else inside
     before = np.concatenate(([False], inside[:-1])) if len(data) else inside
     edges = offsets[:-1][offsets[:-1] < len(data)]
     starts_at = inside & ~before
@@ -163,17 +167,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return starts, np.flatnonzero(ends_at) + 1, np.searchsorted(starts, offsets)
 
 
-_BASE = 0x100000001B3 | 0x9E3779B97F4A0000  # odd, so that its powers can be inverted modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 16
-
-
-def _powers(base: int) -> np.ndarray:
-    return np.concatenate(
-        ([np.uint64(1)], np.cumprod(np.full(4 * _BLOCK, base, np.uint64), dtype=np.uint64))
-    )
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread all bits of 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(30))
@@ -183,38 +176,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class SpanHash:
-    """64-bit hashes of many byte ranges, by differences of prefix sums of a polynomial.
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Which of the distinct byte strings each range is, and these strings.
 
-    Works in blocks of bytes, so that a very long text needs no prefix sum of
-    its whole length at once.
+    The ranges ascend and do not overlap. They are told apart by their bytes.
     """
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    edges = np.empty(2 * len(starts), np.int64)
+    edges[0::2], edges[1::2] = starts, ends
+    parts = [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]
+    spans = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, parts)
+    known = spans.dictionary_encode()  # what lies between two ranges is an entry too
+    code = known.indices.to_numpy()[0::2]
+    used = np.zeros(len(known.dictionary), bool)
+    used[code] = True
+    return (np.cumsum(used) - 1)[code], known.dictionary.filter(pa.array(used)).to_pylist()
 
-    def __init__(self):
-        self.up, self.down = _powers(_BASE), _powers(_INVERSE)
+
+class SpanHash:
+    """64-bit hashes of many byte ranges: BLAKE2b of each distinct string, so that no texts with equal hashes can be made up."""
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = np.empty(len(starts), np.uint64)
-        at = 0
-        while at < len(starts):
-            origin = starts[at]
-            upto = max(at + 1, int(np.searchsorted(ends, origin + 2 * _BLOCK, "right")))
-            n = int(ends[upto - 1] - origin)
-            if n > 4 * _BLOCK:  # one word that is longer than a block
-                out[at] = self.long(data[origin : ends[at]])
-                at += 1
-                continue
-            part = data[origin : origin + n].astype(np.uint64) + np.uint64(1)
-            sums = np.concatenate(([np.uint64(0)], np.cumsum(part * self.up[:n], dtype=np.uint64)))
-            a, b = starts[at:upto] - origin, ends[at:upto] - origin
-            out[at:upto] = (sums[b] - sums[a]) * self.down[a]
-            at = upto
-        return mix64(out)
-
-    def long(self, data: np.ndarray) -> np.uint64:
-        total, scale = 0, 1
-        for i in range(0, len(data), 4 * _BLOCK):
-            part = data[i : i + 4 * _BLOCK].astype(np.uint64) + np.uint64(1)
-            total += int((part * self.up[: len(part)]).sum(dtype=np.uint64)) * scale
-            scale = scale * pow(_BASE, 4 * _BLOCK, 1 << 64) & (1 << 64) - 1
-        return np.uint64(total & (1 << 64) - 1)
+        code, found = distinct_spans(data, starts, ends)
+        digests = b"".join([blake2b(x, digest_size=8).digest() for x in found])
+        return np.frombuffer(digests, np.uint64)[code]

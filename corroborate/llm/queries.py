@@ -253,3 +253,21 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     judged = judge_urls(pages.select("page_id", "url"), train(pages))
     return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"))
+
+
+@query("op11_resample")
+def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents drawn for their likeness to the benchmark, with exact ranks."""
+    from corroborate.llm.resample import resample
+
+    found = resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, their near words and the forms they are variants of."""
+    from corroborate.llm.spelling import group_variants
+
+    found = group_variants(table(spark, folder, "documents"), typo_every=97)
+    return found.select("word", "n", "n_near", "form", "form_n", "root")

@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import SpanHash, slices, strings, text_buffer
+from corroborate.llm.common import distinct_spans, slices, strings, text_buffer
 from corroborate.session import shared_folder
 
 MANIFEST = "shard int, documents bigint, tokens bigint, sequences_file string, documents_file string"
@@ -81,18 +81,20 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class WordCache:
     """Ids of whole texts, with the tokenizer run once for each distinct word.
 
-    Words are told apart by 64-bit hashes. At most ``most`` words are kept.
+    Words are told apart by their bytes. At most ``most`` words are kept, and
+    no more of ``most_bytes`` than those of one call.
     """
 
-    def __init__(self, tokenizer, dtype, most: int = 250_000):
-        self.tokenizer, self.dtype, self.most = tokenizer, np.dtype(dtype), most
+    def __init__(self, tokenizer, dtype, most: int = 250_000, most_bytes: int = 1 << 24):
+        self.tokenizer, self.dtype, self.most, self.most_bytes = tokenizer, np.dtype(dtype), most, most_bytes
         added = tokenizer.get_added_tokens_decoder().items()
         self.mark_id, self.mark = next((i, t.content) for i, t in added if t.special)
-        self.hash, self.alphabet = SpanHash(), byte_alphabet()
+        self.alphabet = byte_alphabet()
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.flat, self.used = np.empty(1 << 16, self.dtype), 0
         self.first, self.size = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
 
@@ -117,18 +119,18 @@ class WordCache:
         ]
 
     def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes, at, inverse = np.unique(self.hash(data, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        missing = [i for i, k in enumerate(keys) if k not in self.known]
-        if len(self.known) + len(missing) > self.most:
+        inverse, words = distinct_spans(data, starts, ends)
+        missing = [w for w in words if w not in self.known]
+        size = sum(map(len, missing))
+        if len(self.known) + len(missing) > self.most or self.held + size > self.most_bytes:
             self.clear()
-            missing = list(range(len(keys)))
+            missing, size = words, sum(map(len, words))
         if missing:
-            where = at[missing]
-            self.keep([keys[i] for i in missing], self.fresh(data.tobytes(), starts[where].tolist(), ends[where].tolist()))
-        return np.array([self.known[k] for k in keys], np.int64), inverse
+            self.held += size
+            self.keep(missing, self.fresh(missing))
+        return np.array([self.known[w] for w in words], np.int64), inverse
 
-    def keep(self, keys: list[int], ids: list[list[int]]) -> None:
+    def keep(self, keys: list[bytes], ids: list[list[int]]) -> None:
         n, sizes = len(self.known), np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum()))
         while n + len(keys) > len(self.first):
@@ -141,21 +143,21 @@ class WordCache:
         self.known.update(zip(keys, range(n, n + len(keys))))
         self.used += len(flat)
 
-    def fresh(self, data: bytes, starts: list[int], ends: list[int]) -> list[list[int]]:
+    def fresh(self, words: list[bytes]) -> list[list[int]]:
         """Ids of many short texts.
 
         Plain letters are one word, which the tokenizer's model takes as it is
         (bytes in its own alphabet). The others are encoded in one call, with a
         special token between them that keeps them apart.
         """
-        shown, tokenize, letters = data.decode("latin-1").translate(self.alphabet), self.tokenizer.model.tokenize, _LETTERS.fullmatch
+        alphabet, tokenize, letters = self.alphabet, self.tokenizer.model.tokenize, _LETTERS.fullmatch
         out: list[list[int]] = []
         others: list[tuple[int, str]] = []
-        for a, b in zip(starts, ends):
-            if letters(data, a, b):
-                out.append([t.id for t in tokenize(shown[a:b])])
+        for word in words:
+            if letters(word):
+                out.append([t.id for t in tokenize(word.decode("latin-1").translate(alphabet))])
                 continue
-            text = data[a:b].decode()
+            text = word.decode()
             if self.mark in text:
                 out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
             else:
