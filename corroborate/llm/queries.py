@@ -271,3 +271,15 @@ def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
 
     found = group_variants(table(spark, folder, "documents"), typo_every=97)
     return found.select("word", "n", "n_near", "form", "form_n", "root")
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 ids."""
+    import public_tokenizers
+
+    from corroborate.llm.packing import pack
+
+    pieces = pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+    columns = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+    return pieces.select(*columns)

@@ -13,9 +13,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corroborate.llm import resample, spelling
+from corroborate.llm import cutting_stock, packing, resample, spelling
 from corroborate.llm.crc import CrcShift
 from corroborate.llm.fmindex import FmIndex
+from corroborate.llm.token_files import load_tokenizer
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
 SF = "/root/testdata/sf0.001"
 
@@ -159,3 +162,70 @@ def test_spelling_of_a_very_long_word_and_of_clashing_columns(spark):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate([long, long, long, long[:-1], long[:-1], long[:-1]] + [long] * 4)], "doc_id int, text string, n int, word string")
     got = {r["word"]: (r["n"], r["form"]) for r in spelling.group_variants(docs).collect()}
     assert got == {long: (7, None), long[:-1]: (3, long)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=12, max_size=12))
+def test_patterns_hold_all_pieces_and_are_near_the_optimum(counts):
+    counts = np.array(counts)
+    patterns = cutting_stock.plan(counts)
+    held = sum((p * times for p, times in patterns), np.zeros(12, np.int64))
+    assert held.tolist() == counts.tolist()
+    assert all((p * np.arange(1, 13)).sum() <= 12 and times > 0 for p, times in patterns)
+    some = np.flatnonzero(counts)
+    if len(some):
+        _, used, prices = cutting_stock.fractional(counts[some], some + 1, 12)
+        value, _ = cutting_stock.best_pattern(prices, some + 1, 12)
+        # No pattern is worth more than a bin, so the prices bound the number of bins from below.
+        assert value <= 1 + 1e-6 and abs(used.sum() - prices @ counts[some]) < 1e-6
+        assert sum(times for _, times in patterns) <= used.sum() + len(some)
+
+
+def check_packing(found, docs, tokenizer, length, most_padding):
+    ids = defaultdict(list)
+    for r in docs:
+        ids[r["doc_id"]].append([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1])
+    whole, places = defaultdict(list), defaultdict(list)
+    for r in found:
+        assert len(r["ids"]) == 4 * r["length"] > 0
+        whole[r["doc_id"]].append((r["start"], r["doc_tokens"], np.frombuffer(r["ids"], "<u4").tolist()))
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for doc_id, copies in ids.items():
+        expected = Counter((at, len(c), t) for c in copies for at, t in enumerate(c))
+        assert Counter((start + i, n, t) for start, n, part in whole[doc_id] for i, t in enumerate(part)) == expected
+    assert set(whole) == set(ids) and sorted(places) == list(range(len(places)))
+    padding = 0
+    for parts in places.values():
+        at = 0
+        for offset, size in sorted(parts):
+            assert offset == at
+            at += size
+        assert at <= length
+        padding += 0 if at & (at - 1) == 0 else length - at
+    assert padding <= most_padding * sum(n for parts in places.values() for _, n in parts)
+    return places
+
+
+def test_packing_round_trip(spark, odd_docs, no_docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = load_tokenizer(path)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    rows = docs.collect()
+    packed = packing.pack(docs.repartition(3), path).collect()
+    check_packing(packed, rows, tokenizer, 2048, 0)
+    again = packing.pack(docs.repartition(5), path, length=64, step=8, block_ids=512)
+    places = check_packing(again.collect(), rows, tokenizer, 64, 0.001)
+    made = packing.sequences(again).collect()
+    assert {r["sequence_id"]: r["piece_ends"] for r in made} == {s: [a + n for a, n in sorted(p)] for s, p in places.items()}
+    assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in made)
+    assert packing.pack(no_docs, path).count() == 0
+
+
+def test_packing_of_short_documents_only(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(5)
+    data = [(i if i % 3 else None, None if i % 11 == 0 else " ".join(["word"] * rng.choice([3, 50, 50, 50, 200, 333]))) for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    check_packing(packing.pack(docs, path).collect(), docs.collect(), load_tokenizer(path), 2048, 0.005)
+    one = spark.createDataFrame([(1, "one two three")], "doc_id bigint, text string")
+    check_packing(packing.pack(one, path).collect(), one.collect(), load_tokenizer(path), 2048, 0)
