@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from corroborate.catalog import duck as d
 from corroborate.catalog.registry import query
 from corroborate.catalog.views import now
-from corroborate.functions.text import entity_keys
+from corroborate.functions.text import REFUTATION_PATTERN, entity_keys, tokens_of
 from corroborate.operators import clusters as C
 from corroborate.operators import decisions as D
 from corroborate.operators import editorial as X
 from corroborate.operators import evidence as V
 from corroborate.operators import shortlist as L
+from corroborate.operators import similarity as S
 from corroborate.plans import flows
 
 ID_LIST = "array_to_string({}, ',')"
@@ -360,7 +361,31 @@ def _(v):
     return V.copy_pairs(v.batch_posts, 0.5)
 
 
-_DENIES = d.has("text", __import__("corroborate.functions.text", fromlist=["x"]).REFUTATION_PATTERN)
+_SETS = {"sets": f"SELECT post_id, {d.words('normalized_text')} AS t FROM posts",
+         "classed": "SELECT post_id, t, min(post_id) OVER (PARTITION BY list_sort(t)) AS class_id FROM sets WHERE len(t) > 0",
+         "firsts": "SELECT class_id, t, posts FROM (SELECT *, count(*) OVER (PARTITION BY class_id) AS posts FROM classed) WHERE post_id = class_id"}
+
+
+def _token_sets(v):
+    return v.posts.select("post_id", tokens_of(F.col("normalized_text")).alias("tokens"))
+
+
+@query("copy_classes", "C15", d.sql("SELECT post_id, class_id FROM classed", _SETS))
+def _(v):
+    return S.set_classes(_token_sets(v)).select("post_id", "class_id")
+
+
+@query(
+    "copy_links", "C15",
+    d.sql(f"""SELECT left_id, right_id, left_posts, right_posts, ov AS overlap FROM (
+              SELECT a.class_id AS left_id, b.class_id AS right_id, a.posts AS left_posts, b.posts AS right_posts, {d.overlap('a.t', 'b.t')} AS ov
+              FROM firsts a JOIN firsts b ON a.class_id < b.class_id AND len(a.t) >= 0.85 * len(b.t) AND len(b.t) >= 0.85 * len(a.t)) WHERE ov >= 0.86::DOUBLE""", _SETS),
+)
+def _(v):
+    return S.copy_links(_token_sets(v))
+
+
+_DENIES = d.has("text", REFUTATION_PATTERN)
 _GROUPS = {
     "grouped": f"""SELECT event_id, origin_group, bool_or((trust_score >= 0.55::DOUBLE OR priority_tier = 'TIER_1') AND (origin_type <> 'aggregation' OR priority_tier = 'TIER_1')) AS credible,
         bool_and(NOT {_DENIES}) AS supports, count(DISTINCT source_id) AS sources, count(*) AS evidence_rows FROM evidence GROUP BY 1, 2""",

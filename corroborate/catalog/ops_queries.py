@@ -41,6 +41,21 @@ def _(v):
     return Q.admit_costs(v.calls, 500, 8_000, caps()).select("call_id", "admitted")
 
 
+_MIXED = {
+    "bids": f"SELECT call_id, day, stage, (call_id % 7) * 150 - 100 AS cost, {_CAP} AS cap, row_number() OVER (PARTITION BY day ORDER BY ts, call_id) AS i FROM calls",
+    "ledger": """SELECT DISTINCT day, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS call_id, CAST(0 AS BIGINT) AS spent, MAP {'': 0} AS used, false AS admitted FROM bids
+        UNION ALL SELECT b.day, b.i, b.call_id, CASE WHEN ok THEN f.spent + b.cost ELSE f.spent END, CASE WHEN ok THEN map_concat(f.used, MAP {b.stage: n + 1}) ELSE f.used END, ok
+        FROM (SELECT f.*, b.i AS _i, b.cost > 0 AND b.cost <= 8000 AND coalesce(f.used[b.stage], 0) < b.cap AND f.spent + b.cost <= 8000 AS ok, coalesce(f.used[b.stage], 0) AS n
+              FROM ledger f JOIN bids b ON b.day = f.day AND b.i = f.i + 1) f JOIN bids b ON b.day = f.day AND b.i = f._i""",
+}
+
+
+@query("admit_mixed_costs", "E4", d.sql("SELECT call_id, admitted FROM ledger WHERE i > 0", _MIXED))
+def _(v):
+    calls = v.calls.withColumn("cost", F.col("call_id") % 7 * 150 - 100)
+    return Q.admit_mixed_costs(calls, 8_000, caps()).select("call_id", "admitted")
+
+
 @query(
     "backfill_budget", "A13",
     d.sql("""SELECT coalesce(u.day, l.day) AS usage_date, greatest(coalesce(u.cost, 0), coalesce(l.cost, 0)) AS cost FROM
@@ -96,6 +111,34 @@ def _(v):
     return Q.replay_limiter(v.stories, start(), limits).select("story_id", "total", "hourly", "cycle", "reason")
 
 
+_OFFERS = f"SELECT story_id, channel, a, row_number() OVER (PARTITION BY channel ORDER BY a, story_id) AS i FROM (SELECT story_id, 'c' || story_id % 3 AS channel, epoch_us({_AT}) AS a FROM stories) WHERE a >= epoch_us({_START})"
+_FOLD = """
+    SELECT DISTINCT channel, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS story_id, CAST([] AS BIGINT[]) AS times, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS hourly, CAST(0 AS BIGINT) AS cycle, '' AS reason FROM offers
+    UNION ALL SELECT channel, i, story_id, CASE WHEN total < 60 AND hourly < 4 AND cycle < 2 THEN list_append(times, a) ELSE times END, total, hourly, cycle,
+        CASE WHEN total >= 60 THEN 'canary_total_exhausted' WHEN hourly >= 4 THEN 'canary_hour_exhausted' WHEN cycle >= 2 THEN 'canary_cycle_exhausted' ELSE 'allowed' END
+    FROM (SELECT f.times, o.channel, o.i, o.story_id, o.a, len(f.times) AS total, len(list_filter(f.times, lambda t: t >= o.a - 3600000000)) AS hourly, len(list_filter(f.times, lambda t: t >= o.a - o.a % 300000000)) AS cycle
+          FROM limited f JOIN offers o ON o.channel = f.channel AND o.i = f.i + 1)"""
+
+
+@query(
+    "admit_publications", "E5",
+    d.sql("""SELECT 'on' AS mode, s.story_id, coalesce(total, 0) AS total, coalesce(hourly, 0) AS hourly, coalesce(cycle, 0) AS cycle, coalesce(reason, 'before_start') AS reason, coalesce(reason = 'allowed', false) AS allowed
+             FROM stories s LEFT JOIN (SELECT * FROM limited WHERE i > 0) l ON l.story_id = s.story_id
+             UNION ALL SELECT 'off', story_id, 0, 0, 0, 'canary_disabled', true FROM stories UNION ALL SELECT 'invalid', story_id, 0, 0, 0, 'canary_configuration_invalid', false FROM stories""",
+          {"offers": _OFFERS, "limited": _FOLD}),
+)
+def _(v):
+    offers = v.stories.select("story_id", F.concat(F.lit("c"), F.col("story_id") % 3).alias("channel"), Q.activity_time().alias("at"), F.col("story_id").alias("candidate_id"))
+    limits = Limits(publish_total=60, publish_per_hour=4, publish_per_cycle=2)
+    modes = {
+        "on": Q.admit_publications(offers, start(), limits),
+        "off": Q.admit_publications(offers, start(), limits, enabled=False),
+        "invalid": Q.admit_publications(offers, start(), Limits(publish_total=0)),
+    }
+    rows = [run.select(F.lit(mode).alias("mode"), "story_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "hourly", "cycle")], "reason", "allowed") for mode, run in modes.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(
     "reservation_stats", "D13 K2",
     d.sql("""SELECT batch_id, attempts, reserved, attempts - reserved AS blocked, retries, greatest(0, attempts - 50) AS truncated,

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.config import LIMITS
 from corroborate.functions.timefn import day_key
-from corroborate.operators.blocks import number_rows, running_sum, time_block, top_per_key, trailing_counts
+from corroborate.operators.blocks import (
+    join_null_safe,
+    number_rows,
+    previous_value,
+    running_sum,
+    time_block,
+    top_per_key,
+    trailing_counts,
+)
+from corroborate.session import cut_lineage
 
 CALL_ORDER = ["ts", "call_id"]
 
@@ -39,6 +52,51 @@ def admit_costs(calls: DataFrame, cost: int, budget: int, caps: Column) -> DataF
     return ranked.withColumn("admitted", F.col("_in_stage") & (F.col("_rank") <= budget // cost)).drop("_in_stage", "_rank")
 
 
+def admit_mixed_costs(calls: DataFrame, budget: int, caps: Column) -> DataFrame:
+    """Stage caps plus one cost ledger per day, for calls of any costs.
+
+    In time order a call passes if its stage has room and its ``cost`` fits
+    into what is left of the day's budget; only then it counts against both.
+    What is left only falls and a stage only fills. So the first call that
+    does not pass, if all before it do, settles more: a full stage stays full,
+    and no later call of a cost above what is left passes. Each round takes the
+    calls before that point as admitted and drops what is settled, and goes on
+    with the rest; a day needs at most as many rounds as it has stages and
+    different costs. A round is two running sums in time blocks, over
+    the calls that are still open. Null and non-positive costs, costs above
+    the budget and null caps are never admitted. ``call_id`` is unique.
+    """
+    cost, cap = F.col("cost"), F.coalesce(caps, F.lit(0)).cast("bigint")
+    able = F.coalesce((cost > 0) & (cost <= budget), F.lit(False)) & (cap > 0)
+    slim = calls.select("day", "stage", "ts", "call_id", cost.cast("bigint").alias("cost"), cap.alias("_cap"))
+    open_ = cut_lineage(slim.filter(able))
+    spent = open_.select("day", "stage", F.lit(0).cast("bigint").alias("_calls"), F.lit(0).cast("bigint").alias("_spent")).distinct()
+    admitted = None
+    while not open_.isEmpty():
+        used = cut_lineage(spent)
+        by_day = used.groupBy("day").agg(F.sum("_spent").alias("_day_spent"))
+        summed = running_sum(open_, ["day"], CALL_ORDER, time_block(F.col("ts")), F.col("cost"), "_sum")
+        placed = number_rows(summed, ["day", "stage"], CALL_ORDER, time_block(F.col("ts")), "_position")
+        known = join_null_safe(join_null_safe(placed, by_day, ["day"]), used.select("day", "stage", "_calls"), ["day", "stage"])
+        state = known.withColumn("_full", F.col("_position") + F.col("_calls") > F.col("_cap"))
+        state = cut_lineage(state.withColumn("_left", budget - F.col("_day_spent") - F.col("_sum") + F.col("cost")))
+        stop = F.struct("ts", "call_id", "_full", "stage", "_left")
+        failed = F.col("_full") | (F.col("cost") > F.col("_left"))
+        stops = state.filter(failed).groupBy("day").agg(F.min(stop).alias("_stop"))
+        settled = join_null_safe(state, stops, ["day"], "left")
+        before = F.col("_stop").isNull() | (F.struct("ts", "call_id") < F.struct("_stop.ts", "_stop.call_id"))
+        taken = cut_lineage(settled.filter(before).select("day", "stage", "call_id", "cost"))
+        admitted = taken if admitted is None else admitted.unionByName(taken)
+        gone = F.when(F.col("_stop._full"), F.col("stage").eqNullSafe(F.col("_stop.stage"))).otherwise(F.col("cost") > F.col("_stop._left"))
+        open_ = cut_lineage(settled.filter(~before & ~gone).select(*slim.columns))
+        now_used = taken.groupBy("day", "stage").agg(F.count("*").alias("_calls"), F.sum("cost").alias("_spent"))
+        spent = used.unionByName(now_used).groupBy("day", "stage").agg(F.sum("_calls").alias("_calls"), F.sum("_spent").alias("_spent"))
+    if admitted is None:
+        return calls.withColumn("admitted", F.lit(False))
+    passed = admitted.select(F.col("call_id").alias("_id"))
+    return calls.join(passed, F.col("call_id") == F.col("_id"), "left").withColumn("admitted", F.col("_id").isNotNull()).drop("_id")
+
+
 def backfill_budget(usage: DataFrame, ledger: DataFrame) -> DataFrame:
     """Ledger raised to the sum of the stages of each day."""
     summed = usage.groupBy("usage_date").agg(
@@ -121,6 +179,87 @@ def replay_limiter(stories: DataFrame, start: Column, limits=LIMITS) -> DataFram
     )
 
 
+def admit_publications(
+    candidates: DataFrame, start: Column, limits=LIMITS, enabled: bool = True, channel: str = "channel"
+) -> DataFrame:
+    """E5: the limiter run over a log of candidates (channel, at, candidate_id): counts, ``reason`` and ``allowed`` of each.
+
+    In time order a candidate is published if, of those published since
+    ``start``, fewer than the limits lie in all, in the hour up to it (both
+    ends included) and in its five-minute cycle; only published ones count.
+    Candidates before ``start`` are not looked at and get ``before_start``.
+    Switched off the limiter allows all; without a start, or with a limit that
+    is no positive whole number, nothing.
+
+    Where a channel is silent for more than an hour, both the hour and the
+    cycle are empty. Channels are cut there and the pieces folded apart: a
+    piece's rows stream through one task in order, which holds the times of
+    at most ``publish_per_hour`` publications, however long the piece is. The
+    total needs no fold: it blocks all from one point on, which a running
+    count of what the fold admits gives.
+    """
+    caps = (limits.publish_per_cycle, limits.publish_per_hour, limits.publish_total)
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("total", "hourly", "cycle")]
+    if not enabled or not all(isinstance(c, int) and c > 0 for c in caps):
+        reason = "canary_configuration_invalid" if enabled else "canary_disabled"
+        return candidates.select("*", *zero, F.lit(reason).alias("reason"), F.lit(not enabled).alias("allowed"))
+    order = ["at", "candidate_id"]
+    log = candidates.select(F.col(channel).alias("channel"), "at", "candidate_id").filter(F.col("at") >= start)
+    before = previous_value(log, ["channel"], order, time_block(F.col("at")), F.col("at"), "_earlier")
+    opens = (F.col("_earlier").isNull() | (F.unix_micros("at") - F.unix_micros("_earlier") > 3_600_000_000)).cast("bigint")
+    pieces = running_sum(before, ["channel"], order, time_block(F.col("at")), opens, "piece")
+    slim = pieces.select("channel", "piece", F.unix_micros("at").alias("micros"), "candidate_id")
+    dealt = slim.repartition("channel", "piece").sortWithinPartitions("channel", "piece", "micros", "candidate_id")
+    per_cycle, per_hour = limits.publish_per_cycle, limits.publish_per_hour
+    width = LIMITS.window_minutes * 60 * 1_000_000
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, hour, cycle, in_cycle = None, deque(), None, 0
+        for batch in batches:
+            hourly, cycled, passed = [], [], []
+            for *key, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if key != piece:
+                    piece, cycle = key, None
+                    hour.clear()
+                while hour and hour[0] < at - 3_600_000_000:
+                    hour.popleft()
+                if at // width != cycle:
+                    cycle, in_cycle = at // width, 0
+                hourly.append(len(hour))
+                cycled.append(in_cycle)
+                passed.append(len(hour) < per_hour and in_cycle < per_cycle)
+                if passed[-1]:
+                    hour.append(at)
+                    in_cycle += 1
+            new = [pa.array(hourly, pa.int64()), pa.array(cycled, pa.int64()), pa.array(passed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "hourly", "cycle", "passed"])
+
+    kinds = dict(slim.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in slim.columns)
+    folded = cut_lineage(dealt.mapInArrow(fold, f"{schema}, hourly bigint, cycle bigint, passed boolean"))
+    block = F.floor(F.col("micros") / 60_000_000)
+    counted = running_sum(folded, ["channel"], ["micros", "candidate_id"], block, F.col("passed").cast("bigint"), "_upto")
+    total = F.col("_upto") - F.col("passed").cast("bigint")
+    spent = total >= limits.publish_total
+    # Once the total is reached the hour and the cycle run empty; no hour holds more than its limit of publications.
+    last = F.col("passed") & F.col("_upto").between(limits.publish_total - per_hour + 1, limits.publish_total)
+    recent = counted.filter(last).groupBy("channel").agg(F.collect_list("micros").alias("_recent"))
+    counted = join_null_safe(counted.withColumn("_total", total), recent, ["channel"], "left")
+
+    def still(since: Column) -> Column:
+        return F.coalesce(F.size(F.filter("_recent", lambda t: t >= since)), F.lit(0))
+
+    micros = F.col("micros")
+    hourly = F.when(spent, still(micros - 3_600_000_000)).otherwise(F.col("hourly")).cast("bigint")
+    cycle = F.when(spent, still(micros - micros % width)).otherwise(F.col("cycle")).cast("bigint")
+    total = F.least(total, F.lit(limits.publish_total)).cast("bigint")
+    answers = counted.select(F.col("candidate_id").alias("_id"), total.alias("total"), hourly.alias("hourly"), cycle.alias("cycle"))
+    answers = answers.withColumn("reason", limiter_reason(F.col("total"), F.col("hourly"), F.col("cycle"), limits))
+    named = candidates.join(answers, F.col("candidate_id") == F.col("_id"), "left").drop("_id")
+    invalid = F.when(start.isNull(), F.lit("canary_configuration_invalid")).otherwise(F.lit("before_start"))
+    return named.withColumn("reason", F.coalesce("reason", invalid)).withColumn("allowed", F.col("reason") == "allowed")
+
+
 def usage_signal(calls: Column) -> Column:
     """How close a daily usage is to its cap."""
     return F.when(calls >= LIMITS.usage_critical, F.lit("CRITICAL")).when(calls >= LIMITS.usage_high, F.lit("HIGH"))
