@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from corroborate.catalog import duck as d
 from corroborate.catalog.registry import query
 from corroborate.catalog.views import now
-from corroborate.functions.text import REFUTATION_PATTERN, entity_keys, tokens_of
+from corroborate.functions.text import HINT_PATTERNS, REFUTATION_PATTERN, STOP_WORDS, entity_keys, tokens_of
+from corroborate.functions.timefn import window_end
 from corroborate.operators import clusters as C
 from corroborate.operators import decisions as D
 from corroborate.operators import editorial as X
@@ -522,8 +523,6 @@ _WINDOWS = {"windows": "SELECT DISTINCT time_bucket(INTERVAL 5 MINUTE, ts) AS w
 
 
 def _windows(v):
-    from corroborate.functions.timefn import window_end
-
     return v.log.select(window_end(F.col("ts")).alias("window_end")).distinct()
 
 
@@ -544,6 +543,35 @@ def _(v):
     return L.newest_events(_windows(v), v.events).select("window_end", "event_id", "event_rank")
 
 
+_KEPT_WORDS = ", ".join(d.q(w) for w in STOP_WORDS)
+_VOCABULARY = "list_filter({}, lambda w: w NOT IN (" + _KEPT_WORDS + "))"
+_SCORED_REACH = {
+    "reports": "SELECT time_bucket(INTERVAL 5 MINUTE, observed_at) + INTERVAL 5 MINUTE AS w, original_text AS text FROM raw_posts",
+    "report_words": f"SELECT DISTINCT w, unnest({_VOCABULARY.format(d.words('text', 3))}) AS t FROM reports",
+    "hinted": f"SELECT DISTINCT w, unnest({d.all_hits('text', HINT_PATTERNS)}) AS category FROM reports",
+    "about": f"""SELECT event_id, category, first_seen_at, last_updated_at, {_VOCABULARY.format(d.words("(left(core_fact, 800) || ' Channel ' || event_id % 9)", 3))} AS t FROM event_rows""",
+    "event_words": "SELECT event_id, unnest(t) AS t FROM about",
+    "meetings": "SELECT w, event_id, count(*) AS shared FROM report_words JOIN event_words USING (t) GROUP BY 1, 2",
+    "rated": """SELECT w, event_id, last_updated_at, coalesce(shared, 0) AS shared, coalesce(shared, 0) * 10 + CASE WHEN h.category IS NULL THEN 0 ELSE 4 END
+            + 1.0::DOUBLE / (1.0::DOUBLE + greatest(0.0::DOUBLE, (epoch_us(w) - epoch_us(last_updated_at)) / 3600000000.0::DOUBLE) / 24.0::DOUBLE) AS score
+        FROM (SELECT DISTINCT w FROM reports) JOIN about a ON first_seen_at <= w AND last_updated_at >= w - INTERVAL 48 HOUR
+        LEFT JOIN meetings USING (w, event_id) LEFT JOIN hinted h USING (w, category)""",
+}
+
+
+@query(
+    "scored_events", "F5",
+    d.sql(f"""SELECT {d.iso('w')} AS window_end, event_id, shared, n AS event_rank FROM (
+              SELECT *, row_number() OVER (PARTITION BY w ORDER BY score DESC, last_updated_at DESC, event_id DESC) AS n FROM rated) WHERE n <= 10""", _SCORED_REACH),
+)
+def _(v):
+    end = F.timestamp_micros(F.unix_micros(window_end(F.col("observed_at"))) + 300_000_000)
+    reports = v.raw_posts.select(end.alias("window_end"), F.col("original_text").alias("text"))
+    text = F.concat(F.substring("core_fact", 1, 800), F.lit(" Channel "), F.col("event_id") % 9)
+    events = v.events.select("event_id", text.alias("text"), "category", "first_seen_at", "last_updated_at")
+    return L.scored_events(reports, events, 10).select("window_end", "event_id", "shared", "event_rank")
+
+
 # --- editorial ---------------------------------------------------------------
 _SCORED = {"scored": _score_sql("event_rows")}
 _GATED = {

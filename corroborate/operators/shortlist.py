@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.config import LIMITS
+from corroborate.functions.text import STOP_WORDS, category_hints, tokens_of
 from corroborate.operators.blocks import running_sum, top_per_key
+from corroborate.session import cut_lineage
 
 SLOT_SECONDS = LIMITS.window_minutes * 60
 HOUR_SLOTS = 3_600 // SLOT_SECONDS
 DAY_SLOTS = 86_400 // SLOT_SECONDS
 HORIZON = LIMITS.event_horizon_hours * 3_600
+#: Most frequent words that windows and events carry as bits, and the events that make a word frequent.
+COMMON_TOKENS = 252
+LEAST_COMMON = 1_000
 
 
 def eligible_event_counts(windows: DataFrame, events: DataFrame) -> DataFrame:
@@ -68,6 +73,25 @@ def _nodes(first: Column, last: Column) -> Column:
     )
 
 
+def _lookups(window_end: Column) -> Column:
+    """The day, hour and slot nodes that hold the events in reach of a window."""
+    slot = F.floor(F.unix_seconds(window_end) / SLOT_SECONDS)
+    return F.array(
+        F.struct(F.lit("day").alias("level"), F.floor(slot / DAY_SLOTS).alias("index")),
+        F.struct(F.lit("hour").alias("level"), F.floor(slot / HOUR_SLOTS).alias("index")),
+        F.struct(F.lit("slot").alias("level"), slot.alias("index")),
+    )
+
+
+def _placed(events: DataFrame, *columns: str) -> DataFrame:
+    """Events at the nodes that cover the slots they are in reach of; each slot is under exactly one of them."""
+    first = F.ceil(F.unix_micros("first_seen_at") / (SLOT_SECONDS * 1_000_000))
+    last = F.floor((F.unix_micros("last_updated_at") + HORIZON * 1_000_000) / (SLOT_SECONDS * 1_000_000))
+    spans = events.select(*columns, first.alias("_first"), last.alias("_last")).filter("_first <= _last")
+    placed = spans.select(*columns, F.explode(_nodes(F.col("_first"), F.col("_last"))).alias("_node"))
+    return placed.select("_node.level", "_node.index", *columns)
+
+
 def newest_events(windows: DataFrame, events: DataFrame, cap: int = LIMITS.active_events) -> DataFrame:
     """the ``cap`` most recently updated events in reach of each window.
 
@@ -76,22 +100,98 @@ def newest_events(windows: DataFrame, events: DataFrame, cap: int = LIMITS.activ
     of any of its windows, so every node is cut to ``cap`` before the shuffle
     (map-side group limit) and a window then meets at most 3 x cap rows.
     """
-    if cap < LIMITS.active_events:
-        raise ValueError(f"a shortlist of fewer than {LIMITS.active_events} events needs scores, which this one does not have")
     order = [F.col("last_updated_at").desc(), F.col("event_id").desc()]
-    first = F.ceil(F.unix_micros("first_seen_at") / (SLOT_SECONDS * 1_000_000))
-    last = F.floor((F.unix_micros("last_updated_at") + HORIZON * 1_000_000) / (SLOT_SECONDS * 1_000_000))
-    spans = events.select("event_id", "last_updated_at", first.alias("_first"), last.alias("_last")).filter("_first <= _last")
-    placed = spans.select("event_id", "last_updated_at", F.explode(_nodes(F.col("_first"), F.col("_last"))).alias("_node"))
-    pruned = top_per_key(
-        placed.select("_node.level", "_node.index", "event_id", "last_updated_at"), ["level", "index"], order, cap
-    ).drop("_rank")
-    slot = F.floor(F.unix_seconds("window_end") / SLOT_SECONDS)
-    lookups = F.array(
-        F.struct(F.lit("day").alias("level"), F.floor(slot / DAY_SLOTS).alias("index")),
-        F.struct(F.lit("hour").alias("level"), F.floor(slot / HOUR_SLOTS).alias("index")),
-        F.struct(F.lit("slot").alias("level"), slot.alias("index")),
-    )
-    probes = windows.select("window_end").distinct().select("window_end", F.explode(lookups).alias("_node"))
+    placed = _placed(events, "event_id", "last_updated_at")
+    pruned = top_per_key(placed, ["level", "index"], order, cap).drop("_rank")
+    probes = windows.select("window_end").distinct().select("window_end", F.explode(_lookups(F.col("window_end"))).alias("_node"))
     found = probes.select("window_end", "_node.level", "_node.index").join(pruned, ["level", "index"])
     return top_per_key(found.drop("level", "index"), ["window_end"], order, cap, "event_rank")
+
+
+def vocabulary(text: Column) -> Column:
+    """Distinct lower-case words of three letters or digits and more, without stop words."""
+    return F.array_except(tokens_of(text, 3), F.array(*map(F.lit, STOP_WORDS)))
+
+
+def scored_events(
+    reports: DataFrame, events: DataFrame, cap: int, common_tokens: int = COMMON_TOKENS, least_common: int = LEAST_COMMON
+) -> DataFrame:
+    """the ``cap`` best events in reach of each window, by 10 x shared words, category hint (4) and recency (1 at most).
+
+    ``reports`` has window_end and text, ``events`` event_id, text, category
+    and the two times. Equal scores go to the later update, then the larger id.
+
+    Rare words are an inverted index: only windows and events that share one
+    meet. The ``common_tokens`` most frequent words (those of ``least_common``
+    events at least) would bring nearly all together; windows and events carry
+    them as bits instead, so their number is counted without a join. An event
+    that shares no rare word needs many common ones to be among the best: its
+    number of common words must reach what the ``cap``-th best known score
+    asks for. To make that score high, the events of most common words of each
+    node are scored first. Newest events, for each category and in all, stand
+    in for those that share nothing. So no window meets all events in reach.
+    """
+    words = reports.select("window_end", F.explode(vocabulary(F.col("text"))).alias("token")).distinct()
+    hints = reports.select("window_end", F.explode(category_hints(F.col("text"))).alias("category")).distinct()
+    about = events.select("event_id", "category", "first_seen_at", "last_updated_at", F.explode(vocabulary(F.col("text"))).alias("token"))
+    about = cut_lineage(about)
+    often = about.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least_common)
+    # At most ``common_tokens`` words come to the driver.
+    common = [r["token"] for r in often.orderBy(F.desc("n"), "token").limit(common_tokens).collect()]
+    place = F.array_position(F.array(*map(F.lit, common)).cast("array<string>"), F.col("token")) - 1
+    flags = [F.coalesce(F.bit_or(F.when(F.floor(F.col("_p") / 63) == k, F.expr("shiftleft(1L, cast(_p % 63 as int))"))), F.lit(0)) for k in range(-(-len(common) // 63))]
+    bits = (F.array(*flags) if flags else F.array().cast("array<bigint>")).alias("bits")
+
+    def carried(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("_p", place).groupBy(*keys).agg(bits)
+
+    facts = ["event_id", "category", "first_seen_at", "last_updated_at"]
+    known = _counted(events.select(*facts).join(carried(about.filter(place >= 0), "event_id").withColumnRenamed("bits", "event_bits"), "event_id", "left"), "event_bits")
+    known = cut_lineage(known)
+    windows = reports.select("window_end").distinct()
+    asked = windows.join(carried(words.filter(place >= 0), "window_end"), "window_end", "left")
+    asked = cut_lineage(asked.join(hints.groupBy("window_end").agg(F.collect_set("category").alias("hints")), "window_end", "left"))
+    rare_words, rare_about = words.filter(place < 0), about.filter(place < 0).select("event_id", "first_seen_at", "last_updated_at", "token")
+    reached = (F.col("first_seen_at") <= F.col("window_end")) & (F.col("last_updated_at") >= F.col("window_end") - F.expr(f"interval {HORIZON} seconds"))
+    rare = rare_words.join(rare_about, "token").filter(reached).groupBy("window_end", "event_id").agg(F.count("*").alias("rare"))
+    probes = cut_lineage(asked.select("window_end", "hints", F.explode(_lookups(F.col("window_end"))).alias("_node")).select("window_end", "hints", "_node.*"))
+    newest = [F.col("last_updated_at").desc(), F.col("event_id").desc()]
+    placed = cut_lineage(_placed(known, "event_id", "category", "last_updated_at", "n_common"))
+    first = [
+        probes.join(top_per_key(placed, ["level", "index"], order, cap).drop("_rank"), ["level", "index"])
+        for order in (newest, [F.col("n_common").desc(), *newest])
+    ]
+    hinted = top_per_key(placed, ["level", "index", "category"], newest, cap).drop("_rank")
+    first.append(probes.join(hinted, ["level", "index"]).filter(F.array_contains("hints", F.col("category"))))
+    others = first[0]
+    for more in first[1:]:
+        others = others.unionByName(more)
+    rare = cut_lineage(rare)
+    seen = rare.unionByName(others.select("window_end", "event_id", F.lit(0).cast("bigint").alias("rare")))
+    scored = cut_lineage(_scores(seen.groupBy("window_end", "event_id").agg(F.max("rare").alias("rare")), asked, known))
+    best = [F.col("score").desc(), *newest]
+    bar = top_per_key(scored, ["window_end"], best, cap).groupBy("window_end").agg(F.min("score").alias("bar"), F.count("*").alias("n"))
+    # A score from common words alone is at most 10 for each, 4 for the category and 1 for recency.
+    needed = F.when(F.col("n") >= cap, F.greatest(F.lit(1), F.ceil((F.col("bar") - 5) / 10))).otherwise(F.lit(1)).cast("int")
+    rest = asked.join(bar, "window_end", "left").select("window_end", F.coalesce(needed, F.lit(1)).alias("least"), F.aggregate("bits", F.lit(0), lambda n, b: n + F.bit_count(b)).alias("most"))
+    rest = rest.filter("least <= most").select("window_end", F.explode(F.sequence("least", F.lit(len(common)))).alias("n_common"))
+    rest = rest.join(probes.drop("hints"), "window_end").join(placed.select("level", "index", "n_common", "event_id"), ["level", "index", "n_common"])
+    rest = rest.select("window_end", "event_id").join(scored.select("window_end", "event_id"), ["window_end", "event_id"], "left_anti")
+    more = _scores(rest.withColumn("rare", F.lit(0).cast("bigint")), asked, known)
+    return top_per_key(scored.unionByName(more), ["window_end"], best, cap, "event_rank").select("window_end", "event_id", "shared", "score", "event_rank")
+
+
+def _counted(events: DataFrame, bits: str) -> DataFrame:
+    count = F.aggregate(F.col(bits), F.lit(0), lambda n, b: n + F.bit_count(b))
+    return events.withColumn("n_common", F.coalesce(count, F.lit(0)))
+
+
+def _scores(pairs: DataFrame, asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Scores of (window_end, event_id, rare)."""
+    both = F.zip_with("bits", "event_bits", lambda a, b: F.bit_count(a.bitwiseAND(b)))
+    shared = F.col("rare") + F.coalesce(F.aggregate(both, F.lit(0), lambda n, b: n + b), F.lit(0))
+    boost = F.when(F.coalesce(F.array_contains("hints", F.col("category")), F.lit(False)), F.lit(4)).otherwise(F.lit(0))
+    age = F.greatest(F.lit(0.0), (F.unix_micros("window_end") - F.unix_micros("last_updated_at")) / F.lit(3_600_000_000.0))
+    joined = pairs.join(asked, "window_end").join(known, "event_id").withColumn("shared", shared)
+    score = F.col("shared") * 10 + boost + F.lit(1.0) / (F.lit(1.0) + age / F.lit(24.0))
+    return joined.select("window_end", "event_id", "last_updated_at", "shared", score.alias("score"))
