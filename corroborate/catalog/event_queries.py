@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corroborate.catalog import duck as d
 from corroborate.catalog.registry import query
 from corroborate.catalog.views import now
-from corroborate.functions.text import HINT_PATTERNS, REFUTATION_PATTERN, STOP_WORDS, entity_keys, tokens_of
+from corroborate.functions.text import HINT_PATTERNS, REFUTATION_PATTERN, STOP_WORDS, collapse_spaces, entity_keys, tokens_of
 from corroborate.functions.timefn import window_end
 from corroborate.operators import clusters as C
 from corroborate.operators import decisions as D
@@ -64,6 +64,45 @@ def _(v):
     return C.resolve_proposals(v.proposals, v.corrections, v.batch_posts).drop("cluster_no")
 
 
+_ANSWERED = {
+    **_RESOLVED,
+    "answered": "SELECT * FROM proposals WHERE batch_id % 5 <> 2",
+    "asked": "SELECT DISTINCT batch_id, batch_id % 10 <> 7 AS parsed FROM batch_posts",
+    "answers": "SELECT a.batch_id, parsed, CASE WHEN v.batch_id IS NULL THEN 'current_window_proposal_invalid' ELSE v.code END AS code, coalesce(offending, '') AS offending FROM asked a LEFT JOIN answer_verdicts v USING (batch_id)",
+    "answer_verdicts": _VERDICT.format(table="answered"),
+}
+_CLASSES = " ".join(f"WHEN {d.q(code)} THEN {d.q(name)}" for code, name in C.FAILURE_CLASSES.items())
+
+
+def _answered(v):
+    """Batches that were asked; one in five gave no clusters, half of these no readable answer."""
+    asked = v.batch_posts.select("batch_id").distinct().withColumn("parsed", F.col("batch_id") % 10 != 7)
+    return asked, v.proposals.filter("batch_id % 5 <> 2")
+
+
+@query("validate_answers", "I1", d.sql(f"SELECT batch_id, coalesce(code, 'ok') AS code, offending, CASE WHEN NOT parsed THEN 'CURRENT_WINDOW_SCHEMA_FAILURE' ELSE coalesce(CASE code {_CLASSES} END, 'none') END AS failure_class FROM answers", _ANSWERED))
+def _(v):
+    asked, proposals = _answered(v)
+    return C.validate_answers(asked, proposals, v.batch_posts).select(
+        "batch_id",
+        F.coalesce("code", F.lit("ok")).alias("code"),
+        F.array_join(F.col("offending_post_ids").cast("array<string>"), ",").alias("offending"),
+        F.coalesce("failure_class", F.lit("none")).alias("failure_class"),
+    )
+
+
+@query(
+    "resolve_answers", "I2 I1",
+    d.sql(f"""SELECT batch_id, {ID_LIST.format('list_sort(post_ids)')} AS post_ids, processing_mode FROM (
+        SELECT batch_id, post_ids, 'AI_CLUSTERING' AS processing_mode FROM answered WHERE batch_id IN (SELECT batch_id FROM answers WHERE code IS NULL)
+        UNION ALL SELECT batch_id, post_ids, 'AI_CLUSTERING' FROM corrections WHERE batch_id IN (SELECT batch_id FROM answers WHERE code IS NOT NULL) AND batch_id IN (SELECT batch_id FROM second_verdicts WHERE code IS NULL)
+        UNION ALL SELECT batch_id, [post_id], 'FAIL_CLOSED_SINGLETON_FALLBACK' FROM batch_posts WHERE batch_id IN (SELECT batch_id FROM answers WHERE code IS NOT NULL) AND batch_id IN (SELECT batch_id FROM second_verdicts WHERE code IS NOT NULL))""", _ANSWERED),
+)
+def _(v):
+    asked, proposals = _answered(v)
+    return C.resolve_proposals(proposals, v.corrections, v.batch_posts, asked).select("batch_id", "post_ids", "processing_mode")
+
+
 @query("proposed_pairs", "C8", d.sql("SELECT batch_id, left_post_id, right_post_id FROM pairs", _RESOLVED))
 def _(v):
     return C.proposed_pairs(C.resolve_proposals(v.proposals, v.corrections, v.batch_posts)).drop("cluster_no")
@@ -627,6 +666,34 @@ def _(v):
     return X.candidate_rows(gated.drop("high_priority"), tiers, v.stories, F.lit(0)).select("event_id", "publish", "material_update", "decision", "status")
 
 
+def _script(column, letters):
+    return f"length(regexp_replace({column}, '[^{letters}]', '', 'g'))"
+
+
+_PERSIAN = " AND ".join(f"{_script(c, '؀-ۿ')} >= 5 AND {_script(c, '؀-ۿ')} >= {_script(c, 'A-Za-z')}" for c in ("title", "description"))
+_DRAFTS = {
+    "drafts": f"""SELECT *, {_PERSIAN} AS persian FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN left({d.flat('core_fact')}, 100) ELSE 'بازار ایران ' || event_id END AS title,
+        CASE WHEN event_id % 5 = 0 THEN left(core_fact, 300) ELSE 'گزارش تازه از تهران ' || event_id END AS description FROM event_rows)""",
+}
+
+
+@query(
+    "blocked_candidates", "B15 B19",
+    d.sql("""SELECT event_id, CASE WHEN has_story AND edits THEN CASE WHEN persian THEN 'update_queued' ELSE 'update_story_blocked' END
+             WHEN NOT has_story AND allowed AND gate THEN CASE WHEN persian THEN 'queued' ELSE 'story_blocked' END ELSE 'pending' END AS status FROM compared JOIN drafts USING (event_id)""", {**_CANDIDATES, **_DRAFTS}),
+)
+def _(v):
+    fact, number = F.col("core_fact"), F.col("event_id").cast("string")
+    drafts = v.events.select(
+        "event_id", "event_version",
+        F.when(F.col("event_id") % 3 == 0, F.substring(collapse_spaces(fact), 1, 100)).otherwise(F.concat(F.lit("بازار ایران "), number)).alias("title"),
+        F.when(F.col("event_id") % 5 == 0, F.substring(fact, 1, 300)).otherwise(F.concat(F.lit("گزارش تازه از تهران "), number)).alias("description"),
+    )
+    tiers = v.events.select("event_id", "high_priority")
+    candidates = X.candidate_rows(_gated(v).drop("high_priority"), tiers, v.stories, F.lit(0))
+    return X.block_stories(candidates, drafts).select("event_id", "status")
+
+
 @query(
     "daily_budget", "E6",
     d.sql("""SELECT event_id, eligible_rank, eligible AND (score >= 90 OR eligible_rank <= 15) AS admitted FROM (SELECT *, CAST(sum(CASE WHEN eligible THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY created_at, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS eligible_rank

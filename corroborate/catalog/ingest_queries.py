@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corroborate.catalog import duck as d
@@ -11,11 +13,13 @@ from corroborate.functions import html
 from corroborate.functions.timefn import is_stale
 from corroborate.operators import batches as B
 from corroborate.operators import posts as P
+from corroborate.session import shared_folder
 from corroborate.sources import envelopes as E
 from corroborate.sources import manifest as M
 from corroborate.sources import pages as G
 from corroborate.sources import registry as R
 from corroborate.sources import sinks as S
+from corroborate.sources.store import PostStore
 
 AT = "coalesce(published_at, observed_at)"
 
@@ -188,9 +192,7 @@ def _(v):
     return E.check_envelopes(rows).select("event_id", "reasons")
 
 
-@query(
-    "upsert_raw_posts", "A7",
-    d.sql(f"""SELECT source_id, message_id, {d.iso('published_at')} AS published_at, {d.iso('edited_at')} AS edited_at, {d.iso('observed_at')} AS observed_at,
+_MERGED = d.sql(f"""SELECT source_id, message_id, {d.iso('published_at')} AS published_at, {d.iso('edited_at')} AS edited_at, {d.iso('observed_at')} AS observed_at,
         original_text, content_hash, media_type, is_deleted, processing_status, attempts FROM (
         SELECT source_id, message_id, coalesce(o.published_at, e.published_at) AS published_at,
           CASE WHEN e.edit_seq IS NOT NULL AND (o.content_hash IS NOT NULL OR e.edit_seq > e.first_seq) THEN e.edit_observed
@@ -209,13 +211,29 @@ def _(v):
             max(observed_at) AS observed_at, arg_max(text, seq) FILTER (update_type = 'edit') AS edit_text, arg_min(text, seq) AS first_text,
             arg_max(content_hash, seq) AS content_hash, arg_max(media_type, seq) FILTER (media_type IS NOT NULL) AS media_type,
             bool_or(update_type = 'delete') AS any_delete, list(DISTINCT content_hash) AS hashes
-          FROM envelopes GROUP BY source_id, message_id) e USING (source_id, message_id))"""),
-)
+          FROM envelopes GROUP BY source_id, message_id) e USING (source_id, message_id))""")
+_MERGED_COLUMNS = [
+    "source_id", "message_id", "published_at", "edited_at", "observed_at", "original_text", "content_hash", "media_type",
+    "is_deleted", "processing_status", F.col("analysis_attempts").alias("attempts"),
+]
+
+
+@query("upsert_raw_posts", "A7", _MERGED)
 def _(v):
-    return P.upsert_raw_posts(v.stored_posts, v.envelopes).select(
-        "source_id", "message_id", "published_at", "edited_at", "observed_at", "original_text", "content_hash",
-        "media_type", "is_deleted", "processing_status", F.col("analysis_attempts").alias("attempts"),
-    )
+    return P.upsert_raw_posts(v.stored_posts, v.envelopes).select(*_MERGED_COLUMNS)
+
+
+@query("merged_store", "A7", _MERGED)
+def _(v):
+    """The log in four parts, each merged into the buckets it touches, must give what one merge of all gives."""
+    path = f"{shared_folder(v.spark)}/stores/{uuid.uuid4().hex}"
+    store = PostStore(path, v.stored_posts.schema, buckets=32).create(v.stored_posts)
+    parts = 4
+    most = v.envelopes.agg(F.max("seq")).first()[0] or 0
+    for part in range(parts):
+        share = F.floor(F.col("seq") * parts / (most + 1)) == part
+        store.merge(v.envelopes.filter(share), part + 1)
+    return store.read(v.spark).select(*_MERGED_COLUMNS)
 
 
 _STATUS = "CASE WHEN processing_status IN ('queued', 'analyzing', 'analyzed', 'noise') THEN processing_status ELSE 'pending' END"

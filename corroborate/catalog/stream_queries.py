@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from corroborate.catalog import duck as d
 from corroborate.catalog.event_queries import _RESOLVED
+from corroborate.catalog.ingest_queries import _MEDIA, _URL, _batches
 from corroborate.catalog.ops_queries import _CAP, caps
-from corroborate.catalog.registry import query
+from corroborate.catalog.registry import QUERIES, query
+from corroborate.catalog.views import BASE, now
 from corroborate.functions import sql as S
 from corroborate.functions.text import set_overlap, tokens
 from corroborate.operators import clusters as C
@@ -72,6 +74,73 @@ def _(v):
     return v.spark.read.parquet(f"{out}/calls").select("call_id", "admitted")
 
 
+_AGAIN = f"({d.NOW} + INTERVAL 5 MINUTE)"
+_POLLED = {
+    "polled": f"""SELECT r.message_id, doc_id % 20 + 1 AS source_id, doc_id % 6 = 0 AS marked, (doc_id % 20 + 1) % 3 = 0 AS again, coalesce(r.message_id <= s.last_seen_message_id, false) AS edit, {d.trim('original_text')} AS t, {d.trim("original_text || ' (corrected)'")} AS u,
+        {_URL} || chr(10) AS head, chr(10) || coalesce({_MEDIA}, '') AS tail FROM raw_posts r LEFT JOIN sources s ON s.source_id = doc_id % 20 + 1""",
+}
+
+
+@query(
+    "ingest_pages", "J1 A7 B2 B3",
+    d.sql(f"""SELECT source_id, message_id, CASE WHEN again AND edit THEN u ELSE t END AS original_text, sha256(head || CASE WHEN again THEN u ELSE t END || tail) AS content_hash,
+              CASE WHEN edit THEN 'edit' ELSE 'create' END AS update_type, {d.iso(f"CASE WHEN again THEN {_AGAIN} ELSE {d.NOW} END")} AS observed_at,
+              CASE WHEN again AND edit THEN {d.iso(_AGAIN)} WHEN marked THEN {d.iso(d.NOW)} END AS edited_at, 'pending' AS processing_status FROM polled""", _POLLED),
+)
+def _(v):
+    """Pages polled twice by a stream that is stopped in between: a third of the channels has corrected its posts."""
+    out = _run_folder(v)
+    store = J.PostStore(f"{out}/store", v.stored_posts.schema)
+
+    def land(pages):
+        pages.repartition(2, "url").write.mode("append").parquet(f"{out}/pages")
+        J.store_stream(J.page_stream(v.spark, f"{out}/pages", 1), v.sources, store, out, once=True).awaitTermination()
+
+    land(v.channel_pages)
+    corrected = F.when(F.col("source_id") % 3 == 0, F.replace("html", F.lit("</div><time"), F.lit(" (corrected)</div><time"))).otherwise(F.col("html"))
+    land(v.channel_pages.withColumns({"html": corrected, "fetched_at": F.col("fetched_at") + F.expr("interval 5 minutes")}))
+    columns = ["source_id", "message_id", "original_text", "content_hash", "update_type", "observed_at", "edited_at", "processing_status"]
+    return store.read(v.spark).select(*columns)
+
+
+def _landed(v, out, parts):
+    """A stream over tables that landed one after the other, a micro-batch for each."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(out)
+    return v.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+@query(
+    "stream_cycle_rates", "J7",
+    d.sql("""SELECT strftime(w, '%Y-%m-%dT%H:%M') AS window_start, count(*) AS publications, CAST(count(*) FILTER (event_id % 97 = 0 AND w + INTERVAL 5 MINUTE <= latest - INTERVAL 10 MINUTE) AS BIGINT) AS late
+             FROM (SELECT event_id, time_bucket(INTERVAL 5 MINUTE, ts) AS w FROM log), (SELECT max(ts) AS latest FROM log WHERE event_id % 97 <> 0) GROUP BY 1"""),
+)
+def _(v):
+    """A second batch holds rows of all times; most come behind the watermark of the first."""
+    out = _run_folder(v)
+    rows = v.log.select("event_id", "ts")
+    log = _landed(v, f"{out}/in", [rows.filter("event_id % 97 <> 0").select("ts"), rows.filter("event_id % 97 = 0").select("ts")])
+    J.rate_stream(log, out, 10, once=True).awaitTermination()
+    return J.read_rates(v.spark, out).select(F.date_format("window_start", "yyyy-MM-dd'T'HH:mm").alias("window_start"), "publications", "late")
+
+
+@query("requeued_posts", "J6", QUERIES["orphan_posts"].sql)
+def _(v):
+    """Leases and the batches that hold posts, as a stream up to now: its timers must give the orphans of the batch form."""
+    out = _run_folder(v)
+    analyzing = v.posts.filter("not is_deleted and processing_status = 'analyzing'")
+    leased = F.col("analysis_lease_at")
+    leases = analyzing.filter(leased.isNull() | (leased <= now()))
+    leases = leases.select("post_id", F.coalesce(leased, F.lit(BASE).cast("timestamp")).alias("ts"), F.lit("lease").alias("kind"), leased.alias("leased_at"))
+    active = _batches(v).filter("status in ('queued', 'processing')").select("batch_id")
+    never = F.lit(None).cast("timestamp").alias("leased_at")
+    held = v.batch_posts.join(active, "batch_id").join(leases.select("post_id"), "post_id").select("post_id", now().alias("ts"), F.lit("held").alias("kind"), never)
+    beat = v.spark.range(1).select((-F.col("id") - 1).alias("post_id"), (now() + F.expr("interval 1 millisecond")).alias("ts"), F.lit("beat").alias("kind"), never)
+    stream = J.requeue_stream(_landed(v, f"{out}/in", [leases, held.unionByName(beat)]))
+    J._write(stream, f"{out}/rows", f"{out}/check", once=True).awaitTermination()
+    return v.spark.read.parquet(f"{out}/rows").select("post_id")
+
+
 @query(
     "sql_functions", "K3 H1 H2 H4",
     d.sql(f"""SELECT post_id, {d.noise('normalized_text')} AS reason, sha256(normalized_text) AS text_hash, {d.overlap('t', 'p')} AS overlap FROM (

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corroborate.catalog import duck as d
-from corroborate.catalog.registry import query
+from corroborate.catalog.registry import QUERIES, query
 from corroborate.catalog.views import now
 from corroborate.functions import caption, html, jsonfn, origin, places, scoring, text, timefn
+from corroborate.operators import gazetteer
 from corroborate.operators.blocks import previous_value, time_block
 
 JOINED = "array_to_string({}, ',')"
@@ -196,6 +197,18 @@ def _(v):
     return per_post.groupBy("within").agg(F.sum("n").alias("mentions"), F.count("*").alias("posts"))
 
 
+@query("gazetteer_places", "H20 C13", d.sql("SELECT post_id, unnest(places) AS node FROM placed", {"placed": _PLACED}))
+def _(v):
+    return gazetteer.named_places(v.posts, gazetteer.gazetteer_of(v.spark), "post_id", F.col("normalized_text"))
+
+
+@query("gazetteer_mentions", "C13 H20", QUERIES["posts_within_places"].sql)
+def _(v):
+    table = gazetteer.gazetteer_of(v.spark)
+    named = gazetteer.named_places(v.posts, table, "post_id", F.col("normalized_text"))
+    return gazetteer.mentions_within(named, table, "post_id")
+
+
 @query(
     "place_contradictions", "H21",
     d.sql("""SELECT post_id, len(places) > 0 AND len(before) > 0 AND NOT list_has_any(up, before) AND NOT list_has_any(places, before_up) AS contradicts FROM (

@@ -128,16 +128,29 @@ def trailing_counts(df: DataFrame, ts: str, seconds: int) -> DataFrame:
     )
 
 
-def distribution(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], width: float = 1_000.0) -> DataFrame:
+def quantile_block(df: DataFrame, keys: list[str], value: str, blocks: int, name: str) -> DataFrame:
+    """``df`` with the number of its value block per key: blocks end at sketched quantiles, so all hold about as many rows.
+
+    The sketch only says where blocks end; what is computed inside and across them stays exact.
+    """
+    cuts = F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 20 * blocks)
+    edges = df.groupBy(*keys).agg(cuts.alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
+    return join_null_safe(df, edges, keys).withColumn(name, below).drop("_cuts")
+
+
+def distribution(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], blocks: int = 64) -> DataFrame:
     """Count, exact median, nearest-rank percentiles and maximum per key.
 
     Equal values are counted first, so the rows that meet in one task are
-    distinct values of one value block, not measurements.
+    distinct values of one value block, not measurements. Blocks end at
+    quantiles of the distinct values, whatever their range.
     """
     if not keys:
-        return distribution(df.withColumn("_all", F.lit(1)), ["_all"], value, fractions, width).drop("_all")
+        return distribution(df.withColumn("_all", F.lit(1)), ["_all"], value, fractions, blocks).drop("_all")
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ranked = running_sum(counted, keys, [value], F.floor(F.col(value) / width), F.col("_n"), "_upto")
+    placed = quantile_block(counted, keys, value, blocks, "_place")
+    ranked = running_sum(placed, keys, [value], F.col("_place"), F.col("_n"), "_upto").drop("_place")
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("samples"))
     joined = join_null_safe(ranked, totals, keys)
     samples = F.col("samples")

@@ -23,8 +23,10 @@ INVALID = "current_window_proposal_invalid"
 UNKNOWN = "current_window_unknown_post_id"
 REPEATED = "current_window_duplicate_post_assignment"
 MISSING = "current_window_missing_post_assignment"
+SHAPE_FAILURE = "CURRENT_WINDOW_INVALID_CLUSTER_SHAPE"
+SCHEMA_FAILURE = "CURRENT_WINDOW_SCHEMA_FAILURE"
 FAILURE_CLASSES = {
-    INVALID: "CURRENT_WINDOW_INVALID_CLUSTER_SHAPE",
+    INVALID: SHAPE_FAILURE,
     UNKNOWN: "CURRENT_WINDOW_UNKNOWN_POST_ID",
     REPEATED: "CURRENT_WINDOW_DUPLICATE_POST_ASSIGNMENT",
     MISSING: "CURRENT_WINDOW_MISSING_POST_ASSIGNMENT",
@@ -109,8 +111,31 @@ def validate_proposals(
     return verdicts.drop("_answer").withColumn("failure_class", F.try_element_at(classes, F.col("code")))
 
 
-def resolve_proposals(first: DataFrame, correction: DataFrame, batch_posts: DataFrame) -> DataFrame:
-    """The partition to use for every batch that got a first answer.
+def validate_answers(
+    asked: DataFrame, proposals: DataFrame, batch_posts: DataFrame, max_posts: int = LIMITS.cluster_posts
+) -> DataFrame:
+    """I1 for every batch that was asked (batch_id, parsed), with or without clusters in its answer.
+
+    ``parsed`` is false if the answer was no object with a list of clusters:
+    a schema failure. An empty list, or clusters of wrong shape, fail by shape.
+    """
+    found = validate_proposals(proposals, batch_posts, max_posts).withColumn("_any", F.lit(True))
+    joined = asked.select("batch_id", "parsed").join(found, "batch_id", "left")
+    nothing = ~F.coalesce("parsed", F.lit(False)) | F.col("_any").isNull()
+    code = F.when(nothing, F.lit(INVALID)).otherwise(F.col("code"))
+    kind = (
+        F.when(~F.coalesce("parsed", F.lit(False)), F.lit(SCHEMA_FAILURE))
+        .when(code == INVALID, F.lit(SHAPE_FAILURE))
+        .otherwise(F.col("failure_class"))
+    )
+    offending = F.when(nothing, F.array().cast("array<bigint>")).otherwise(F.col("offending_post_ids"))
+    return joined.select("batch_id", code.alias("code"), offending.alias("offending_post_ids"), kind.alias("failure_class"))
+
+
+def resolve_proposals(
+    first: DataFrame, correction: DataFrame, batch_posts: DataFrame, asked: DataFrame | None = None
+) -> DataFrame:
+    """The partition to use for every batch that got a first answer, empty or unreadable ones (named by ``asked``) included.
 
     A valid first answer wins, then a valid correction; else every post becomes
     an uncertain singleton with confidence 0. Batches without a first answer do
@@ -125,7 +150,12 @@ def resolve_proposals(first: DataFrame, correction: DataFrame, batch_posts: Data
     choice = verdicts.groupBy("batch_id").agg(
         F.bool_or(F.col("_answer") == "first").alias("_asked"),
         F.coalesce(F.min(F.when(valid, F.col("_answer"))), F.lit("neither")).alias("_choice"),
-    ).filter("_asked")
+    )
+    if asked is None:
+        choice = choice.filter("_asked")
+    else:
+        choice = asked.select("batch_id").distinct().join(choice, "batch_id", "left")
+        choice = choice.withColumn("_choice", F.coalesce("_choice", F.lit("neither")))
     offered = answers.select(
         "batch_id",
         "_answer",

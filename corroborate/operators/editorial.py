@@ -184,6 +184,24 @@ def candidate_rows(
     )
 
 
+def block_stories(candidates: DataFrame, drafts: DataFrame) -> DataFrame:
+    """Candidates whose drafted story fails the language gate are blocked instead of queued.
+
+    ``drafts`` has event_id, event_version, title and description. Only events
+    that are to be published or updated get a draft; one without is left as it is.
+    """
+    gate = F.coalesce(story_is_persian(F.col("title"), F.col("description")), F.lit(False))
+    judged = drafts.select("event_id", "event_version", (~gate).alias("_blocked"))
+    joined = candidates.join(judged, ["event_id", "event_version"], "left")
+    blocked = F.coalesce("_blocked", F.lit(False))
+    status = (
+        F.when(blocked & F.col("material_update"), F.lit("update_story_blocked"))
+        .when(blocked & F.col("publish"), F.lit("story_blocked"))
+        .otherwise(F.col("status"))
+    )
+    return joined.withColumn("status", status).drop("_blocked")
+
+
 def daily_budget(candidates: DataFrame, day: str, order: list, block: Column) -> DataFrame:
     """Which publishable candidates of a day fit the budget.
 

@@ -53,21 +53,27 @@ def copied_from(
     """For each evidence row the latest of the ``lookback`` rows of the
     same event before it whose token overlap reaches ``threshold``.
 
-    Rows are numbered per event in blocks, then cut into runs of ``lookback``
-    positions. A row can only look into its own run and the one before, so
-    each row is sent to its run and, as context, to the next one: a group
-    holds at most two runs however large the event is, texts are tokenized
-    once, and one shuffle does it. Sizes are compared before the token sets.
+    Rows are numbered per event in blocks, by ids and times alone, and cut into
+    runs of ``lookback`` positions. A row can only look into its own run and
+    the one before, so each row is sent to its run and, as context, to the
+    next one: a group holds at most two runs however large the event is. Two
+    sets that overlap enough share one of their first few tokens in hash
+    order, so most pairs end with a look at these; sizes come first.
     """
-    rows = evidence.select("event_id", "post_id", "attached_at", tokens(F.col("text")).alias("tokens"))
+    rows = evidence.select("event_id", "post_id", "attached_at")
     placed = number_rows(rows, ["event_id"], EVENT_ORDER, time_block(F.col("attached_at")), "position")
     run = F.floor((F.col("position") - 1) / lookback)
     targets = F.array(
         F.struct(run.alias("run"), F.lit(True).alias("mine")), F.struct((run + 1).alias("run"), F.lit(False).alias("mine"))
     )
-    sent = placed.filter(F.size("tokens") > 0).select("event_id", "post_id", "position", "tokens", F.explode(targets).alias("t"))
+    sets = evidence.select("event_id", "post_id", tokens(F.col("text")).alias("tokens"))
+    reach = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    first = F.slice(F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))), F.lit(1), reach)
+    sets = sets.filter(F.size("tokens") > 0).withColumn("first", first)
+    sent = sets.join(placed.select("event_id", "post_id", "position"), ["event_id", "post_id"])
+    sent = sent.select("event_id", "post_id", "position", "tokens", "first", F.explode(targets).alias("t"))
     groups = sent.groupBy("event_id", "t.run").agg(
-        F.collect_list(F.struct("position", "post_id", "tokens", "t.mine")).alias("rows")
+        F.collect_list(F.struct("position", "post_id", "tokens", "first", "t.mine")).alias("rows")
     )
 
     def latest_parent(row: Column, others: Column) -> Column:
@@ -76,6 +82,7 @@ def copied_from(
             others,
             lambda other: distance(other).between(1, lookback)
             & within_size_ratio(F.size(row["tokens"]), F.size(other["tokens"]), threshold)
+            & F.arrays_overlap(row["first"], other["first"])
             & (set_overlap(row["tokens"], other["tokens"]) >= threshold),
         )
         return F.array_max(F.transform(near, lambda other: F.struct(other["position"], other["post_id"].alias("post_id"))))

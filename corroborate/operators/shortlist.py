@@ -100,6 +100,8 @@ def newest_events(windows: DataFrame, events: DataFrame, cap: int = LIMITS.activ
     of any of its windows, so every node is cut to ``cap`` before the shuffle
     (map-side group limit) and a window then meets at most 3 x cap rows.
     """
+    if cap < LIMITS.active_events:
+        raise ValueError(f"a shortlist of fewer than {LIMITS.active_events} events needs scores: use scored_events")
     order = [F.col("last_updated_at").desc(), F.col("event_id").desc()]
     placed = _placed(events, "event_id", "last_updated_at")
     pruned = top_per_key(placed, ["level", "index"], order, cap).drop("_rank")

@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from corroborate.config import LIMITS
 from corroborate.functions.timefn import day_key
 from corroborate.operators.posts import normalize_posts, upsert_raw_posts
 from corroborate.operators.quota import admit_calls
 from corroborate.schemas import PAGES
 from corroborate.sources.pages import cap_pages, page_warnings, parse_pages, to_envelopes
+from corroborate.sources.store import PostStore
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -117,6 +119,22 @@ def per_batch(stream: DataFrame, job: Callable[[DataFrame, int], None], checkpoi
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
+def store_stream(pages: DataFrame, sources: DataFrame, store: PostStore, out: str, once: bool = False) -> StreamingQuery:
+    """Every micro-batch of pages merged into the stored posts; pages that are none go to the quarantine.
+
+    A micro-batch is one version of the store, and reads and writes only the
+    buckets of its own messages. A batch that broke off is run again by the
+    stream and starts from the version before it.
+    """
+
+    def ingest(rows: DataFrame, batch_id: int) -> None:
+        posts = parse_pages(rows).withColumn("seq", F.unix_micros("observed_at"))
+        store.merge(to_envelopes(posts, sources), batch_id + 1, changed_only=True)
+        page_warnings(rows).drop("html").write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={batch_id}")
+
+    return per_batch(pages, ingest, f"{out}/_checkpoints/store", once)
+
+
 def counter_stream(log: DataFrame, out: str, once: bool = False) -> StreamingQuery:
     """Counter deltas per micro-batch; readers add them up."""
 
@@ -158,3 +176,79 @@ def admission_stream(calls: DataFrame, caps: Column, out: str, once: bool = Fals
         counts.write.mode("overwrite").partitionBy("day").parquet(f"{out}/usage/batch_id={batch_id}")
 
     return per_batch(calls, admit, f"{out}/_checkpoints/admissions", once)
+
+
+class Leases(StatefulProcessor):
+    """Remembers when a post was leased, and lets it back when the lease has run out."""
+
+    def __init__(self, minutes: int):
+        self.width = minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lease = handle.getValueState("lease", StructType([StructField("millis", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = pd.concat(list(rows)).sort_values("ts", kind="stable").iloc[-1]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.lease.clear()
+        if last["kind"] == "lease":
+            millis = 0 if pd.isna(last["leased_at"]) else int(last["leased_at"].timestamp() * 1000)
+            self.lease.update((millis,))
+            self.handle.registerTimer(millis + self.width)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.lease.exists():
+            self.lease.clear()
+            yield pd.DataFrame({"post_id": [key[0]], "expired_at": [expiredTimerInfo.getExpiryTimeInMs()]})
+
+    def close(self) -> None:
+        pass
+
+
+def requeue_stream(events: DataFrame, minutes: int = LIMITS.stale_minutes, delay: str = "0 seconds") -> DataFrame:
+    """Posts whose lease ran out, once the event time has passed its end.
+
+    ``events`` has post_id, ts, kind (``lease`` or anything that ends one) and
+    leased_at. State is one instant for each leased post, cleared when the
+    lease ends either way. A lease without an instant has run out already.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return events.withWatermark("ts", delay).groupBy("post_id").transformWithStateInPandas(
+        statefulProcessor=Leases(minutes), outputStructType="post_id bigint, expired_at bigint", outputMode="Append", timeMode="EventTime"
+    )
+
+
+def rate_stream(log: DataFrame, out: str, delay_minutes: int, once: bool = False) -> StreamingQuery:
+    """Publications per five-minute window, with the rows that come behind the watermark kept apart.
+
+    The watermark of a micro-batch is the latest ``ts`` of all batches before
+    it less the delay. Spark's own drops what is behind it; here nothing may be dropped, so a batch
+    writes what it adds to each window, and says of which rows the window was
+    closed. Windows need no state: what a batch adds is a few rows, and a
+    repeated batch replaces its own.
+    """
+
+    def add(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        seen = spark.createDataFrame([], "latest timestamp, batch_id int")
+        if batch_id > 0:
+            seen = spark.read.schema(seen.schema).parquet(f"{out}/seen").filter(F.col("batch_id") < batch_id)
+        latest = seen.agg(F.max("latest")).first()[0]
+        mark = F.lit(latest).cast("timestamp") - F.make_dt_interval(mins=F.lit(delay_minutes))
+        window = F.window("ts", f"{LIMITS.window_minutes} minutes")
+        late = F.coalesce(F.col("window_end") <= mark, F.lit(False))
+        placed = rows.select(window.start.alias("window_start"), window.end.alias("window_end")).withColumn("late", late)
+        counts = placed.groupBy("window_start", "late").agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{out}/counts/batch_id={batch_id}")
+        rows.agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{out}/seen/batch_id={batch_id}")
+
+    return per_batch(log, add, f"{out}/_checkpoints/rates", once)
+
+
+def read_rates(spark: SparkSession, out: str) -> DataFrame:
+    """Publications of each window so far, and how many of them came after it was closed."""
+    counts = spark.read.parquet(f"{out}/counts").groupBy("window_start")
+    return counts.agg(F.sum("n").alias("publications"), F.sum(F.when(F.col("late"), F.col("n")).otherwise(0)).alias("late"))

@@ -11,6 +11,7 @@ from corroborate.sources import manifest as M
 from corroborate.sources import pages as G
 from corroborate.sources import registry as R
 from corroborate.sources import sinks as S
+from corroborate.sources.store import PostStore
 from corroborate.streaming import jobs as J
 
 T0 = dt.datetime(2024, 1, 1)
@@ -189,3 +190,63 @@ def test_admission_stream_counts_across_batches(spark, tmp_path):
     J.admission_stream(stream, F.lit(6), str(tmp_path / "out"), once=True).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out" / "calls")).collect()
     assert len(rows) == 12 and sum(r.admitted for r in rows) == 6
+
+
+def test_a_merge_reads_and_writes_touched_buckets_only(spark, tmp_path):
+    v = Views(spark, FOLDER)
+    store = PostStore(str(tmp_path / "store"), v.stored_posts.schema, buckets=16).create(v.stored_posts)
+    before = store.heads(spark)
+    one = v.envelopes.filter("seq = 5")
+    (bucket,) = [r[0] for r in one.select(store.bucket()).collect()]
+    plan = store.read(spark, [bucket])._jdf.queryExecution().optimizedPlan().toString()
+    files = store.read(spark, [bucket]).inputFiles()
+    assert files and all(f"/bucket={bucket}/" in f for f in files) and "Relation" in plan
+    store.merge(one, 1)
+    after = store.heads(spark)
+    assert {b for b in after if after[b] != before.get(b)} == {bucket}
+    assert store.read(spark).exceptAll(P.upsert_raw_posts(v.stored_posts, one)).count() == 0
+    assert store.heads(spark, 1) == before
+
+
+def test_a_broken_merge_leaves_the_store_and_can_be_repeated(spark, tmp_path, monkeypatch):
+    v = Views(spark, FOLDER)
+    store = PostStore(str(tmp_path / "store"), v.stored_posts.schema, buckets=4).create(v.stored_posts)
+    log = v.envelopes.filter("seq < 200")
+    with monkeypatch.context() as broken:
+        broken.setattr(type(spark), "createDataFrame", lambda *a, **k: 1 / 0)  # after the rows, before the head
+        with pytest.raises(ZeroDivisionError):
+            store.merge(log, 1)
+    assert store.read(spark).exceptAll(v.stored_posts).count() == 0
+    store.merge(log, 1)
+    store.merge(log, 1)  # a stream may run its last batch again
+    expected = P.upsert_raw_posts(v.stored_posts, log)
+    assert store.read(spark).exceptAll(expected).count() == 0 and store.read(spark).count() == expected.count()
+
+
+def test_pages_stream_into_the_store(spark, tmp_path):
+    v = Views(spark, FOLDER)
+    store = PostStore(str(tmp_path / "store"), v.stored_posts.schema, buckets=8)
+    landing = str(tmp_path / "pages")
+    first = '<div class="tgme_page_widget"><div data-post="chan/11"><div class="tgme_widget_message_text">{}</div></div></div>'
+    for html, minute in ((first.format("a"), 0), (first.format("a"), 1), ("<p>foreign</p>", 2), (first.format("b"), 3)):
+        rows = page(spark, html).withColumn("fetched_at", F.lit(T0 + dt.timedelta(minutes=minute)))
+        rows.coalesce(1).write.mode("append").parquet(landing)
+        J.store_stream(J.page_stream(spark, landing), v.sources, store, str(tmp_path), once=True).awaitTermination()
+    (row,) = store.read(spark).collect()
+    cursor = v.sources.filter(F.col("source_id") == row.source_id).first()
+    edits = cursor is not None and (cursor.last_seen_message_id or 0) >= 11
+    assert row.original_text == ("b" if edits else "a") and row.observed_at == T0 + dt.timedelta(minutes=3)
+    assert [r.warning for r in spark.read.parquet(str(tmp_path / "quarantine")).collect()] == ["not_a_telegram_public_page"]
+    versions = {h for h in store.heads(spark).values()}
+    assert versions == {4}  # the second and third batch changed nothing
+
+
+def test_rows_behind_the_watermark_are_counted_apart(spark, tmp_path):
+    batches = [[0, 1, 6, 40], [2, 39, 12, 41], [0]]
+    for minutes in batches:
+        rows = spark.createDataFrame([(T0 + dt.timedelta(minutes=m),) for m in minutes], "ts timestamp")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        log = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        J.rate_stream(log, str(tmp_path / "out"), 10, once=True).awaitTermination()
+    got = {r.window_start: (r.publications, r.late) for r in J.read_rates(spark, str(tmp_path / "out")).collect()}
+    assert got == {T0 + dt.timedelta(minutes=m): n for m, n in {0: (4, 2), 5: (1, 0), 10: (1, 1), 35: (1, 0), 40: (2, 0)}.items()}

@@ -38,7 +38,7 @@ def test_running_sum_and_previous_value(skewed):
 
 
 def test_distribution_matches_sorted_lists(skewed):
-    rows = K.distribution(skewed.fillna("none", ["key"]), ["key"], "value", {"p95": 0.95}, 2.0).collect()
+    rows = K.distribution(skewed.fillna("none", ["key"]), ["key"], "value", {"p95": 0.95}, 5).collect()
     values = {}
     for r in skewed.fillna("none", ["key"]).collect():
         values.setdefault(r.key, []).append(r.value)
@@ -50,6 +50,15 @@ def test_distribution_matches_sorted_lists(skewed):
         assert r.p95 == v[max(0, -(-n * 95 // 100) - 1)]
 
 
+def test_values_of_a_narrow_range_fall_into_many_blocks(spark):
+    rows = spark.range(20_000).select((F.col("id") / 20_000).alias("value"))
+    placed = K.quantile_block(rows.withColumn("key", F.lit("k")), ["key"], "value", 16, "block")
+    sizes = [r["count"] for r in placed.groupBy("block").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 20_000 / 16
+    spread = K.distribution(rows, [], "value", {"p95": 0.95}).first()
+    assert (spread.samples, spread.median, spread.p95, spread.maximum) == (20_000, 9_999.5 / 20_000, 18_999 / 20_000, 19_999 / 20_000)
+
+
 @pytest.mark.parametrize("block_rows", [32, 50, 4096])
 def test_window_packing_against_a_fold(spark, block_rows):
     rng = random.Random(block_rows)
