@@ -183,15 +183,21 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     """
     if not len(starts):
         return np.zeros(0, np.int64), []
-    edges = np.empty(2 * len(starts), np.int64)
-    edges[0::2], edges[1::2] = starts, ends
+    gaps = bool((starts[1:] != ends[:-1]).any())
+    if gaps:  # what lies between two ranges is an entry too
+        edges = np.empty(2 * len(starts), np.int64)
+        edges[0::2], edges[1::2] = starts, ends
+    else:
+        edges = np.append(starts, ends[-1:]).astype(np.int64)
     parts = [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]
-    spans = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, parts)
-    known = spans.dictionary_encode()  # what lies between two ranges is an entry too
-    code = known.indices.to_numpy()[0::2]
-    used = np.zeros(len(known.dictionary), bool)
-    used[code] = True
-    return (np.cumsum(used) - 1)[code], known.dictionary.filter(pa.array(used)).to_pylist()
+    known = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, parts).dictionary_encode()
+    code, found = known.indices.to_numpy(), known.dictionary
+    if gaps:
+        code = code[0::2]
+        used = np.zeros(len(found), bool)
+        used[code] = True
+        code, found = (np.cumsum(used) - 1)[code], found.filter(pa.array(used))
+    return code, found.to_pylist()
 
 
 class SpanHash:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corroborate.llm.common import received, send, slices, strings
 from corroborate.llm.cutting_stock import plan
-from corroborate.llm.token_files import load_tokenizer, worker_cache
+from corroborate.llm.token_files import BYTES_AT_ONCE, load_tokenizer, worker_cache
 from corroborate.session import cut_lineage, shared_folder
 
 #: Ids of the stream that are cut in one group.
@@ -43,7 +43,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str, doc_id: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, end, key = worker_cache(tokenizer_path, dtype), np.array([end_id], dtype), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, BYTES_AT_ONCE):
                 found = [np.concatenate((ids, end)) for ids in cache.encode(strings(part.column(1)))]
                 keys = np.arange(key, key + len(found))
                 key += len(found)

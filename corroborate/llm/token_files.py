@@ -24,7 +24,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,13 @@ from pyspark.sql import functions as F
 from corroborate.llm.common import distinct_spans, slices, strings, text_buffer
 from corroborate.session import shared_folder
 
+#: Text that is encoded together: the more, the fewer words are looked up.
+BYTES_AT_ONCE = 1 << 22
 MANIFEST = "shard int, documents bigint, tokens bigint, sequences_file string, documents_file string"
 #: White space beside the ASCII kinds; texts with any of it are encoded whole.
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: First bytes of these characters in UTF-8.
+_MAY_BE_RARE = np.array([0x1C <= b <= 0x1F or b in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 #: One word of the tokenizer's first cut, whatever stands around it.
 #: (Latin letters up to U+024F in UTF-8, after at most one space.)
 _LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
@@ -81,8 +85,10 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class WordCache:
     """Ids of whole texts, with the tokenizer run once for each distinct word.
 
-    Words are told apart by their bytes. At most ``most`` words are kept, and
-    no more of ``most_bytes`` than those of one call.
+    Words are told apart by their bytes. They are kept in two generations: a
+    new word goes to the young one, a word met again is moved there, and once
+    the young one has ``most`` words or ``most_bytes`` it becomes the old one.
+    So frequent words stay and words met once go.
     """
 
     def __init__(self, tokenizer, dtype, most: int = 250_000, most_bytes: int = 1 << 24):
@@ -90,70 +96,65 @@ class WordCache:
         added = tokenizer.get_added_tokens_decoder().items()
         self.mark_id, self.mark = next((i, t.content) for i, t in added if t.special)
         self.alphabet = byte_alphabet()
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
-        self.flat, self.used = np.empty(1 << 16, self.dtype), 0
-        self.first, self.size = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string array."""
         data, offsets = text_buffer(texts)
-        plain = np.array([t is None or not _RARE_SPACE.search(t) for t in texts.to_pylist()], bool)
+        odd = np.concatenate(([0], np.cumsum(_MAY_BE_RARE[data])))[offsets]
+        plain = np.ones(len(texts), bool)
+        for i in np.flatnonzero(np.diff(odd)).tolist():
+            plain[i] = not _RARE_SPACE.search(texts[i].as_py())
         starts = cut_points(data, offsets)
         ends = np.append(starts[1:], len(data))
         ids = np.zeros(0, self.dtype)
         edges = np.zeros(len(offsets), np.int64)
         if len(starts):
-            words, inverse = self.numbers(data, starts, ends)
-            word = words[inverse]
-            sizes = self.size[word]
+            word, words = distinct_spans(data, starts, ends)
+            known = self.look_up(words)
+            flat = np.frombuffer(b"".join(known), self.dtype)
+            width = np.array([len(x) for x in known], np.int64) // self.dtype.itemsize
+            first, sizes = np.cumsum(width) - width, width[word]
             upto = np.concatenate(([0], np.cumsum(sizes)))
-            ids = self.flat[np.repeat(self.first[word] - upto[:-1], sizes) + np.arange(upto[-1])]
+            ids = flat[np.repeat(first[word] - upto[:-1], sizes) + np.arange(upto[-1])]
             edges = upto[np.searchsorted(starts, offsets)]
         return [
             ids[a:b] if ok else np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype)
             for i, (a, b, ok) in enumerate(zip(edges[:-1], edges[1:], plain))
         ]
 
-    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        inverse, words = distinct_spans(data, starts, ends)
-        missing = [w for w in words if w not in self.known]
-        size = sum(map(len, missing))
-        if len(self.known) + len(missing) > self.most or self.held + size > self.most_bytes:
-            self.clear()
-            missing, size = words, sum(map(len, words))
-        if missing:
-            self.held += size
-            self.keep(missing, self.fresh(missing))
-        return np.array([self.known[w] for w in words], np.int64), inverse
-
-    def keep(self, keys: list[bytes], ids: list[list[int]]) -> None:
-        n, sizes = len(self.known), np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum()))
-        while n + len(keys) > len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.first[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(keys)] = sizes
-        self.known.update(zip(keys, range(n, n + len(keys))))
-        self.used += len(flat)
-
-    def fresh(self, words: list[bytes]) -> list[list[int]]:
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as bytes."""
+        found = list(map(self.young.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        moved = [words[i] for i in new]
+        known = list(map(self.old.get, moved))
+        made = iter(self.fresh([w for w, ids in zip(moved, known) if ids is None]))
+        known = [next(made) if ids is None else ids for ids in known]
+        for i, ids in zip(new, known):
+            found[i] = ids
+        self.young.update(zip(moved, known))
+        self.held += sum(map(len, moved)) + sum(map(len, known))
+        if len(self.young) > self.most or self.held > self.most_bytes:
+            self.old, self.young, self.held = self.young if self.held <= self.most_bytes else {}, {}, 0
+        return found
+
+    def fresh(self, words: list[bytes]) -> list[bytes]:
         """Ids of many short texts.
 
         Plain letters are one word, which the tokenizer's model takes as it is
         (bytes in its own alphabet). The others are encoded in one call, with a
         special token between them that keeps them apart.
         """
-        alphabet, tokenize, letters = self.alphabet, self.tokenizer.model.tokenize, _LETTERS.fullmatch
+        alphabet, tokenize, letters, blank = self.alphabet, self.tokenizer.model.tokenize, _LETTERS.fullmatch, self.alphabet[0x20]
         out: list[list[int]] = []
         others: list[tuple[int, str]] = []
         for word in words:
+            if word[0] == 0x20 and word[1:].isalpha():
+                out.append([t.id for t in tokenize(blank + word[1:].decode("ascii"))])
+                continue
             if letters(word):
                 out.append([t.id for t in tokenize(word.decode("latin-1").translate(alphabet))])
                 continue
@@ -175,7 +176,9 @@ class WordCache:
                     at += 1
                 else:
                     out[some[at][0]].append(token)
-        return out
+        sizes = [len(x) * self.dtype.itemsize for x in out]
+        flat = np.fromiter(chain.from_iterable(out), self.dtype, sum(map(len, out))).tobytes()
+        return [flat[end - size : end] for size, end in zip(sizes, accumulate(sizes))]
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -290,7 +293,7 @@ def write_tokens(
         words, writer, shard = None, None, TaskContext.get().partitionId()
         end = np.array([end_id], dtype)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, BYTES_AT_ONCE):
                 if writer is None:
                     words = worker_cache(tokenizer_path, dtype)
                     writer = ShardWriter(folder, shard, length, rows_per_batch, dtype, part.schema.field(0).type)

@@ -90,3 +90,17 @@ def test_overlap_of_multisets():
     b = weigh(np.array([1, 2, 2], np.uint64))
     assert overlap(a, b) == 2 / 4
     assert overlap(a, (np.array([], np.uint64), np.array([], np.int64))) == 0
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_with_equal_polynomial_hashes_stay_apart():
+    """Such words of any length have equal sums of powers modulo 2**64, whatever the base."""
+    for n in (1024, 2048):
+        one, two = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+        texts = pa.array([f"{one}\n{two}\n", f"p q r {one} s t", f"p q r {two} s t"], pa.large_string())
+        assert BaseFigures()(texts)[3].tolist() == [0, 0, 0]
+        bags = [weigh(x) for x in Shingler()(texts)]
+        assert overlap(bags[1], bags[2]) == 0
