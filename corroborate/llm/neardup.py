@@ -5,13 +5,24 @@
 2. Contents get BagMinHash signatures, cut into bands. Contents that share a
    band are candidates: at a similarity of 0.8, 32 bands of 6 components miss
    a pair with probability 6e-5.
-3. *Star rounds.* In each bucket one content is the centre and the others are
-   compared with it, so a bucket of n contents gives n - 1 comparisons. Links
-   that hold are joined into classes. In the first round a group has the same
-   centre in most buckets, in the second every bucket draws its own.
-4. *The rest.* Contents of one bucket that are in different classes by now are
-   compared with each other, so that no link is lost to the choice of centres.
-   Buckets of one class, the large groups of near copies, need none of this.
+3. *Hub rounds.* The centre of a bucket is its content that meets most others
+   in all its buckets, so a group of near copies has one hub in nearly all of
+   them. Every content is compared with the centres of its buckets, n - 1
+   comparisons for n contents. Links that hold are joined into classes.
+4. *What is left* are contents of one bucket in different classes. Few pairs
+   of them are compared as they are. Of many, each content is written as its
+   difference d from the bucket's centre (the shingles that one of the two
+   lacks), and the centre is moved to what most of its group have. With
+   r = (1 - t) / (1 + t) and g = size(d) - r * n, two contents are linked if
+   and only if g(x) + g(y) <= 2 * (shingles that d(x) and d(y) share). So
+   (a) where g(x) + g(y) <= 0 they are linked whatever they share: then both
+   are linked to the content of smallest g; (b) all others must share most of
+   their differences. Of the one with the smaller d at most
+   r * n * (1 + 1 / t) / 2 may be missing in the other, of the larger one twice
+   as many. So they share one of so many and one more, counted in order of
+   rarity; the shingles of one content alone come first and meet no one.
+   Contents that share one are the buckets of the next hub round.
+5. What that leaves is compared pair by pair, so no link is lost to the choice of centres.
 
 Candidates always are compared by their whole shingle multisets. For that the
 texts are sent to their centre's group; a group of many is dealt to several
@@ -21,7 +32,8 @@ tasks, each with a copy of the centre. A task holds one centre at a time.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +41,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.llm.bagminhash import BagMinHash, Shingler, band_keys, overlap, weigh
-from corroborate.llm.common import TERM_ANY_CASE, add_columns, fresh_names, slices, strings
+from corroborate.llm.common import TERM_ANY_CASE, add_columns, fresh_names, mix64, slices, strings
 from corroborate.session import cut_lineage
 
 #: Texts of one group that are compared with one copy of its centre.
 GROUP_ROWS = 256
-
-
-#: Contents whose texts are looked up by a broadcast of their 16 bytes; with more the texts are shuffled.
+#: Contents whose texts are looked up by a broadcast of their 16 bytes (with more the texts are shuffled), and centres sent with it.
 BROADCAST_CONTENTS = 250_000
+#: Pairs left for each content up to which they are compared as they are, and up to which their differences decide which are.
+REST_PAIRS, DIFFERENT_PAIRS = 4, 256
+#: 64-bit words of a difference's bit map.
+BIT_WORDS = 8
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def content_of(text: Column) -> Column:
@@ -70,13 +85,34 @@ def near_duplicates(
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select("key")
     buckets = cut_lineage(buckets.join(shared, "key"))
     texts = read.filter("content is not null").select("content", "text")
-    labels = None
-    links = None
-    for own_centres in (False, True):
-        pairs = _star_pairs(_labelled(buckets, labels), threshold, own_centres)
-        links, labels = _grow(links, labels, pairs, texts, threshold, width)
-    pairs = _rest_pairs(_labelled(buckets, labels), threshold)
-    links, labels = _grow(links, labels, pairs, texts, threshold, width)
+    number = contents.count()
+    labels = links = None
+    nothing = F.array_repeat(F.lit(0).cast("bigint"), BIT_WORDS)
+    start = {"g": F.lit(0.0), "size": F.lit(0).cast("bigint"), "short": F.lit(True), "bits": nothing}
+    groups, most = buckets.withColumns(start), -1.0
+    while True:
+        named = cut_lineage(_labelled(groups, labels))
+        if links is not None and _pairs_between(named) <= most * number:
+            break
+        centred = cut_lineage(named.join(_centres(named), "key"))
+        star = centred.filter((F.col("content") != F.col("centre")) & (F.col("label") != F.col("_centre_label")))
+        before = links
+        links, labels = _link(links, labels, compared(star.select("centre", "content").distinct(), texts, threshold, width))
+        if links is before:
+            break  # further rounds would change nothing
+        centred = cut_lineage(_labelled(centred.drop("label", "_centre_label"), labels))
+        if _pairs_between(centred) <= REST_PAIRS * number:
+            groups, most = centred.drop("centre", "label"), REST_PAIRS
+            continue
+        met = centred.filter("content != centre").select("centre", "content").distinct()
+        several = met.groupBy("centre").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("centre")
+        met = met.join(several, "centre")  # a content alone with its centre has no one else to meet
+        found, groups = _differences(differing(met, texts, width), threshold)
+        links, labels = _link(links, labels, found)
+        most = DIFFERENT_PAIRS
+    rest = cut_lineage(compared(_rest_pairs(named, threshold), texts, threshold, width))
+    if not rest.isEmpty():
+        links, labels = _link(links, labels, rest)
     return members.select("doc_id", "content").join(labels, "content", "left").select(
         "doc_id", "content", F.coalesce("label", "content").alias("class")
     )
@@ -112,53 +148,136 @@ def _alike(n: Column, m: Column, threshold: float) -> Column:
     return F.least(n, m) >= F.lit(threshold - 1e-9) * F.greatest(n, m)
 
 
-def _star_pairs(named: DataFrame, threshold: float, own_centres: bool) -> DataFrame:
-    """Every content of a bucket with the bucket's centre.
+def _link(links: DataFrame | None, labels: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links so far and the classes they make."""
+    found = cut_lineage(found.select("centre", "content"))
+    if links is not None and found.isEmpty():
+        return links, labels
+    links = found if links is None else links.unionByName(found)
+    return links, components(links, "centre", "content")
+
+
+def _centres(named: DataFrame) -> DataFrame:
+    """The centre of each bucket: its content with most company in all buckets."""
+    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
+    company = named.join(sizes, "key").groupBy("content").agg(F.sum("_rows").alias("_company"))
+    known = named.select("key", "content", "label").join(company, "content")
+    best = known.groupBy("key").agg(F.max_by(F.struct("content", "label"), F.struct("_company", "content")).alias("c"))
+    return best.select("key", F.col("c.content").alias("centre"), F.col("c.label").alias("_centre_label"))
 
-    The smallest content is the centre of most buckets of its group, which
-    gives few different pairs. With ``own_centres`` each bucket draws its own,
-    so that the members of a large group meet many of each other.
+
+def _pairs_between(named: DataFrame) -> int:
+    """Pairs of contents of different classes that all buckets give, at most."""
+    count = F.count(F.lit(1)).cast("double")
+    each = named.groupBy("key", "label").agg(count.alias("_n"), F.count_if("short").cast("double").alias("_s"))
+    each = each.groupBy("key").agg((F.sum("_n") * F.sum("_s") - F.sum(F.col("_n") * F.col("_s"))).alias("_pairs"))
+    return int(each.agg(F.sum("_pairs")).first()[0] or 0)
+
+
+def _differences(met: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links that differences from a centre prove, and buckets of contents that share some of them.
+
+    ``met`` has centre, content, n and ``d``, the content's difference. A
+    centre's group is the contents compared with it.
     """
-    rank = F.xxhash64("content", "key") if own_centres else F.col("content")
-    centres = named.groupBy("key").agg(F.min(F.struct(rank.alias("_r"), "content", "n", "label")).alias("c"))
-    return (
-        named.join(centres, "key")
-        .filter((F.col("label") != F.col("c.label")) & _alike(F.col("n"), F.col("c.n"), threshold))
-        .select(F.col("c.content").alias("centre"), "content")
-        .distinct()
+    met = cut_lineage(met)
+    each = met.select("centre", "content", F.explode("d").alias("e"))
+    groups = met.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
+    often = each.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("times")).join(groups, "centre")
+    often = cut_lineage(often.withColumn("most", 2 * F.col("times") > F.col("members")))
+    # The centre moves to what most have: a shingle that most differ in becomes a difference of the others.
+    moved = often.filter("most").select("centre", "e", (F.col("members") - F.col("times")).alias("times"))
+    ids = met.select("centre", "content")
+    others = ids.join(moved, "centre").join(each, ["centre", "content", "e"], "left_anti")
+    kept = each.join(often.filter("not most").select("centre", "e", "times"), ["centre", "e"])
+    now = cut_lineage(kept.select("centre", "content", "e", "times").unionByName(others.select("centre", "content", "e", "times")))
+    words = [F.bit_or(F.expr(f"if(pmod(e, {64 * BIT_WORDS}) div 64 = {k}, shiftleft(1L, cast(pmod(e, 64) as int)), 0L)")) for k in range(BIT_WORDS)]
+    sizes = now.groupBy("centre", "content").agg(
+        F.count(F.lit(1)).alias("size"), F.count_if(F.col("times") == 1).alias("alone"), F.array(*words).alias("bits")
     )
+    r = (1 - threshold) / (1 + threshold)
+    state = met.select("centre", "content", "n").join(sizes, ["centre", "content"], "left")
+    state = state.withColumns({"size": F.coalesce("size", F.lit(0)), "alone": F.coalesce("alone", F.lit(0))})
+    state = cut_lineage(state.withColumn("g", F.col("size") - F.lit(r) * F.col("n")))
+    least = state.groupBy("centre").agg(F.min(F.struct("g", "content")).alias("least"))
+    state = cut_lineage(state.join(least, "centre"))
+    sure = (F.col("g") + F.col("least.g") <= 1e-9) & (F.col("content") != F.col("least.content"))
+    found = state.filter(sure).select(F.col("least.content").alias("centre"), "content")
+    some = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("least.g")) / 2 - 1e-9))
+    missing = r * (1 + 1 / threshold)  # share of a content's size that the other may lack of its differences
+
+    def reach(share: float) -> Column:
+        need = F.greatest(some, F.ceil(F.col("size") - F.lit(share) * F.col("n") - 1e-9))
+        return (F.col("size") - need + 1 - F.col("alone")).cast("int")
+
+    reaching = state.withColumns({"reach": reach(missing), "near": reach(missing / 2)}).filter("reach > 0")
+    shared = now.filter("times > 1").groupBy("centre", "content").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("es"))
+    first = reaching.join(shared, ["centre", "content"]).select(
+        "centre", "content", "n", "g", "size", "near", "bits", F.posexplode(F.slice("es", F.lit(1), F.col("reach"))).alias("_at", "_e")
+    )
+    key = F.xxhash64("centre", "_e.e").alias("key")
+    return found, cut_lineage(first.select(key, "content", "n", "g", "size", (F.col("_at") < F.col("near")).alias("short"), "bits"))
 
 
 def _rest_pairs(named: DataFrame, threshold: float) -> DataFrame:
-    other = named.select("key", F.col("content").alias("centre"), F.col("n").alias("m"), F.col("label").alias("other"))
-    return (
-        named.join(other, "key")
-        .filter((F.col("label") > F.col("other")) & _alike(F.col("n"), F.col("m"), threshold))
-        .select("centre", "content")
-        .distinct()
-    )
+    """Pairs of different classes in a bucket that their sizes and differences allow.
 
+    The content with the smaller difference meets the other by one of its
+    nearest shingles. What both share is at most what is left of one without
+    the bits that the other lacks.
+    """
+    left = named.filter("short").select("key", "content", "n", "g", "size", "label", "bits")
+    names = (("content", "centre"), ("n", "m"), ("g", "h"), ("size", "other_size"), ("label", "other"), ("bits", "other_bits"))
+    right = named.select("key", *[F.col(c).alias(name) for c, name in names])
 
-def _grow(links, labels, pairs: DataFrame, texts: DataFrame, threshold: float, width: int):
-    pairs = cut_lineage(pairs)
-    if labels is not None and pairs.isEmpty():
-        return links, labels
-    found = cut_lineage(verified(pairs, texts, threshold, width).select("centre", "content"))
-    links = found if links is None else links.unionByName(found)
-    return links, components(links, "centre", "content")
+    def lacked(a: str, b: str) -> Column:
+        return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[k].bitwiseAND(F.bitwise_not(F.col(b)[k]))) for k in range(BIT_WORDS)])
+
+    shared = F.least(F.col("size") - lacked("bits", "other_bits"), F.col("other_size") - lacked("other_bits", "bits"))
+    fits = (F.col("g") + F.col("h") <= 2 * shared + 1e-9) & _alike(F.col("n"), F.col("m"), threshold)
+    smaller = F.struct("size", "content") < F.struct("other_size", "centre")
+    return left.join(right, "key").filter((F.col("label") != F.col("other")) & smaller & fits).select("centre", "content").distinct()
+
+
+def compared(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """The pairs (centre, content) whose multisets of shingles overlap by ``threshold`` or more, with ``similarity``."""
+
+    def judge(centre, other):
+        similarity = overlap(centre, other)
+        return (similarity,) if similarity >= threshold - 1e-12 else None
+
+    return _meet(pairs, texts, width, judge, [("similarity", "double", pa.float64())])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """The pairs (centre, content) whose multisets overlap by ``threshold`` or more, with ``similarity``."""
-    parts = F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("_parts")
-    groups = pairs.groupBy("centre").agg(parts)
-    salt = F.pmod(F.xxhash64("content"), F.col("_parts")).cast("int")
-    roles = pairs.join(groups, "centre").select("content", "centre", salt.alias("salt"), F.lit(1).alias("role"))
-    own = groups.select(
-        F.col("centre").alias("content"),
-        "centre",
-        F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("salt"),
-        F.lit(0).alias("role"),
+def differing(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (centre, content) with the content's size ``n`` and ``d``, the shingles (each with its number) that one of them lacks."""
+
+    def difference(centre, other):
+        return int(other[1].sum()), np.setxor1d(numbered(centre), numbered(other), assume_unique=True).view(np.int64)
+
+    return _meet(pairs, texts, width, difference, [("n", "bigint", pa.int64()), ("d", "array<bigint>", pa.list_(pa.int64()))])
+
+
+def numbered(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset as a set: the first, second, ... time of each shingle."""
+    x, p = bag
+    again, times = np.repeat(x[p > 1], p[p > 1] - 1), p[p > 1] - 1
+    number = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times) + 1
+    return np.concatenate((x, mix64(again + number.astype(np.uint64) * _STEP)))
+
+
+def _meet(pairs: DataFrame, texts: DataFrame, width: int, judge: Callable, kinds: list[tuple]) -> DataFrame:
+    """``judge`` of the shingles of both texts of each pair (None: no row)."""
+    pairs = cut_lineage(pairs)
+    large = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("_parts")).filter("_parts > 1")
+    large = cut_lineage(large)
+    if large.count() <= BROADCAST_CONTENTS:
+        large = F.broadcast(large)
+    parts = F.coalesce("_parts", F.lit(1))
+    salt = F.pmod(F.xxhash64("content"), parts).cast("int")
+    roles = pairs.join(large, "centre", "left").select("content", "centre", salt.alias("salt"), F.lit(1).alias("role"))
+    own = pairs.select("centre").distinct().join(large, "centre", "left").select(
+        F.col("centre").alias("content"), "centre", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("role")
     )
     roles = roles.unionByName(own)
     needed = cut_lineage(roles.select("content").distinct())
@@ -167,28 +286,26 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -
     one = texts.join(needed, "content", "left_semi").groupBy("content").agg(F.min("text").alias("text"))
     sent = one.join(roles, "content").select("centre", "salt", "role", "content", "text")
     sent = sent.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
+    schema = pa.schema([("centre", pa.binary()), ("content", pa.binary()), *[(name, kind) for name, _, kind in kinds]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, group, bag = Shingler(width), None, None
         for batch in batches:
             for part in slices(batch, 4):
-                out = {"centre": [], "content": [], "similarity": []}
+                out = {name: [] for name in schema.names}
                 rows = zip(*(part.column(i).to_pylist() for i in range(4)), shingle(strings(part.column(4))))
                 for centre, salt, role, content, shingles in rows:
                     if role == 0:
                         group, bag = (centre, salt), weigh(shingles)
                         continue
                     assert group == (centre, salt), "a group's centre comes before its texts"
-                    similarity = overlap(bag, weigh(shingles))
-                    if similarity >= threshold - 1e-12:
-                        out["centre"].append(centre)
-                        out["content"].append(content)
-                        out["similarity"].append(similarity)
-                yield pa.RecordBatch.from_pydict(
-                    out, pa.schema([("centre", pa.binary()), ("content", pa.binary()), ("similarity", pa.float64())])
-                )
-
-    return sent.mapInArrow(compare, "centre binary, content binary, similarity double")
+                    found = judge(bag, weigh(shingles))
+                    if found is not None:
+                        for name, value in zip(out, (centre, content, *found)):
+                            out[name].append(value)
+                yield pa.RecordBatch.from_pydict(out, schema)
+
+    return sent.mapInArrow(compare, ", ".join(["centre binary", "content binary", *[f"{name} {kind}" for name, kind, _ in kinds]]))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

@@ -37,6 +37,15 @@ def test_word_cache_gives_the_tokenizers_ids(tokenizer):
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_word_cache_tells_long_words_apart_by_their_bytes(tokenizer):
+    for n in (1024, 2048):
+        one, two = ("".join(pair[i.bit_count() % 2] for i in range(n)) for pair in ("ab", "ba"))
+        cache = WordCache(tokenizer, "uint16", most_bytes=5000)
+        for text in (f"x {one}", f"x {two}", f"x {one} {two}"):
+            (ids,) = cache.encode(pa.array([text], pa.large_string()))
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_round_trip(spark, odd_docs, no_docs, tokenizer, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
     manifest = write_tokens(docs.withColumn("shard", F.lit(1)), TOKENIZER, folder=str(tmp_path / "t"), length=128, rows_per_batch=4, shards=3)
@@ -169,6 +178,46 @@ def test_near_duplicates_one_by_one(spark, odd_docs):
     assert kept.count() == len(groups) + wordless
 
 
+@pytest.mark.parametrize("most_edits", [6, 12, 25])
+def test_a_large_group_of_edited_copies_gives_few_pairs(spark, monkeypatch, most_edits):
+    """Members far from each other meet in many buckets; what they lack in common keeps them apart without comparison."""
+    rng = random.Random(most_edits)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(300)]
+    rows = []
+    for n in range(400):
+        edited = list(base[: rng.choice([300, 300, 300, 240, 200])])
+        for _ in range(rng.randint(1, most_edits)):
+            edited[rng.randrange(len(edited))] = rng.choice(words)
+        if n % 10 == 0:  # a family of its own inside the group
+            edited[100:130] = [f"own{i}" for i in range(30)]
+        rows.append((n, " ".join(edited)))
+    numbers, meet = [], neardup._meet
+
+    def counted(pairs, *options):
+        numbers.append(pairs.count())
+        return meet(pairs, *options)
+
+    monkeypatch.setattr(neardup, "_meet", counted)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = defaultdict(list)
+    for r in found:
+        got[bytes(r["class"])].append(r["doc_id"])
+    expected = defaultdict(list)
+    for (n, _), root in zip(rows, classes_one_by_one(rows)):
+        expected[root].append(n)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+    assert numbers[-1] < len(rows)  # pairs compared one by one after the rounds with hubs
+
+
+def test_numbered_multisets_share_what_multisets_share():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = (weigh(rng.integers(0, 9, rng.integers(1, 30)).astype(np.uint64)) for _ in range(2))
+        x, y = set(neardup.numbered(a).tolist()), set(neardup.numbered(b).tolist())
+        assert len(x) == a[1].sum() and abs(overlap(a, b) - len(x & y) / len(x | y)) < 1e-12
+
+
 def test_near_duplicates_of_nothing(no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
