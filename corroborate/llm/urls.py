@@ -31,7 +31,10 @@ from corroborate.session import cut_lineage
 
 #: Share of a listed word that no page has: that of one word in all pages, and this at most.
 LEAST_SHARE = 1e-5
+#: Letters of a piece of a name that is looked up among known words. Whole names are looked up at any length.
 LONGEST_WORD = 24
+#: Log probability of a piece that is no known word, and of each of its letters.
+UNKNOWN, UNKNOWN_LETTER = -14.0, -2.5
 #: A chunk of rows that are judged together: bytes of urls, rows, bytes of all columns (one row at least).
 CHUNK_URL_BYTES, CHUNK_ROWS, CHUNK_BYTES = 1 << 17, 4096, 1 << 24
 #: Pieces of a chunk that are held at once to leave out repeated ones.
@@ -129,19 +132,25 @@ class WordModel:
         """The most probable split of a name; of equal ones the one with the longest last word.
 
         A piece that is no known word costs more the longer it is, but less
-        than its letters one by one, so unknown names stay whole.
+        than its letters one by one, so unknown names stay whole, whatever
+        their length. Known pieces have ``LONGEST_WORD`` letters at most, or are the whole name.
         """
         if name in self.cache:
             return self.cache[name]
         best, back = [0.0], [0]
+        ahead = (0.0, 0)  # where an unknown piece best begins: its cost is in proportion to its length
         for end in range(1, len(name) + 1):
-            choices = [
-                (best[start] + self.log_share.get(name[start:end], -14.0 - 2.5 * (end - start)), -start)
-                for start in range(max(0, end - LONGEST_WORD), end)
-            ]
+            choices = [(ahead[0] + UNKNOWN + UNKNOWN_LETTER * end, ahead[1])]
+            for start in range(max(0, end - LONGEST_WORD), end):
+                known = self.log_share.get(name[start:end])
+                if known is not None:
+                    choices.append((best[start] + known, -start))
+            if end == len(name) and name in self.log_share:
+                choices.append((self.log_share[name], 0))
             score, start = max(choices)
             best.append(score)
             back.append(-start)
+            ahead = max(ahead, (score - UNKNOWN_LETTER * end, -end))
         words, end = [], len(name)
         while end:
             words.append(name[back[end] : end])
@@ -165,7 +174,7 @@ class WordModel:
 def count_words(pages: DataFrame, html: str = "html") -> DataFrame:
     """(word, n) over the texts of all pages: letters only, lower-cased; tags, scripts and styles left out."""
     plain = F.regexp_replace(F.col(html).cast("string"), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    words = F.regexp_extract_all(F.lower(plain), F.lit(r"\p{L}{1,24}+(?!\p{L})"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(plain), F.lit(r"\p{L}++"), F.lit(0))
     return pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -250,6 +259,7 @@ def _pieces(batches):
                     continue
                 if len(done) < PIECES_HELD:
                     done.add(name)
+                held.add(name)
                 for start in range(len(name)):
                     held.update(name[start:end] for end in range(start + 1, min(len(name), start + LONGEST_WORD) + 1))
                     if len(held) > PIECES_HELD:

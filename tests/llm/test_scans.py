@@ -160,6 +160,39 @@ def test_segmentation_is_the_best_split(spark):
     assert empty.segment("casinowin") == ["casino", "win"]
 
 
+def every_split(name):
+    if not name:
+        yield []
+    for end in range(1, len(name) + 1):
+        for rest in every_split(name[end:]):
+            yield [name[:end], *rest]
+
+
+def test_segmentation_against_all_splits():
+    rng = random.Random(3)
+    for _ in range(60):
+        letters = [rng.choice("abc") for _ in range(11)]
+        name = "".join(letters)
+        shares = {name[a : a + n]: rng.uniform(-30, -3) for a, n in ((rng.randrange(11), rng.randint(1, 5)) for _ in range(9))}
+        model = urls.WordModel(shares, unwanted=())
+
+        def score(split):
+            return sum(max(shares.get(w, -1e9), urls.UNKNOWN + urls.UNKNOWN_LETTER * len(w)) for w in split)
+
+        assert abs(score(model.segment(name)) - max(map(score, every_split(name)))) < 1e-9
+        assert "".join(model.segment(name)) == name
+
+
+def test_long_words_and_names_stay_whole(spark):
+    long = "abcdefghijklmnopqrstuvwxyzabcd"
+    pages = spark.createDataFrame([(f"<p>{long} {long} Kurz</p>",)], "html string")
+    assert {r["word"]: r["n"] for r in urls.count_words(pages).collect()} == {long: 2, "kurz": 1}
+    for name in ("q" * 30, "donaudampfschifffahrtsgesellschaft"):
+        assert urls.WordModel({}).segment(name) == [name]
+    rows = spark.createDataFrame([(f"http://{long}.example/",)], "url string")
+    assert urls.judge_urls(rows, urls.train(pages)).first()["words"] == [long, "example"]
+
+
 def test_every_word_of_a_url_counts():
     """Multinomial naive Bayes: each occurrence adds its own log ratio, listed or not."""
     model = urls.WordModel({w: -7.0 for w in "green valley organic fresh milk and eggs".split()})
