@@ -259,7 +259,31 @@ def _(v):
     )
 
 
-@query("clean_captions", "H24")
+_SP = f"[{text.SPACES}]"
+
+
+def _clean_line(x):
+    return d.trim(f"regexp_replace(regexp_replace(regexp_replace({x}, {d.q('^' + caption.CAMERA + _SP + '*')}, ''), {d.q('(^|' + _SP + ')@[A-Za-z0-9_]{3,}')}, '\\1', 'g'), '[ \t]{{2,}}', ' ', 'g')")
+
+
+_STATUS_LINE = d.q(f"^(?:{caption.STATUS_TITLE}|{caption.CONFIRMATION_TITLE}){_SP}*[:：]")
+_CLEANED = {
+    "told": f"""SELECT *, {d.trim("replace(replace(title, chr(13) || chr(10), ''), chr(13), '')")} AS given, {_clean_line('title')} AS shown,
+        {d.trim("replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10))")} AS whole FROM drafted""",
+    "rest": f"""SELECT *, CASE WHEN starts_with(whole, given) THEN {d.trim("substr(whole, length(given) + 1)")}
+        WHEN starts_with(regexp_replace(whole, {d.q(_SP + '+')}, ' ', 'g'), {d.flat('shown')}) THEN {d.trim("substr(whole, length(shown) + 1)")} ELSE whole END AS r FROM told""",
+    "cleaned": f"""SELECT *, {_clean_line(d.trim(f"array_to_string(list_filter(string_split(r, chr(10)), lambda l: NOT regexp_matches({d.trim('l')}, {_STATUS_LINE})), chr(10))"))} AS description FROM rest""",
+}
+_FACT_DRAFT = f"SELECT *, {_TITLE} AS plain, {_BODY} AS told_body FROM (SELECT *, {d.flat('core_fact')} AS t FROM event_rows)"
+_MARKED = {
+    "fact_drafts": _FACT_DRAFT,
+    "drafted": """SELECT event_id, title, title || chr(10) || told_body AS body FROM (
+        SELECT *, CASE WHEN event_id % 2 = 0 THEN '🎥 ' ELSE '' END || '@channel_one ' || plain AS title FROM fact_drafts)""",
+    **_CLEANED,
+}
+
+
+@query("clean_captions", "H24", d.sql("SELECT event_id, shown AS title, description FROM cleaned", _MARKED))
 def _(v):
     camera = F.when(F.col("event_id") % 2 == 0, F.lit("🎥 ")).otherwise(F.lit(""))
     title = F.concat(camera, F.lit("@channel_one "), caption.fallback_title(F.col("core_fact")))
@@ -269,7 +293,27 @@ def _(v):
     )
 
 
-@query("render_captions", "H25")
+def _escaped(x):
+    for plain, escaped in caption.HTML_ESCAPES:
+        x = f"replace({x}, {d.q(plain)}, {d.q(escaped)})"
+    return x
+
+
+_RENDERED = {
+    "fact_drafts": _FACT_DRAFT,
+    "drafted": "SELECT *, plain AS title, told_body AS body FROM fact_drafts",
+    **_CLEANED,
+    "parts": f"""SELECT *, '{caption.STATUS_TITLE}: ' || {_LABEL} AS status_line, '{caption.CONFIRMATION_TITLE}: ' || translate(independent_confirmation_count::VARCHAR, '0123456789', '{caption.PERSIAN_DIGITS}') AS confirmation_line,
+        array_to_string(list_transform({d.all_hits('core_fact', text.ENTITY_PATTERNS)}, lambda k: '#' || regexp_replace(k, {d.q(_SP + '+')}, '_', 'g')), ' ') AS hashtags FROM cleaned""",
+    "budgeted": """SELECT *, greatest(0, 900 - (length(shown) + length(status_line) + length(confirmation_line) + length(hashtags) + 2 * len(list_filter([shown, status_line, confirmation_line, hashtags], lambda x: x <> '')))) AS room FROM parts""",
+    "cut": """SELECT *, CASE WHEN length(description) <= room THEN description WHEN room <= 0 THEN '' WHEN room = 1 THEN '…' ELSE left(description, room - 1) || '…' END AS kept FROM budgeted""",
+}
+
+
+@query(
+    "render_captions", "H25",
+    d.sql(f"""SELECT event_id, chr(8207) || concat_ws(chr(10) || chr(10), '<b>' || {_escaped('shown')} || '</b>', nullif({_escaped('kept')}, ''), status_line, confirmation_line, nullif({_escaped('hashtags')}, '')) AS caption FROM cut""", _RENDERED),
+)
 def _(v):
     title = caption.fallback_title(F.col("core_fact"))
     body = caption.fallback_description(F.col("core_fact"), F.col("verification_status"), F.col("independent_confirmation_count"))

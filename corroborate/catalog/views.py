@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corroborate.functions.origin import cited_source
 from corroborate.functions.text import noise_reason, normalize_text
 from corroborate.functions.timefn import day_key
-from corroborate.session import configure, derived_table
+from corroborate.session import configure, derived_table, spread
 
 # Phrases appended to the document texts so that keywords, attributions,
 # denials and advertising occur; the last two are empty.
@@ -74,14 +74,14 @@ class Views:
     def raw_posts(self) -> DataFrame:
         """Posts with raw text only.
 
-        A given file is one row group, which is one task. Dealing rows out by
-        id gives every core work; only the columns a query needs are moved.
+        A given file is one row group, which is one task. Where files are
+        fewer than cores rows are dealt out by id; only the columns a query needs are moved.
         """
         d = F.col("doc_id")
         seconds = div(d, 40) * 1500 + (d % 40) * 7
         phrase = pick(PHRASES, (d * 7 + div(d, 8) * 3 + div(d, 5)) % len(PHRASES))
         published = F.timestamp_seconds(F.unix_seconds(F.lit(BASE).cast("timestamp")) + seconds)
-        return self.table("documents").repartition("doc_id").select(
+        return spread(self.table("documents"), "doc_id").select(
             "doc_id",
             (d + 1).alias("post_id"),
             (F.regexp_extract("source", "([0-9]+)", 1).cast("bigint") + 1).alias("source_id"),

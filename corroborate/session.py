@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -54,7 +56,11 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        if not local and warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is a local folder of the driver")
+        folder = f"{warehouse}/_shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -79,20 +85,46 @@ def files_stamp(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
 
 
+def plan_stamp(df: DataFrame) -> str:
+    """A name for the rules that derive ``df``: its plan, without the numbers that change from run to run."""
+    conf, limit = df.sparkSession.conf, "spark.sql.debug.maxToStringFields"
+    before = conf.get(limit)
+    conf.set(limit, "100000")
+    try:
+        plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+    finally:
+        conf.set(limit, before)
+    return hashlib.sha256(re.sub(r"#\d+L?|\b[xyz]_\d+\b", "", plan).encode()).hexdigest()
+
+
 def derived_table(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table derived from the files at ``source``, written to the shared folder and scanned from there.
 
-    Its place follows from the files as they are now, so a changed source
-    never gives an old answer. A table whose writing broke off has no success
-    mark and is written anew.
+    Its place follows from the files and from the rules as they are now, so a
+    change of either never gives an old answer. It is written under a name of
+    its own and renamed when it is whole: of two writers the first one counts,
+    and a table whose writing broke off is never read.
     """
-    path = f"{shared_folder(spark)}/tables/{name}-{files_stamp(spark, source)}"
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
-        build().write.mode("overwrite").parquet(path)
+    derived = build()
+    stamp = hashlib.sha256(f"{files_stamp(spark, source)} {plan_stamp(derived)}".encode()).hexdigest()
+    path = f"{shared_folder(spark)}/tables/{name}-{stamp}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        written = f"{shared_folder(spark)}/tables/_writing/{name}-{uuid.uuid4().hex}"
+        derived.write.parquet(written)
+        files.mkdirs(place.getParent())
+        if not files.exists(place):
+            files.rename(spark._jvm.org.apache.hadoop.fs.Path(written), place)
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, dealt out by ``key`` if its files are fewer than the cores: a file of one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
 def compute_once(df: DataFrame, name: str, value) -> DataFrame:
     """``df`` with a column that later filters do not recompute.
 
