@@ -88,7 +88,7 @@ def near_duplicates(
     number = contents.count()
     labels = links = None
     nothing = F.array_repeat(F.lit(0).cast("bigint"), BIT_WORDS)
-    start = {"g": F.lit(0.0), "size": F.lit(0).cast("bigint"), "short": F.lit(True), "bits": nothing}
+    start = {"g": F.lit(0.0), "size": F.lit(0).cast("bigint"), "shares": F.lit(0).cast("bigint"), "short": F.lit(True), "bits": nothing}
     groups, most = buckets.withColumns(start), -1.0
     while True:
         named = cut_lineage(_labelled(groups, labels))
@@ -180,27 +180,35 @@ def _differences(met: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     ``met`` has centre, content, n and ``d``, the content's difference. A
     centre's group is the contents compared with it.
     """
-    met = cut_lineage(met)
-    each = met.select("centre", "content", F.explode("d").alias("e"))
-    groups = met.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
-    often = each.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("times")).join(groups, "centre")
+    numbered_pairs = met.select("*", F.xxhash64("centre").alias("group"), F.monotonically_increasing_id().alias("pair"))
+    met = cut_lineage(numbered_pairs)  # numbers stand for the names of contents in the many rows below
+    each = met.select("pair", "group", F.explode("d").alias("e"))
+    groups = met.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    often = each.groupBy("group", "e").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").join(groups, "group")
     often = cut_lineage(often.withColumn("most", 2 * F.col("times") > F.col("members")))
+    common = cut_lineage(each.join(often.drop("members"), ["group", "e"]).select("pair", "e", "times", "most"))
     # The centre moves to what most have: a shingle that most differ in becomes a difference of the others.
-    moved = often.filter("most").select("centre", "e", (F.col("members") - F.col("times")).alias("times"))
-    ids = met.select("centre", "content")
-    others = ids.join(moved, "centre").join(each, ["centre", "content", "e"], "left_anti")
-    kept = each.join(often.filter("not most").select("centre", "e", "times"), ["centre", "e"])
-    now = cut_lineage(kept.select("centre", "content", "e", "times").unionByName(others.select("centre", "content", "e", "times")))
-    words = [F.bit_or(F.expr(f"if(pmod(e, {64 * BIT_WORDS}) div 64 = {k}, shiftleft(1L, cast(pmod(e, 64) as int)), 0L)")) for k in range(BIT_WORDS)]
-    sizes = now.groupBy("centre", "content").agg(
-        F.count(F.lit(1)).alias("size"), F.count_if(F.col("times") == 1).alias("alone"), F.array(*words).alias("bits")
+    moved = often.filter("most").select("group", "e", (F.col("members") - F.col("times")).alias("times"))
+    added = met.select("pair", "group").join(moved, "group").join(common.filter("most").select("pair", "e"), ["pair", "e"], "left_anti")
+    added = added.select("pair", "e", "times", F.lit(False).alias("most"), F.lit(1).alias("new"))
+    rows = common.withColumn("new", F.lit(0)).unionByName(added).withColumn("kept", ~F.col("most") & (F.col("times") > 1))
+    bit = "if(kept and pmod(e, {0}) div 64 = {1}, shiftleft(1L, cast(pmod(e, 64) as int)), 0L)"
+    words = [F.bit_or(F.expr(bit.format(64 * BIT_WORDS, k))) for k in range(BIT_WORDS)]
+    now = rows.groupBy("pair").agg(
+        F.count_if("kept").alias("_kept"),
+        F.count_if((F.col("new") == 1) & (F.col("times") == 1)).alias("_one"),
+        F.sum(1 - F.col("new")).alias("_common"),
+        F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct("times", "e")))).alias("es"),
+        F.array(*words).alias("bits"),
     )
+    alone = F.size("d") - F.coalesce("_common", F.lit(0)) + F.coalesce("_one", F.lit(0))
+    state = met.join(now, "pair", "left").withColumn("alone", alone.cast("bigint"))
+    state = state.withColumns({"shares": F.coalesce("_kept", F.lit(0)), "size": F.col("alone") + F.coalesce("_kept", F.lit(0))})
+    state = state.select("centre", "content", "n", "group", "alone", "size", "shares", "es", "bits")
     r = (1 - threshold) / (1 + threshold)
-    state = met.select("centre", "content", "n").join(sizes, ["centre", "content"], "left")
-    state = state.withColumns({"size": F.coalesce("size", F.lit(0)), "alone": F.coalesce("alone", F.lit(0))})
     state = cut_lineage(state.withColumn("g", F.col("size") - F.lit(r) * F.col("n")))
-    least = state.groupBy("centre").agg(F.min(F.struct("g", "content")).alias("least"))
-    state = cut_lineage(state.join(least, "centre"))
+    least = state.groupBy("group").agg(F.min(F.struct("g", "content")).alias("least"))
+    state = state.join(least, "group")
     sure = (F.col("g") + F.col("least.g") <= 1e-9) & (F.col("content") != F.col("least.content"))
     found = state.filter(sure).select(F.col("least.content").alias("centre"), "content")
     some = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("least.g")) / 2 - 1e-9))
@@ -210,13 +218,14 @@ def _differences(met: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
         need = F.greatest(some, F.ceil(F.col("size") - F.lit(share) * F.col("n") - 1e-9))
         return (F.col("size") - need + 1 - F.col("alone")).cast("int")
 
-    reaching = state.withColumns({"reach": reach(missing), "near": reach(missing / 2)}).filter("reach > 0")
-    shared = now.filter("times > 1").groupBy("centre", "content").agg(F.sort_array(F.collect_list(F.struct("times", "e"))).alias("es"))
-    first = reaching.join(shared, ["centre", "content"]).select(
-        "centre", "content", "n", "g", "size", "near", "bits", F.posexplode(F.slice("es", F.lit(1), F.col("reach"))).alias("_at", "_e")
+    reaching = state.withColumns({"reach": reach(missing), "near": reach(missing / 2)}).filter("reach > 0 and shares > 0")
+    first = reaching.select(
+        "group", "content", "n", "g", "size", "shares", "near", "bits", F.posexplode(F.slice("es", F.lit(1), F.col("reach"))).alias("_at", "_e")
     )
-    key = F.xxhash64("centre", "_e.e").alias("key")
-    return found, cut_lineage(first.select(key, "content", "n", "g", "size", (F.col("_at") < F.col("near")).alias("short"), "bits"))
+    key = F.xxhash64("group", "_e.e").alias("key")
+    first = first.select(key, "content", "n", "g", "size", "shares", (F.col("_at") < F.col("near")).alias("short"), "bits")
+    several = first.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    return found, cut_lineage(first.join(several, "key"))
 
 
 def _rest_pairs(named: DataFrame, threshold: float) -> DataFrame:
@@ -226,14 +235,14 @@ def _rest_pairs(named: DataFrame, threshold: float) -> DataFrame:
     nearest shingles. What both share is at most what is left of one without
     the bits that the other lacks.
     """
-    left = named.filter("short").select("key", "content", "n", "g", "size", "label", "bits")
-    names = (("content", "centre"), ("n", "m"), ("g", "h"), ("size", "other_size"), ("label", "other"), ("bits", "other_bits"))
+    left = named.filter("short").select("key", "content", "n", "g", "size", "shares", "label", "bits")
+    names = (("content", "centre"), ("n", "m"), ("g", "h"), ("size", "other_size"), ("shares", "other_shares"), ("label", "other"), ("bits", "other_bits"))
     right = named.select("key", *[F.col(c).alias(name) for c, name in names])
 
     def lacked(a: str, b: str) -> Column:
         return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[k].bitwiseAND(F.bitwise_not(F.col(b)[k]))) for k in range(BIT_WORDS)])
 
-    shared = F.least(F.col("size") - lacked("bits", "other_bits"), F.col("other_size") - lacked("other_bits", "bits"))
+    shared = F.least(F.col("shares") - lacked("bits", "other_bits"), F.col("other_shares") - lacked("other_bits", "bits"))
     fits = (F.col("g") + F.col("h") <= 2 * shared + 1e-9) & _alike(F.col("n"), F.col("m"), threshold)
     smaller = F.struct("size", "content") < F.struct("other_size", "centre")
     return left.join(right, "key").filter((F.col("label") != F.col("other")) & smaller & fits).select("centre", "content").distinct()
