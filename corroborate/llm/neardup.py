@@ -50,6 +50,8 @@ GROUP_ROWS = 256
 BROADCAST_CONTENTS = 250_000
 #: Pairs left for each content up to which they are compared as they are, and up to which their differences decide which are.
 REST_PAIRS, DIFFERENT_PAIRS = 4, 256
+#: Links of one task while classes are made.
+PART_LINKS = 5_000
 #: 64-bit words of a difference's bit map.
 BIT_WORDS = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -325,15 +327,21 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     rounds grows with the logarithm of the longest chain. Each round is
     checkpointed; ends when a round changes no link.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
+    parts = max(2, -(-links.count() // PART_LINKS))
+
+    def few(df: DataFrame) -> DataFrame:
+        return df.coalesce(parts)  # links are small rows, and every round has several exchanges of them
+
+    edges = few(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u")
-        large = large.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
+        large = few(both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u"))
+        large = few(large.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(least, "u").select(F.col("u"), F.col("v"), F.col("m")))
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = few(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
         edges = cut_lineage(edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
