@@ -212,15 +212,15 @@ _MERGED = d.sql(f"""SELECT source_id, message_id, {d.iso('published_at')} AS pub
             arg_max(content_hash, seq) AS content_hash, arg_max(media_type, seq) FILTER (media_type IS NOT NULL) AS media_type,
             bool_or(update_type = 'delete') AS any_delete, list(DISTINCT content_hash) AS hashes
           FROM envelopes GROUP BY source_id, message_id) e USING (source_id, message_id))""")
-_MERGED_COLUMNS = [
+_MERGED_COLUMNS = (
     "source_id", "message_id", "published_at", "edited_at", "observed_at", "original_text", "content_hash", "media_type",
-    "is_deleted", "processing_status", F.col("analysis_attempts").alias("attempts"),
-]
+    "is_deleted", "processing_status", "analysis_attempts as attempts",
+)
 
 
 @query("upsert_raw_posts", "A7", _MERGED)
 def _(v):
-    return P.upsert_raw_posts(v.stored_posts, v.envelopes).select(*_MERGED_COLUMNS)
+    return P.upsert_raw_posts(v.stored_posts, v.envelopes).selectExpr(*_MERGED_COLUMNS)
 
 
 @query("merged_store", "A7", _MERGED)
@@ -233,7 +233,7 @@ def _(v):
     for part in range(parts):
         share = F.floor(F.col("seq") * parts / (most + 1)) == part
         store.merge(v.envelopes.filter(share), part + 1)
-    return store.read(v.spark).select(*_MERGED_COLUMNS)
+    return store.read(v.spark).selectExpr(*_MERGED_COLUMNS)
 
 
 _STATUS = "CASE WHEN processing_status IN ('queued', 'analyzing', 'analyzed', 'noise') THEN processing_status ELSE 'pending' END"
