@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corroborate.functions.jsonfn import meta_string, meta_truthy
-from corroborate.functions.text import SPACE, SPACES, first_non_empty, matches, trim_spaces
+from corroborate.functions.text import SPACE, SPACES, first_hit, first_non_empty, folded, let, matches, trim_spaces
 
 _WORD = "[A-Za-z0-9_]"
 
@@ -73,11 +73,7 @@ ORIGIN_CHARS = 80
 
 def cited_source(text: Column) -> Column:
     """The outlet a text attributes its report to."""
-    ladder = None
-    for name, pattern in CITED_PATTERNS:
-        hit = matches(text, pattern)
-        ladder = F.when(hit, F.lit(name)) if ladder is None else ladder.when(hit, F.lit(name))
-    return F.when(matches(text, ATTRIBUTION), ladder)
+    return let(folded(text), lambda f: F.when(matches(text, ATTRIBUTION, f), first_hit(text, f, CITED_PATTERNS)))
 
 
 def fold_origin(c: Column) -> Column:

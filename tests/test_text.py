@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +238,28 @@ def test_windows_and_leases(value):
         lease = at - F.expr(f"interval {minutes} minutes")
         assert value(timefn.is_stale(lease, at)) is stale
     assert value(timefn.is_stale(F.lit(None).cast("timestamp"), at)) is True
+
+
+def test_byte_searches_agree_with_the_patterns_they_stand_before(spark):
+    rng = random.Random(11)
+    words = ["According to", "reports from", "VIA", "vıa", "ſource", "Key", "MİSSİLE", "mißile", "war", "false", "not  true", "به نقل از", "رد  شد", "Reuters", "AP", "cap", "خبرگزاری فارس", "", "oil"]
+    gaps = [" ", "  ", "\n", "\t \r\n", " ", "  ", "\x0b", "\x0c:", "　!", " ،", "﻿.", "\u0085", "‍", "ي", "ۀ"]
+    raw = ["".join(rng.choice(gaps) + rng.choice(words) for _ in range(rng.randint(0, 6))) + rng.choice(gaps) for _ in range(600)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in raw], "t string")
+    t = F.col("t")
+    blanks = F.regexp_replace(F.translate(t, text.FOLD_FROM, text.FOLD_TO), "[\t\r\n ]+", " ")
+    closed = F.regexp_replace(blanks, f"{text.SPACE}+([{text.PUNCTUATION}])", "$1")
+    pairs = {"normalized": (text.normalize_text(t), F.regexp_replace(closed, f"^{text.SPACE}+|{text.SPACE}+\\z", ""))}
+    patterns = [origin.ATTRIBUTION, text.REFUTATION_PATTERN, *(p for ps in (origin.CITED_PATTERNS, text.ENTITY_PATTERNS, text.CATEGORY_PATTERNS, text.HINT_PATTERNS) for _, p in ps)]
+    for k, pattern in enumerate([*patterns, "w[a]r|oil", "(?:x|wa)r?", "k+ey|so*urce"]):
+        pairs[f"p{k}"] = (text.matches(t, pattern), F.coalesce(t.rlike("(?iu)" + pattern), F.lit(False)))
+    wrong = rows.select("t", F.array_compact(F.array(*[F.when(~a.eqNullSafe(b), F.lit(k)) for k, (a, b) in pairs.items()])).alias("wrong"))
+    assert wrong.filter("size(wrong) > 0").collect() == []
+    # A next-line character is no white space of a trim, but ends a line for ``$``.
+    assert spark.range(1).select(text.trim_spaces(F.lit(" a \u0085"))).first()[0] == "a \u0085"
+
+
+def test_anchors_are_parts_of_every_alternative():
+    assert text.anchors("reports?[ ]+(?:from|by)|via") == ["report", "via"]
+    assert text.anchors(r"(?<!\w)AP(?!\w)|Fars News") == ["ap", "fars news"]
+    assert text.anchors("a*|b") is None and text.anchors("[ab]") is None
