@@ -17,6 +17,8 @@ from corroborate.session import cut_lineage
 
 #: Aliases that are sent to every executor; with more the names found in texts are shuffled to them.
 BROADCAST_ALIASES = 200_000
+#: Aliases whose first words are known to each task, so that runs start at these words only.
+LITERAL_ALIASES = 2_000
 ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 _ABOVE = """
     WITH RECURSIVE above(place, within, distance, path) AS (
@@ -49,20 +51,33 @@ def containment(gazetteer: DataFrame) -> DataFrame:
         spark.catalog.dropTempView(name)
 
 
+def _runs(words: str, starts: str, n: int) -> Column:
+    """The runs of ``n`` words at ``starts``. Words are read by position: a slice would copy the whole text for each of them."""
+    run = F.transform(starts, lambda at: F.when(at + n <= F.size(words), F.concat_ws(" ", *[F.get(words, at + k) for k in range(n)])))
+    return F.array_compact(run)
+
+
 def named_places(texts: DataFrame, gazetteer: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, node) of the most specific places that a text names in whole words.
 
-    Runs of words, as long as the longest alias, are looked up in an index of
-    aliases, so a text costs its words and not a search for each alias. A
-    place goes if the text also names one inside it. A null key or text gives none.
+    The runs of words of a text, of the lengths that aliases have, are looked
+    up in an index of aliases, so a text costs its words and not a search for
+    each alias. Each row makes its own runs: no copy of the text goes with
+    them. A place goes if the text also names one inside it. A null key or
+    text gives none.
     """
     index = gazetteer.select(F.explode("aliases").alias("alias"), "node").filter("alias <> ''").distinct()
-    sizes = index.agg(F.count("*").alias("n"), F.max(F.size(F.split("alias", " "))).alias("longest")).first()
+    names = F.split("alias", " ")
+    sizes = index.agg(F.count("*").alias("n"), F.collect_set(F.size(names)).alias("lengths")).first()
     words = texts.select(F.col(key).alias("key"), F.split(normalize_place(text), " ").alias("words")).filter("key is not null")
-    places = words.select("key", "words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("at"))
-    longest = F.least(F.lit(sizes["longest"] or 1), F.size("words") - F.col("at") + 1)
-    runs = F.transform(F.sequence(F.lit(1), longest), lambda n: F.array_join(F.slice("words", F.col("at"), n), " "))
-    runs = places.select("key", F.explode(runs).alias("alias"))
+    begins = lambda word: F.lit(True)
+    if sizes["n"] <= LITERAL_ALIASES:
+        first = [r[0] for r in index.select(names[0]).distinct().collect()]
+        begins = lambda word: word.isin(first)
+    starts = F.array_compact(F.transform("words", lambda word, at: F.when(begins(word), at)))
+    words = words.select("key", "words", F.explode(F.array(starts)).alias("starts")).filter(F.size("starts") > 0)
+    runs = [_runs("words", "starts", n) for n in sorted(sizes["lengths"]) or [1]]
+    runs = words.select("key", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("alias"))
     lookup = F.broadcast(index) if sizes["n"] <= BROADCAST_ALIASES else index
     found = cut_lineage(runs.join(lookup, "alias").select("key", "node").distinct())
     inside = containment(gazetteer).filter("distance > 0").select(F.col("place").alias("node"), "within")

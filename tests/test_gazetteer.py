@@ -57,3 +57,11 @@ def test_ten_thousand_places_one_by_one(spark):
     assert {tuple(r) for r in named.collect()} == expected and len(expected) > 100
     assert G.named_places(frame, table.filter("false"), "id", F.col("text")).count() == 0
     assert G.named_places(frame.filter("false"), table, "id", F.col("text")).count() == 0
+
+
+def test_a_text_of_many_words_costs_its_words(spark):
+    # With a copy of the text for each of its words, 200,000 copies of 200,000 words would be made.
+    table = spark.createDataFrame([("a", "city", None, ["end of it", "w1 w2"]), ("b", "city", None, ["w39999"])], TABLE)
+    long = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(199_999)), lambda i: F.concat(F.lit("w"), i % 40_000)))
+    named = G.named_places(spark.range(4).select("id", F.concat(long, F.lit(", End of IT")).alias("t")), table, "id", F.col("t"))
+    assert {tuple(r) for r in named.collect()} == {(i, n) for i in range(4) for n in "ab"}
