@@ -22,7 +22,7 @@ from corroborate.functions.text import (
 )
 from corroborate.operators.blocks import number_rows, running_sum, time_block, top_per_key
 from corroborate.operators.pointers import follow
-from corroborate.session import cut_lineage
+from corroborate.session import compute_once, cut_lineage
 
 EVENT_ORDER = ["attached_at", "post_id"]
 
@@ -66,10 +66,10 @@ def copied_from(
     targets = F.array(
         F.struct(run.alias("run"), F.lit(True).alias("mine")), F.struct((run + 1).alias("run"), F.lit(False).alias("mine"))
     )
-    sets = evidence.select("event_id", "post_id", tokens(F.col("text")).alias("tokens"))
+    sets = compute_once(evidence.select("event_id", "post_id", "text"), "tokens", tokens(F.col("text"))).drop("text")
     reach = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-    first = F.slice(F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))), F.lit(1), reach)
-    sets = sets.filter(F.size("tokens") > 0).withColumn("first", first)
+    first = F.slice(F.sort_array(F.transform("tokens", lambda t: F.xxhash64(t))), F.lit(1), reach)
+    sets = compute_once(sets.filter(F.size("tokens") > 0), "first", first)
     sent = sets.join(placed.select("event_id", "post_id", "position"), ["event_id", "post_id"])
     sent = sent.select("event_id", "post_id", "position", "tokens", "first", F.explode(targets).alias("t"))
     groups = sent.groupBy("event_id", "t.run").agg(
