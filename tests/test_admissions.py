@@ -128,3 +128,16 @@ def test_similarity_join_one_by_one(spark, threshold, group_sets):
     links = S.copy_links(sets, threshold)
     assert {(r.left_id, r.right_id) for r in links.collect()} == set(expected)
     assert S.copy_links(sets.filter("false"), threshold).count() == 0
+
+
+def test_a_set_travels_once_for_its_neighbourhood(spark):
+    rng = random.Random(3)
+    words = [f"t{i}" for i in range(400)]
+    sets = [(i, rng.sample(words, 380)) for i in range(60)] + [(100 + i, [f"u{i}", f"u{i + 1}"]) for i in range(5)]
+    frame = spark.createDataFrame(sets, "id bigint, tokens array<string>")
+    pairs = spark.createDataFrame([(a, b) for a, _ in sets for b, _ in sets if a < b and (b < 60 or b == a + 1)], "left_id bigint, right_id bigint")
+    for group_sets in (1000, 7):
+        found = {(r.left_id, r.right_id): r.overlap for r in S.checked_pairs(pairs, frame, 0.5, group_sets).collect()}
+        tokens = {i: set(t) for i, t in sets}
+        assert found == {(a, b): len(tokens[a] & tokens[b]) / 380 for a in range(60) for b in range(a + 1, 60)} | {(100 + i, 101 + i): 0.5 for i in range(4)}
+    assert S.checked_pairs(pairs.filter("false"), frame, 0.5).count() == 0
