@@ -13,7 +13,7 @@ from corroborate.catalog.ops_queries import _CAP, caps
 from corroborate.catalog.registry import QUERIES, query
 from corroborate.catalog.views import BASE, now
 from corroborate.functions import sql as S
-from corroborate.functions.text import set_overlap, tokens
+from corroborate.functions.text import let, set_overlap, tokens
 from corroborate.operators import clusters as C
 from corroborate.session import shared_folder
 from corroborate.streaming import jobs as J
@@ -165,9 +165,12 @@ def _(v):
     """Judgments by a user function: how many words of the whole texts are shared."""
 
     def scorer(left, right):
-        shared = set_overlap(tokens(left), tokens(right))
-        same = F.when(shared >= 0.25, F.lit("SAME_EVENT")).otherwise(F.lit("DIFFERENT_EVENT"))
-        return F.struct(same.alias("relationship"), shared.alias("confidence"))
+        def judged(shared):
+            same = F.when(shared >= 0.25, F.lit("SAME_EVENT")).otherwise(F.lit("DIFFERENT_EVENT"))
+            return F.struct(same.alias("relationship"), shared.alias("confidence"))
+
+        sets = F.struct(tokens(left).alias("left"), tokens(right).alias("right"))
+        return let(let(sets, lambda s: set_overlap(s["left"], s["right"])), judged)
 
     pairs = C.proposed_pairs(C.resolve_proposals(v.proposals, v.corrections, v.batch_posts))
     return C.judgments_from(pairs, v.posts, scorer)

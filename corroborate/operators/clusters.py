@@ -385,5 +385,5 @@ def judgments_from(pairs: DataFrame, posts: DataFrame, scorer) -> DataFrame:
     left = posts.select(F.col("post_id").alias("left_post_id"), text.alias("_left"))
     right = posts.select(F.col("post_id").alias("right_post_id"), text.alias("_right"))
     scored = pairs.join(left, "left_post_id").join(right, "right_post_id")
-    scored = scored.withColumn("_judged", scorer(F.col("_left"), F.col("_right")))
+    scored = compute_once(scored, "_judged", scorer(F.col("_left"), F.col("_right")))
     return scored.select("batch_id", "left_post_id", "right_post_id", "_judged.relationship", "_judged.confidence")
