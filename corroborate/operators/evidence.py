@@ -58,7 +58,9 @@ def copied_from(
     the one before, so each row is sent to its run and, as context, to the
     next one: a group holds at most two runs however large the event is. Two
     sets that overlap enough share one of their first few tokens in hash
-    order, so most pairs end with a look at these; sizes come first.
+    order, so most pairs end with a look at these; sizes come first. Rows are
+    looked at from the latest on, so among many copies a row meets its parent
+    at once and its set is not compared with those before.
     """
     rows = evidence.select("event_id", "post_id", "attached_at")
     placed = number_rows(rows, ["event_id"], EVENT_ORDER, time_block(F.col("attached_at")), "position")
@@ -72,24 +74,24 @@ def copied_from(
     sets = compute_once(sets.filter(F.size("tokens") > 0), "first", first)
     sent = sets.join(placed.select("event_id", "post_id", "position"), ["event_id", "post_id"])
     sent = sent.select("event_id", "post_id", "position", "tokens", "first", F.explode(targets).alias("t"))
-    groups = sent.groupBy("event_id", "t.run").agg(
-        F.collect_list(F.struct("position", "post_id", "tokens", "first", "t.mine")).alias("rows")
-    )
+    newest_first = F.sort_array(F.collect_list(F.struct("position", "post_id", "tokens", "first", "t.mine")), asc=False)
+    groups = sent.groupBy("event_id", "t.run").agg(newest_first.alias("rows"))
 
     def latest_parent(row: Column, others: Column) -> Column:
+        """The first fit: rows come newest first, and behind it no more sets are compared."""
         distance = lambda other: row["position"] - other["position"]
-        near = F.filter(
-            others,
-            lambda other: distance(other).between(1, lookback)
+        fits = lambda other: (
+            distance(other).between(1, lookback)
             & within_size_ratio(F.size(row["tokens"]), F.size(other["tokens"]), threshold)
             & F.arrays_overlap(row["first"], other["first"])
-            & (set_overlap(row["tokens"], other["tokens"]) >= threshold),
+            & (set_overlap(row["tokens"], other["tokens"]) >= threshold)
         )
-        return F.array_max(F.transform(near, lambda other: F.struct(other["position"], other["post_id"].alias("post_id"))))
+        none = F.lit(None).cast(dict(sent.dtypes)["post_id"])
+        return F.aggregate(others, none, lambda found, other: F.when(found.isNotNull(), found).when(fits(other), other["post_id"]))
 
     found = F.transform(
         F.filter("rows", lambda row: row["mine"]),
-        lambda row: F.struct(row["post_id"].alias("post_id"), latest_parent(row, F.col("rows"))["post_id"].alias("parent_post_id")),
+        lambda row: F.struct(row["post_id"].alias("post_id"), latest_parent(row, F.col("rows")).alias("parent_post_id")),
     )
     return (
         groups.select("event_id", F.explode(found).alias("f"))

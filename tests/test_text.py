@@ -263,3 +263,10 @@ def test_anchors_are_parts_of_every_alternative():
     assert text.anchors("reports?[ ]+(?:from|by)|via") == ["report", "via"]
     assert text.anchors(r"(?<!\w)AP(?!\w)|Fars News") == ["ap", "fars news"]
     assert text.anchors("a*|b") is None and text.anchors("[ab]") is None
+
+
+def test_tokens_need_no_normalized_text(spark):
+    """Letters are folded; blanks, joiners and punctuation change no token."""
+    texts = ["\u064a\u0643 a \u06c0\u0649", "mi\u200dx, co ; x \u061f yy . .zz", "\ufeff \u200c\u200d", "", None, "A\tb\r\nCc\u2028 !dd\u3000:ee 12\u06f3"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert rows.filter(~text.tokens(S).eqNullSafe(text.tokens_of(text.normalize_text(S)))).count() == 0
