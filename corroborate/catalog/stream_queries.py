@@ -15,7 +15,7 @@ from corroborate.catalog.views import BASE, now
 from corroborate.functions import sql as S
 from corroborate.functions.text import let, set_overlap, tokens
 from corroborate.operators import clusters as C
-from corroborate.session import shared_folder
+from corroborate.session import pieces, shared_folder
 from corroborate.streaming import jobs as J
 
 
@@ -92,9 +92,11 @@ def _(v):
     out = _run_folder(v)
     store = J.PostStore(f"{out}/store", v.stored_posts.schema)
 
+    files = -(-pieces(v.table("documents")) // 2)  # of one micro-batch; a landing is two
+
     def land(pages):
-        pages.repartition(2, "url").write.mode("append").parquet(f"{out}/pages")
-        J.store_stream(J.page_stream(v.spark, f"{out}/pages", 1), v.sources, store, out, once=True).awaitTermination()
+        pages.repartition(2 * files, "url").write.mode("append").parquet(f"{out}/pages")
+        J.store_stream(J.page_stream(v.spark, f"{out}/pages", files), v.sources, store, out, once=True).awaitTermination()
 
     land(v.channel_pages)
     corrected = F.when(F.col("source_id") % 3 == 0, F.replace("html", F.lit("</div><time"), F.lit(" (corrected)</div><time"))).otherwise(F.col("html"))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 import corroborate
 
+#: Bytes of files whose rows are one task's work.
+PIECE_BYTES = 8 << 20
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on.
@@ -126,10 +129,19 @@ def derived_table(spark: SparkSession, name: str, source: str, build: Callable[[
     return spark.read.parquet(path)
 
 
+def pieces(df: DataFrame) -> int:
+    """In how many pieces of ``PIECE_BYTES`` the files of a table are dealt out, one for each core at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PIECE_BYTES))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df``, dealt out by ``key`` if its files are fewer than the cores: a file of one row group is one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+    """``df``, dealt out by ``key`` into ``pieces``, unless its files are as many.
+
+    A file of one row group is one task, however large it is; pieces keep a task's work from growing with the table.
+    """
+    wanted = pieces(df)
+    return df if len(df.inputFiles()) >= wanted else df.repartition(wanted, key)
 
 
 def compute_once(df: DataFrame, name: str, value) -> DataFrame:

@@ -52,3 +52,24 @@ def test_too_few_posts_for_density_groups(spark):
 def test_short_shortlists_need_scores(spark):
     with pytest.raises(ValueError):
         newest_events(spark.range(1), spark.range(1), cap=10)
+
+
+def test_copy_search_ends_at_the_latest_copy(spark, monkeypatch):
+    """No set is compared with those before the copy that was found."""
+    plain = V.set_overlap
+    beyond = lambda a, b: F.array_contains(a, "late") & F.array_contains(b, "early")
+    monkeypatch.setattr(V, "set_overlap", lambda a, b: F.when(beyond(a, b), F.raise_error(F.lit("compared")).cast("double")).otherwise(plain(a, b)))
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, n, n, f"{base} {extra}") for n, extra in ((1, "early"), (2, ""), (3, "late"))]
+    evidence = spark.createDataFrame(rows, "event_id bigint, post_id bigint, at bigint, text string")
+    found = V.copied_from(evidence.withColumn("attached_at", F.timestamp_seconds("at"))).collect()
+    assert {(r.post_id, r.parent_post_id) for r in found} == {(2, 1), (3, 2)}
+
+
+def test_tasks_do_not_grow_with_the_table(spark, monkeypatch):
+    from corroborate import session
+
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert session.spread(documents, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "PIECE_BYTES", 10_000)
+    assert session.spread(documents, "doc_id").rdd.getNumPartitions() > 20
