@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corroborate.config import LIMITS
-from corroborate.functions.text import STOP_WORDS, category_hints, tokens_of
+from corroborate.functions.text import NOT_WORD, STOP_WORDS, category_hints
 from corroborate.operators.blocks import running_sum, top_per_key
-from corroborate.session import cut_lineage
+from corroborate.session import cut_lineage, stored
 
 SLOT_SECONDS = LIMITS.window_minutes * 60
 HOUR_SLOTS = 3_600 // SLOT_SECONDS
@@ -17,6 +17,9 @@ HORIZON = LIMITS.event_horizon_hours * 3_600
 #: Most frequent words that windows and events carry as bits, and the events that make a word frequent.
 COMMON_TOKENS = 252
 LEAST_COMMON = 1_000
+#: Shared words, beyond those an event may lack, that are looked for before all its words are counted.
+CHECKED_TOKENS = 4
+DAY_SECONDS = 86_400
 
 
 def eligible_event_counts(windows: DataFrame, events: DataFrame) -> DataFrame:
@@ -112,7 +115,8 @@ def newest_events(windows: DataFrame, events: DataFrame, cap: int = LIMITS.activ
 
 def vocabulary(text: Column) -> Column:
     """Distinct lower-case words of three letters or digits and more, without stop words."""
-    return F.array_except(tokens_of(text, 3), F.array(*map(F.lit, STOP_WORDS)))
+    words = F.filter(F.split(F.lower(text), NOT_WORD), lambda w: F.char_length(w) >= 3)
+    return F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
 
 
 def scored_events(
@@ -123,20 +127,23 @@ def scored_events(
     ``reports`` has window_end and text, ``events`` event_id, text, category
     and the two times. Equal scores go to the later update, then the larger id.
 
-    Rare words are an inverted index: only windows and events that share one
-    meet. The ``common_tokens`` most frequent words (those of ``least_common``
-    events at least) would bring nearly all together; windows and events carry
-    them as bits instead, so their number is counted without a join. An event
-    that shares no rare word needs many common ones to be among the best: its
-    number of common words must reach what the ``cap``-th best known score
-    asks for. To make that score high, the events of most common words of each
-    node are scored first. Newest events, for each category and in all, stand
-    in for those that share nothing. So no window meets all events in reach.
+    The ``common_tokens`` most frequent words (those of ``least_common``
+    events at least) are bits of windows and events, so their shared number is
+    counted without a join. The other words are an inverted index by word and
+    day, ordered from rare to frequent. First the events whose rarest word the
+    window has, the newest ones, for each category and in all, and those of
+    most common words of each node are scored. Their ``cap``-th best score is a
+    bar: an event must share ``least`` words to reach it. An event of n words
+    then lacks n - ``least`` at most, so of that many of its rarest words and
+    ``CHECKED_TOKENS`` more it shares ``CHECKED_TOKENS``; only pairs that do
+    are scored. An event that shares no rare word needs ``least``
+    common ones. So no window meets all events in reach.
     """
     words = reports.select("window_end", F.explode(vocabulary(F.col("text"))).alias("token")).distinct()
+    words = stored(words)
     hints = reports.select("window_end", F.explode(category_hints(F.col("text"))).alias("category")).distinct()
     about = events.select("event_id", "category", "first_seen_at", "last_updated_at", F.explode(vocabulary(F.col("text"))).alias("token"))
-    about = cut_lineage(about)
+    about = stored(about)
     often = about.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least_common)
     # At most ``common_tokens`` words come to the driver.
     common = [r["token"] for r in often.orderBy(F.desc("n"), "token").limit(common_tokens).collect()]
@@ -153,9 +160,10 @@ def scored_events(
     windows = reports.select("window_end").distinct()
     asked = windows.join(carried(words.filter(place >= 0), "window_end"), "window_end", "left")
     asked = cut_lineage(asked.join(hints.groupBy("window_end").agg(F.collect_set("category").alias("hints")), "window_end", "left"))
-    rare_words, rare_about = words.filter(place < 0), about.filter(place < 0).select("event_id", "first_seen_at", "last_updated_at", "token")
-    reached = (F.col("first_seen_at") <= F.col("window_end")) & (F.col("last_updated_at") >= F.col("window_end") - F.expr(f"interval {HORIZON} seconds"))
-    rare = rare_words.join(rare_about, "token").filter(reached).groupBy("window_end", "event_id").agg(F.count("*").alias("rare"))
+    rare_words = words.filter(place < 0).withColumn("day", F.floor(F.unix_seconds("window_end") / DAY_SECONDS))
+    rare_about = stored(_ordered(about.filter(place < 0), known))
+    days = _range(F.floor(F.unix_seconds("first_seen_at") / DAY_SECONDS), F.floor((F.unix_seconds("last_updated_at") + HORIZON) / DAY_SECONDS))
+    indexed = rare_about.withColumn("day", F.explode(days))
     probes = cut_lineage(asked.select("window_end", "hints", F.explode(_lookups(F.col("window_end"))).alias("_node")).select("window_end", "hints", "_node.*"))
     newest = [F.col("last_updated_at").desc(), F.col("event_id").desc()]
     placed = cut_lineage(_placed(known, "event_id", "category", "last_updated_at", "n_common"))
@@ -168,19 +176,54 @@ def scored_events(
     others = first[0]
     for more in first[1:]:
         others = others.unionByName(more)
-    rare = cut_lineage(rare)
-    seen = rare.unionByName(others.select("window_end", "event_id", F.lit(0).cast("bigint").alias("rare")))
-    scored = cut_lineage(_scores(seen.groupBy("window_end", "event_id").agg(F.max("rare").alias("rare")), asked, known))
+    rarest = _meetings(rare_words, indexed.filter("place = 0")).select("window_end", "event_id")
+    seen = cut_lineage(rarest.unionByName(others.select("window_end", "event_id")).distinct())
+    scored = cut_lineage(_scores(_with_rare(seen, rare_words, rare_about), asked, known))
     best = [F.col("score").desc(), *newest]
     bar = top_per_key(scored, ["window_end"], best, cap).groupBy("window_end").agg(F.min("score").alias("bar"), F.count("*").alias("n"))
     # A score from common words alone is at most 10 for each, 4 for the category and 1 for recency.
     needed = F.when(F.col("n") >= cap, F.greatest(F.lit(1), F.ceil((F.col("bar") - 5) / 10))).otherwise(F.lit(1)).cast("int")
-    rest = asked.join(bar, "window_end", "left").select("window_end", F.coalesce(needed, F.lit(1)).alias("least"), F.aggregate("bits", F.lit(0), lambda n, b: n + F.bit_count(b)).alias("most"))
+    bars = cut_lineage(asked.join(bar, "window_end", "left").select("window_end", "bits", F.coalesce(needed, F.lit(1)).alias("least")))
+    reach = F.least(F.col("held"), F.col("n_words") - F.col("least") + CHECKED_TOKENS)
+    met = _meetings(rare_words.join(bars.drop("bits"), "window_end"), indexed).filter(F.col("place") < reach)
+    met = met.groupBy("window_end", "event_id").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first(reach).alias("reach"), F.first("least").alias("least"), F.first("held").alias("held"))
+    known_pairs = scored.select("window_end", "event_id")
+    met = cut_lineage(met.filter("n + n_words - reach >= least").join(known_pairs, ["window_end", "event_id"], "left_anti"))
+    # Where the bar is low all rare words were looked for: their number is known.
+    counted = met.filter("reach = held").select("window_end", "event_id", F.col("n").alias("rare"))
+    counted = counted.unionByName(_with_rare(met.filter("reach < held").select("window_end", "event_id"), rare_words, rare_about))
+    further = cut_lineage(_scores(counted, asked, known))
+    known_pairs = known_pairs.unionByName(further.select("window_end", "event_id"))
+    rest = bars.select("window_end", "least", F.aggregate("bits", F.lit(0), lambda n, b: n + F.bit_count(b)).alias("most"))
     rest = rest.filter("least <= most").select("window_end", F.explode(F.sequence("least", F.lit(len(common)))).alias("n_common"))
     rest = rest.join(probes.drop("hints"), "window_end").join(placed.select("level", "index", "n_common", "event_id"), ["level", "index", "n_common"])
-    rest = rest.select("window_end", "event_id").join(scored.select("window_end", "event_id"), ["window_end", "event_id"], "left_anti")
+    rest = rest.select("window_end", "event_id").join(known_pairs, ["window_end", "event_id"], "left_anti")
     more = _scores(rest.withColumn("rare", F.lit(0).cast("bigint")), asked, known)
-    return top_per_key(scored.unionByName(more), ["window_end"], best, cap, "event_rank").select("window_end", "event_id", "shared", "score", "event_rank")
+    return top_per_key(scored.unionByName(further).unionByName(more), ["window_end"], best, cap, "event_rank").select("window_end", "event_id", "shared", "score", "event_rank")
+
+
+def _ordered(about: DataFrame, known: DataFrame) -> DataFrame:
+    """Rare words of events with their place from rare to frequent, the number of them and of all words of the event."""
+    often = about.groupBy("token").agg(F.count("*").alias("_n"))
+    own = Window.partitionBy("event_id")
+    placed = about.join(often, "token").select(
+        "event_id", "token", "first_seen_at", "last_updated_at",
+        (F.row_number().over(own.orderBy("_n", "token")) - 1).alias("place"), F.count("*").over(own).cast("int").alias("held"),
+    )
+    return placed.join(known.select("event_id", "n_common"), "event_id").withColumn("n_words", F.col("held") + F.col("n_common")).drop("n_common")
+
+
+def _meetings(rare_words: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Words that a window and an event in its reach share; only words and events of one day meet."""
+    reached = (F.col("first_seen_at") <= F.col("window_end")) & (F.col("last_updated_at") >= F.col("window_end") - F.expr(f"interval {HORIZON} seconds"))
+    return rare_words.join(indexed, ["token", "day"]).filter(reached)
+
+
+def _with_rare(pairs: DataFrame, rare_words: DataFrame, rare_about: DataFrame) -> DataFrame:
+    """Distinct pairs (window_end, event_id) with the number of rare words they share."""
+    asked = pairs.join(rare_about.select("event_id", "token"), "event_id")
+    found = asked.join(rare_words.select("window_end", "token"), ["window_end", "token"]).groupBy("window_end", "event_id").agg(F.count("*").alias("rare"))
+    return pairs.join(found, ["window_end", "event_id"], "left").withColumn("rare", F.coalesce("rare", F.lit(0).cast("bigint")))
 
 
 def _counted(events: DataFrame, bits: str) -> DataFrame:

@@ -49,3 +49,25 @@ def test_scored_events_one_by_one(spark, cap, common, least):
         for rank, (_, _, i, shared) in enumerate(sorted(rows, reverse=True)[:cap], 1):
             expected.add((end, i, shared, rank))
     assert {(r.window_end, r.event_id, r.shared, r.event_rank) for r in got} == expected and len(got) == len(expected)
+
+
+def test_few_pairs_are_scored(spark, monkeypatch):
+    """Windows and events of all times share words here and there; only pairs that may be among the best are scored."""
+    rng = random.Random(7)
+    reports, events = [], []
+    for i in range(40):
+        end = T0 + dt.timedelta(hours=12 * i)
+        own = [f"own{i}x{k}" for k in range(12)]
+        reports.append((end, " ".join(own + [f"some{k}" for k in range(60)])))
+        for k in range(5):
+            some = rng.sample([f"some{n}" for n in range(60)], 6)
+            events.append((10 * i + k, " ".join(own + some if k < 3 else some), "IRAN", end - dt.timedelta(minutes=k), end))
+    scored = []
+    plain = L._scores
+    monkeypatch.setattr(L, "_scores", lambda pairs, *rest: scored.append(pairs.count()) or plain(pairs, *rest))
+    got = L.scored_events(
+        spark.createDataFrame(reports, "window_end timestamp, text string"),
+        spark.createDataFrame(events, "event_id bigint, text string, category string, first_seen_at timestamp, last_updated_at timestamp"), 2,
+    ).collect()
+    assert {(r.shared, r.event_id % 10 < 3) for r in got} == {(18, True)} and len(got) == 80
+    assert sum(scored) < 40 * 15  # 25 events are in reach of most windows and share words with them
