@@ -71,3 +71,24 @@ def test_few_pairs_are_scored(spark, monkeypatch):
     ).collect()
     assert {(r.shared, r.event_id % 10 < 3) for r in got} == {(18, True)} and len(got) == 80
     assert sum(scored) < 40 * 15  # 25 events are in reach of most windows and share words with them
+
+
+@pytest.mark.parametrize("block_events", [3, 40])
+def test_blocks_of_a_day_give_the_same_shortlist(spark, block_events):
+    """The best of a day are the best of its blocks, whether or not windows and events have words, hints or a category."""
+    rng = random.Random(5)
+
+    def text():
+        return None if rng.random() < 0.1 else " ".join(rng.choice(["war", "oil", "", *(f"word{i}" for i in range(9))]) for _ in range(rng.randint(0, 300)))
+
+    reports = [(T0 + dt.timedelta(minutes=5 * rng.randrange(900)), text()) for _ in range(60)] + [(None, "word1")]
+    events = [(i, text(), rng.choice(["WAR_SECURITY", None]), T0 + dt.timedelta(hours=rng.randrange(80)), T0 + dt.timedelta(hours=rng.randrange(40, 90))) for i in range(60)]
+    events.append((60, "word1 word2", "WAR_SECURITY", T0, None))
+    frames = [
+        spark.createDataFrame(reports, "window_end timestamp, text string"),
+        spark.createDataFrame(events, "event_id bigint, text string, category string, first_seen_at timestamp, last_updated_at timestamp"),
+    ]
+    got = [L.scored_events(*frames, 4, **options).collect() for options in ({}, {"block_events": block_events})]
+    assert set(got[0]) == set(got[1]) and len(got[0]) == len(got[1])
+    reach = {w: sum(f <= w and u is not None and u >= w - dt.timedelta(hours=48) for _, _, _, f, u in events) for w, _ in reports if w}
+    assert len(got[0]) == sum(min(4, n) for n in reach.values())
