@@ -33,11 +33,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import distinct_spans, slices, strings, text_buffer
+from corroborate.llm.common import distinct_spans, give_back, slices, strings, text_buffer
 from corroborate.session import shared_folder
 
 #: Text that is encoded together: the more, the fewer words are looked up.
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 21
 MANIFEST = "shard int, documents bigint, tokens bigint, sequences_file string, documents_file string"
 #: White space beside the ASCII kinds; texts with any of it are encoded whole.
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -290,6 +290,7 @@ def write_tokens(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()  # what earlier steps left in this worker
         words, writer, shard = None, None, TaskContext.get().partitionId()
         end = np.array([end_id], dtype)
         for batch in batches:
@@ -301,6 +302,7 @@ def write_tokens(
                 writer.add(part.column(0), [np.concatenate((ids, end)) for ids in found])
         if writer is not None:
             writer.close()
+            give_back()
             yield pa.RecordBatch.from_pydict(
                 {
                     "shard": pa.array([shard], pa.int32()),

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from corroborate.llm import chat, mixing, neardup, template
 from corroborate.llm.bagminhash import Shingler, overlap, weigh
+from corroborate.llm.common import prepare
+from corroborate.llm.quality_rules import fit, judge
 from corroborate.llm.token_files import ShardReader, WordCache, load_tokenizer, read_documents, write_tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -315,3 +317,27 @@ def test_pipeline_stages_one_by_one(spark, tokenizer):
     )
     assert sorted((r["doc_id"], r["ids_crc32"]) for r in made[4]) == written
     assert all(list(r.asDict()) == columns for rows in made[:4] for r in rows[:1])
+
+
+def test_texts_come_to_workers_in_small_batches(spark):
+    """Memory of a worker and of Arrow's buffers grows with the rows that are sent at once."""
+    prepare(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    found = [r["n"] for r in spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) == 5000 and max(found) <= 2000
+
+
+def test_small_batches_give_the_same_rows(spark, tokenizer):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97}" for k in range(i % 120))) for i in range(900)], "doc_id bigint, text string")
+    got = []
+    for rows in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        figures = judge(docs, fit([f"{('w2 w3', 'w4 w5')[i % 2]} w{i}" for i in range(40)], np.arange(40) % 2)).drop("text")
+        read = read_documents(spark, write_tokens(docs, tokenizer, shards=2)).drop("shard")
+        got.append((sorted(map(tuple, figures.collect())), sorted(map(tuple, read.collect()))))
+    prepare(spark)
+    assert got[0] == got[1]
