@@ -171,8 +171,7 @@ def _(v):
             same = F.when(shared >= 0.25, F.lit("SAME_EVENT")).otherwise(F.lit("DIFFERENT_EVENT"))
             return F.struct(same.alias("relationship"), shared.alias("confidence"))
 
-        sets = F.struct(tokens(left).alias("left"), tokens(right).alias("right"))
-        return let(let(sets, lambda s: set_overlap(s["left"], s["right"])), judged)
+        return let(set_overlap(left, right), judged)
 
     pairs = C.proposed_pairs(C.resolve_proposals(v.proposals, v.corrections, v.batch_posts))
-    return C.judgments_from(pairs, v.posts, scorer)
+    return C.judgments_from(pairs, v.posts, scorer, prepared=tokens)

@@ -374,16 +374,39 @@ def decisions_from_clusters(clusters: DataFrame, posts: DataFrame) -> DataFrame:
     )
 
 
-def judgments_from(pairs: DataFrame, posts: DataFrame, scorer) -> DataFrame:
+def judgments_from(pairs: DataFrame, posts: DataFrame, scorer, prepared=None) -> DataFrame:
     """K1: judgments made by a user function instead of read from a table.
 
-    ``scorer(left_text, right_text)`` is any column function, for instance a
-    ``pandas_udf``, giving a struct of relationship and confidence. Pairs are
-    bounded by the cluster contract, so scoring is linear in the posts.
+    ``scorer(left, right)`` is any column function of two texts, for instance a
+    ``pandas_udf``, giving a struct of relationship and confidence. Where a
+    text has to be worked on first, ``prepared`` is a column function of one
+    text and the scorer gets its values: it is computed once for each post.
+    Pairs (batch_id, cluster_no, left_post_id, right_post_id) are bounded by
+    the cluster contract, so scoring is linear in the posts. A post travels
+    once to its cluster, not once for each of its pairs.
     """
     text = first_non_empty(F.col("normalized_text"), F.col("original_text"))
-    left = posts.select(F.col("post_id").alias("left_post_id"), text.alias("_left"))
-    right = posts.select(F.col("post_id").alias("right_post_id"), text.alias("_right"))
-    scored = pairs.join(left, "left_post_id").join(right, "right_post_id")
+    key = ["batch_id", "cluster_no"]
+    wanted = pairs.select(*key, F.explode(F.array("left_post_id", "right_post_id")).alias("post_id")).distinct()
+    values = compute_once(posts.select("post_id", text.alias("_text")), "value", prepared(F.col("_text")) if prepared else F.col("_text"))
+    members = wanted.join(values.drop("_text"), "post_id").groupBy(*key).agg(F.collect_list(F.struct("post_id", "value")).alias("_members"))
+    asked = pairs.groupBy(*key).agg(F.collect_list(F.struct("left_post_id", "right_post_id")).alias("_pairs"))
+
+    def side(pair: Column, name: str) -> Column:
+        return F.filter("_members", lambda m: m["post_id"] == pair[name])
+
+    met = F.transform(
+        "_pairs",
+        lambda p: F.flatten(
+            F.transform(
+                side(p, "left_post_id"),
+                lambda a: F.transform(
+                    side(p, "right_post_id"),
+                    lambda b: F.struct(a["post_id"].alias("left_post_id"), b["post_id"].alias("right_post_id"), a["value"].alias("_left"), b["value"].alias("_right")),
+                ),
+            )
+        ),
+    )
+    scored = asked.join(members, key).select("batch_id", F.explode(F.flatten(met)).alias("p")).select("batch_id", "p.*")
     scored = compute_once(scored, "_judged", scorer(F.col("_left"), F.col("_right")))
     return scored.select("batch_id", "left_post_id", "right_post_id", "_judged.relationship", "_judged.confidence")

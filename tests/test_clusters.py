@@ -197,3 +197,23 @@ def test_exchanges_of_resolved_proposals(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange RoundRobin") <= 3
     assert plan.count("BroadcastExchange") <= 1
+
+
+def test_posts_are_prepared_once_and_meet_in_their_cluster(spark):
+    """Every pair is judged with both posts' values; a post with many pairs is prepared once and an unknown post has none."""
+    posts = spark.createDataFrame([(i, None if i % 2 else f"a{i}", f"b{i}") for i in range(1, 9)], "post_id bigint, normalized_text string, original_text string")
+    groups = [(1, 0, [1, 2, 3, 4]), (1, 1, [5, 6]), (2, 0, [7, 8, 99])]
+    pairs = [(b, c, x, y) for b, c, ids in groups for x, y in itertools.combinations(ids, 2)]
+    pairs = spark.createDataFrame(pairs, "batch_id bigint, cluster_no bigint, left_post_id bigint, right_post_id bigint")
+    done = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        done.add(1)
+        return text.upper()
+
+    scorer = lambda x, y: F.struct(F.concat_ws("-", x, y).alias("relationship"), F.lit(0.5).alias("confidence"))
+    got = C.judgments_from(pairs, posts, scorer, prepared=F.udf(count)).collect()
+    name = lambda i: f"B{i}" if i % 2 else f"A{i}"
+    expected = {(b, x, y, f"{name(x)}-{name(y)}", 0.5) for b, c, ids in groups for x, y in itertools.combinations(ids, 2) if y != 99}
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    assert done.value == 8
