@@ -331,13 +331,13 @@ def test_texts_come_to_workers_in_small_batches(spark):
     assert sum(found) == 5000 and max(found) <= 2000
 
 
-def test_small_batches_give_the_same_rows(spark, tokenizer):
+def test_small_batches_give_the_same_rows(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97}" for k in range(i % 120))) for i in range(900)], "doc_id bigint, text string")
     got = []
     for rows in ("10000", "7"):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
         figures = judge(docs, fit([f"{('w2 w3', 'w4 w5')[i % 2]} w{i}" for i in range(40)], np.arange(40) % 2)).drop("text")
-        read = read_documents(spark, write_tokens(docs, tokenizer, shards=2)).drop("shard")
+        read = read_documents(spark, write_tokens(docs, TOKENIZER, shards=2)).drop("shard")
         got.append((sorted(map(tuple, figures.collect())), sorted(map(tuple, read.collect()))))
     prepare(spark)
     assert got[0] == got[1]
