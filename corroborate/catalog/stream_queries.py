@@ -106,9 +106,12 @@ def _(v):
 
 
 def _landed(v, out, parts):
-    """A stream over tables that landed one after the other, a micro-batch for each."""
+    """A stream over tables that landed one after the other, a micro-batch for each.
+
+    A table is one file, but is made by as many tasks as it needs; only its few columns go to the task that writes it.
+    """
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(out)
+        part.repartition(1).write.mode("append").parquet(out)
     return v.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(out)
 
 

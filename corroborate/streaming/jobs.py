@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -190,21 +190,24 @@ class Leases(StatefulProcessor):
         self.handle = handle
         self.lease = handle.getValueState("lease", StructType([StructField("millis", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values("ts", kind="stable").iloc[-1]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.lease.clear()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = None
+        for row in rows:  # of equal instants the later row counts
+            if last is None or row["at"] >= last["at"]:
+                last = row
+        if self.lease.exists():  # a timer stands only beside a lease
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.lease.clear()
         if last["kind"] == "lease":
-            millis = 0 if pd.isna(last["leased_at"]) else int(last["leased_at"].timestamp() * 1000)
-            self.lease.update((millis,))
-            self.handle.registerTimer(millis + self.width)
+            self.lease.update((last["millis"],))
+            self.handle.registerTimer(last["millis"] + self.width)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.lease.exists():
             self.lease.clear()
-            yield pd.DataFrame({"post_id": [key[0]], "expired_at": [expiredTimerInfo.getExpiryTimeInMs()]})
+            yield Row(post_id=key[0], expired_at=expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -216,9 +219,13 @@ def requeue_stream(events: DataFrame, minutes: int = LIMITS.stale_minutes, delay
     ``events`` has post_id, ts, kind (``lease`` or anything that ends one) and
     leased_at. State is one instant for each leased post, cleared when the
     lease ends either way. A lease without an instant has run out already.
+    Posts have a row or two each, so rows are handled as they are: a data frame
+    for each post would cost more than its state.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return events.withWatermark("ts", delay).groupBy("post_id").transformWithStateInPandas(
+    millis = F.coalesce(F.unix_millis("leased_at"), F.lit(0)).alias("millis")
+    rows = events.withWatermark("ts", delay).select("post_id", "ts", F.unix_micros("ts").alias("at"), "kind", millis)
+    return rows.groupBy("post_id").transformWithState(
         statefulProcessor=Leases(minutes), outputStructType="post_id bigint, expired_at bigint", outputMode="Append", timeMode="EventTime"
     )
 

@@ -250,3 +250,19 @@ def test_rows_behind_the_watermark_are_counted_apart(spark, tmp_path):
         J.rate_stream(log, str(tmp_path / "out"), 10, once=True).awaitTermination()
     got = {r.window_start: (r.publications, r.late) for r in J.read_rates(spark, str(tmp_path / "out")).collect()}
     assert got == {T0 + dt.timedelta(minutes=m): n for m, n in {0: (4, 2), 5: (1, 0), 10: (1, 1), 35: (1, 0), 40: (2, 0)}.items()}
+
+
+def test_landed_tables_are_made_by_many_tasks(spark, tmp_path):
+    """A table that lands for one micro-batch is one file, but no single task makes all its rows."""
+    from types import SimpleNamespace
+
+    from corroborate.catalog.stream_queries import _landed
+
+    makers = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        makers.add(1)
+        yield from batches
+
+    _landed(SimpleNamespace(spark=spark), str(tmp_path / "in"), [spark.range(0, 40, 1, 4).mapInArrow(made, "id bigint")])
+    assert makers.value == 4 and len(list((tmp_path / "in").glob("*.parquet"))) == 1
