@@ -1,6 +1,9 @@
 import datetime as dt
 import json
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,3 +269,22 @@ def test_landed_tables_are_made_by_many_tasks(spark, tmp_path):
 
     _landed(SimpleNamespace(spark=spark), str(tmp_path / "in"), [spark.range(0, 40, 1, 4).mapInArrow(made, "id bigint")])
     assert makers.value == 4 and len(list((tmp_path / "in").glob("*.parquet"))) == 1
+
+
+STAMP = """
+import sys
+from corroborate.catalog.views import Views
+from corroborate.session import local_session, plan_stamp
+
+folder, shared, before = sys.argv[1:]
+spark = local_session("1", shared=shared)
+[spark._jvm.java.lang.Object().hashCode() for _ in range(int(before))]  # moves the random hashes of this session on
+print(plan_stamp(Views(spark, folder)._derive_posts()))
+"""
+
+
+def test_another_session_finds_the_derived_table(tmp_path):
+    """The place of a derived table follows from its rules, not from the session that writes it."""
+    root = str(Path(__file__).resolve().parents[1])
+    runs = [subprocess.run([sys.executable, "-c", STAMP, FOLDER, str(tmp_path), n], cwd=root, capture_output=True, text=True, check=True) for n in "036"]
+    assert len({run.stdout for run in runs}) == 1
