@@ -13,6 +13,7 @@ from corroborate.functions import html
 from corroborate.functions.timefn import is_stale
 from corroborate.operators import batches as B
 from corroborate.operators import posts as P
+from corroborate.operators.blocks import join_few
 from corroborate.session import shared_folder
 from corroborate.sources import envelopes as E
 from corroborate.sources import manifest as M
@@ -338,7 +339,7 @@ def _(v):
     d.sql("SELECT post_id FROM posts p JOIN sources s USING (source_id) WHERE processing_status = 'pending' AND contains(lower(s.name || ' ' || original_text || ' ' || normalized_text), 'tehran')"),
 )
 def _(v):
-    named = v.posts.join(v.sources.select("source_id", F.col("name").alias("source_name")), "source_id")
+    named = join_few(v.posts, v.sources.select("source_id", F.col("name").alias("source_name")), "source_id")
     return P.search_posts(named, "pending", " TEHRAN ").select("post_id")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corroborate.config import LIMITS
 from corroborate.functions.text import compact_report
 from corroborate.functions.timefn import window_end, window_start
-from corroborate.operators.blocks import id_block, number_rows, running_sum, time_block
+from corroborate.operators.blocks import id_block, join_few, number_rows, running_sum, time_block
 from corroborate.operators.posts import arrived_at, eligible
 from corroborate.session import cut_lineage
 
@@ -177,7 +177,7 @@ def pack_windows(
 
 def window_reports(posts: DataFrame, sources: DataFrame) -> DataFrame:
     """Posts that are neither deleted nor noise, with their window and the length of their compact report."""
-    named = posts.filter("not is_deleted and not is_noise").join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
+    named = join_few(posts.filter("not is_deleted and not is_noise"), sources.select("source_id", F.col("name").alias("source_name")), "source_id")
     seen = F.coalesce("published_at", "observed_at")
     return named.select(
         window_end(seen).alias("window_end"),

@@ -20,7 +20,7 @@ from corroborate.functions.text import (
     set_overlap,
     tokens,
 )
-from corroborate.operators.blocks import number_rows, running_sum, time_block, top_per_key
+from corroborate.operators.blocks import join_few, number_rows, running_sum, time_block, top_per_key
 from corroborate.operators.pointers import follow
 from corroborate.session import compute_once, cut_lineage
 
@@ -39,7 +39,7 @@ def attach_evidence(links: DataFrame, posts: DataFrame, sources: DataFrame) -> D
         first_non_empty(F.col("normalized_text"), F.col("original_text")).alias("text"),
     )
     profile = sources.select("source_id", "source_key", "name", "role", "priority_tier", "trust_score", "is_wire_origin")
-    return links.join(reports, "post_id").join(profile, "source_id")
+    return join_few(links.join(reports, "post_id"), profile, "source_id")
 
 
 def within_size_ratio(left: Column, right: Column, threshold: float) -> Column:

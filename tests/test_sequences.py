@@ -13,7 +13,7 @@ from corroborate.operators import blocks as K
 from corroborate.operators import editorial as X
 from corroborate.operators import evidence as V
 from corroborate.operators import quota as Q
-from corroborate.operators.batches import pack_windows
+from corroborate.operators.batches import pack_windows, window_reports
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -59,6 +59,27 @@ def test_values_of_a_narrow_range_fall_into_many_blocks(spark):
     assert (spread.samples, spread.median, spread.p95, spread.maximum) == (20_000, 9_999.5 / 20_000, 18_999 / 20_000, 19_999 / 20_000)
 
 
+def test_reports_are_not_dealt_out_by_their_few_sources(spark):
+    """A short table of sources is sent to the posts' tasks; a long one is shuffled, with the same result."""
+    posts = spark.range(400).select(
+        F.col("id").alias("post_id"), (F.col("id") % 3).alias("source_id"), F.lit(False).alias("is_deleted"), F.lit(False).alias("is_noise"),
+        F.timestamp_seconds(F.col("id") * 60).alias("published_at"), F.timestamp_seconds(F.col("id") * 60).alias("observed_at"),
+        F.repeat(F.lit("text "), F.col("id").cast("int")).alias("normalized_text"), F.lit("x").alias("original_text"),
+    )
+    sources = spark.range(2).select(F.col("id").alias("source_id"), F.concat(F.lit("Channel "), "id").alias("name"))
+    named = sources.select("source_id", F.col("name").alias("source_name"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")  # as where Spark does not know that the table is short
+    try:
+        reports, long = window_reports(posts, sources), K.join_few(posts, named, "source_id", most=1)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (reports, long)]
+    finally:
+        spark.conf.unset(threshold)
+    assert ["hashpartitioning(source_id" in plan for plan in plans] == [False, True]
+    assert sorted(long.select("post_id", "source_name").collect()) == sorted(K.join_few(posts, named, "source_id").select("post_id", "source_name").collect())
+    assert reports.count() == 267
+
+
 @pytest.mark.parametrize("block_rows", [32, 50, 4096])
 def test_window_packing_against_a_fold(spark, block_rows):
     rng = random.Random(block_rows)
