@@ -2,13 +2,17 @@
 
 import datetime as dt
 import random
+import time
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corroborate.config import Limits
 from corroborate.operators import quota as Q
 from corroborate.operators import similarity as S
+from corroborate.session import cut_lineage, stored
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -141,3 +145,53 @@ def test_a_set_travels_once_for_its_neighbourhood(spark):
         tokens = {i: set(t) for i, t in sets}
         assert found == {(a, b): len(tokens[a] & tokens[b]) / 380 for a in range(60) for b in range(a + 1, 60)} | {(100 + i, 101 + i): 0.5 for i in range(4)}
     assert S.checked_pairs(pairs.filter("false"), frame, 0.5).count() == 0
+
+
+def test_large_sets_with_a_rare_token_in_common_are_no_candidates(spark, monkeypatch):
+    """A few parities are all used up by large sets: then each rare token in common sent both sets to be compared."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(20_000)]
+    sets = [(i, ["rare", *rng.sample(words, 700 + 40 * (i % 5))]) for i in range(40)]
+    copies = [(100 + i, [*t[:-1 - i], f"n{i}"]) for i, t in sets[:10]]
+    frame = spark.createDataFrame(sets + copies, "id bigint, tokens array<string>")
+    asked = []
+    checked = S.checked_pairs
+    monkeypatch.setattr(S, "checked_pairs", lambda pairs, *rest: asked.extend(map(tuple, pairs.collect())) or checked(pairs, *rest))
+    found = {(r.left_id, r.right_id) for r in S.similar_sets(frame, 0.86).collect()}
+    assert found == set(asked) == {(i, 100 + i) for i in range(10)}
+
+
+def test_parities_bound_what_only_one_set_has(spark):
+    """Also between sets of different numbers of parities, which fold."""
+    rng = random.Random(9)
+    hashes = [[rng.randrange(-(2**63), 2**63) for _ in range(n)] for n in (300, 350, 400, 430, 780, 820, 1700, 1500)]
+    size = np.array([len(h) for h in hashes])
+    longs = S.parity_longs(size, 0.86)
+    assert list(longs) == [4, 4, 8, 8, 8, 16, 32, 16]
+    rows = []
+    for i, j, shared in ((2, 3, 390), (4, 5, 700), (7, 6, 1450), (0, 2, 250), (5, 6, 10)):
+        x, y = hashes[i], hashes[i][:shared] + hashes[j][shared:]
+        x, y = [[int(w) for w in S._parities(np.array(h), np.zeros(len(h), "int64"), 1, int(n))[0]] for h, n in ((x, longs[i]), (y, longs[j]))]
+        rows.append((x, y, len(hashes[i]) + len(hashes[j]) - 2 * shared))
+    frame = spark.createDataFrame(rows, "x array<bigint>, y array<bigint>, alone int")
+    got = [(r.n, r.m, r.alone) for r in frame.select(S._apart(F.col("x"), F.col("y")).alias("n"), S._apart(F.col("y"), F.col("x")).alias("m"), "alone").collect()]
+    assert all(n == m and n <= alone and (n - alone) % 2 == 0 for n, m, alone in got)
+    assert all(n > 0 for n, _, _ in got) and got[4][0] > 400
+
+
+def test_what_is_stored_leaves_no_shuffle_files(spark):
+    """Shuffle files of a step that was written stayed until the driver collected its garbage."""
+    def files():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for folder in folders for f in Path(folder).glob("*/shuffle_*")}
+
+    before = files()
+    rows = spark.range(1000).repartition(7, "id")
+    made = [stored(rows), cut_lineage(rows)]
+    left = set()
+    for _ in range(50):  # files go in the background
+        left = {f for f in files() - before if f.suffix == ".data"}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and [df.count() for df in made] == [1000, 1000]
