@@ -99,6 +99,36 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stored_meanwhile(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as ``stored``, for a step that needs it several times; the table is removed after the step."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    try:
+        with released_shuffles(spark):
+            df.write.option("compression", "zstd").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of tables that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is in a folder, none if there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def files_stamp(spark: SparkSession, path: str) -> str:
     """A name for the present content of a path: places, sizes and times of its files."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -151,8 +181,7 @@ def derived_table(spark: SparkSession, name: str, source: str, build: Callable[[
 
 def pieces(df: DataFrame) -> int:
     """In how many pieces of ``PIECE_BYTES`` the files of a table are dealt out, one for each core at least."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PIECE_BYTES))
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-table_bytes(df) // PIECE_BYTES))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corroborate.config import LIMITS, TRANSPORT
 from corroborate.functions import html as H
 from corroborate.functions.origin import cited_source
+from corroborate.operators.blocks import join_few
 from corroborate.schemas import PAGES
 
 MAX_MESSAGE_ID = 9_007_199_254_740_991
@@ -92,10 +93,10 @@ def update_type(message_id: Column, last_seen: Column) -> Column:
 
 
 def to_envelopes(changed: DataFrame, sources: DataFrame) -> DataFrame:
-    """Changed posts as ingest envelopes."""
+    """Changed posts as ingest envelopes; a registry that is not large is broadcast, so texts are not dealt out by source."""
     cursors = sources.select("source_id", "last_seen_message_id", "language")
     return (
-        changed.join(cursors, "source_id", "left")
+        join_few(changed, cursors, "source_id", "left")
         .withColumn("update_type", update_type(F.col("message_id"), F.col("last_seen_message_id")))
         .withColumn("schema_version", F.lit(1))
         .withColumn("transport", F.lit(TRANSPORT))

@@ -5,6 +5,9 @@ overwrites what is being read: a version's rows go to a folder of their own,
 and a small head table (one row for each bucket) says which version holds each
 bucket. The head is one file, written last, so a merge that broke off leaves
 the store as it was, and repeating a version starts from the one before it.
+A merge first removes the rows that the version before it does not hold: only
+two versions are on disk at once. Large merges go through the buckets in
+``SHARES`` rounds, so only a share of the posts is shuffled at once.
 """
 
 from __future__ import annotations
@@ -15,8 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corroborate.operators.blocks import previous_value
+from corroborate.operators.blocks import join_few, previous_value
 from corroborate.operators.posts import KEY, upsert_raw_posts
+from corroborate.session import cut_lineage, folders, released_shuffles, remove, stored_meanwhile, table_bytes
+
+#: Rounds in which a large merge goes through its buckets.
+SHARES = 4
+#: Bytes of files from which a merge is large.
+LARGE_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -49,19 +58,41 @@ class PostStore:
             return spark.createDataFrame([], self.schema)
         return spark.read.schema(self.schema).parquet(*folders)
 
-    def write(self, posts: DataFrame, version: int, before: dict[int, int]) -> None:
-        """Rows of the version's buckets, then the head that makes them count."""
-        spark = posts.sparkSession
-        rows = f"{self.path}/rows/version={version}"
-        placed = posts.select(*self.schema.names, self.bucket().alias("bucket"))
-        placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(rows)
-        written = spark.read.schema("bucket int").option("basePath", rows).parquet(rows).select("bucket").distinct()
-        heads = {**before, **{r["bucket"]: version for r in written.collect()}}
-        frame = spark.createDataFrame(sorted(heads.items()), "bucket int, holds int")
+    def write(self, posts: DataFrame, version: int) -> None:
+        """Rows added to a version's buckets; they count once the head says so."""
+        placed = posts.select(*self.schema.names, self.bucket().alias("bucket")).repartition("bucket")
+        with released_shuffles(posts.sparkSession):
+            placed.write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/rows/version={version}")
+
+    def head(self, spark: SparkSession, version: int, holds: dict[int, int]) -> None:
+        frame = spark.createDataFrame(sorted(holds.items()), "bucket int, holds int")
         frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/heads/version={version}")
 
+    def forget(self, spark: SparkSession, before: int | None = None) -> None:
+        """Remove what the store does not hold: rows of older versions, and all of those from ``before`` on.
+
+        Nothing may read the removed versions any more.
+        """
+        held = {(v, b) for b, v in self.heads(spark, before).items()}
+        heads = sorted(int(name.split("=")[1]) for name in folders(spark, f"{self.path}/heads") if "=" in name)
+        last = max((h for h in heads if before is None or h < before), default=None)
+        for version in reversed(heads):  # a head goes before the rows it names
+            if version != last:
+                remove(spark, f"{self.path}/heads/version={version}")
+        for version in folders(spark, f"{self.path}/rows"):
+            rows = f"{self.path}/rows/{version}"
+            kept = {f"bucket={b}" for v, b in held if version == f"version={v}"}
+            for bucket in folders(spark, rows) if kept else []:
+                if bucket not in kept:
+                    remove(spark, f"{rows}/{bucket}")
+            if not kept:
+                remove(spark, rows)
+
     def create(self, posts: DataFrame) -> PostStore:
-        self.write(posts, 0, {})
+        spark = posts.sparkSession
+        self.forget(spark, 0)
+        self.write(posts, 0)
+        self.head(spark, 0, {int(name.split("=")[1]): 0 for name in folders(spark, f"{self.path}/rows/version=0") if "=" in name})
         return self
 
     def merge(self, envelopes: DataFrame, version: int, changed_only: bool = False) -> None:
@@ -71,18 +102,42 @@ class PostStore:
         from the one before it, or from the stored one. Running a version again replaces it.
         """
         spark = envelopes.sparkSession
+        self.forget(spark, version)
         before = self.heads(spark, version)
-        touched = [r["bucket"] for r in envelopes.select(self.bucket().alias("bucket")).distinct().collect()]
-        current = self.read(spark, touched, version)
-        if changed_only:
-            envelopes = changed_against(current, envelopes)
+        placed = envelopes.withColumns({"bucket": self.bucket(), "_row": F.monotonically_increasing_id()})
+        with stored_meanwhile(placed) as landed:
+            if not changed_only:
+                self._merge(landed, version, before)
+                return
+            same = cut_lineage(unchanged(self.read(spark, self._touched(landed), version), landed))
+            if same.isEmpty():
+                self._merge(landed, version, before)
+                return
+            with stored_meanwhile(join_few(landed, same, "_row", "left_anti")) as changed:
+                self._merge(changed, version, before)
+
+    def _touched(self, placed: DataFrame) -> list[int]:
+        return sorted(r["bucket"] for r in placed.select("bucket").distinct().collect())
+
+    def _merge(self, placed: DataFrame, version: int, before: dict[int, int]) -> None:
+        spark, touched = placed.sparkSession, self._touched(placed)
+        large = touched and table_bytes(placed) + table_bytes(self.read(spark, touched, version)) > LARGE_BYTES
+        shares = min(SHARES, len(touched)) if large else 1
+        for share in range(shares):
+            own = touched[share::shares]
+            rows = placed.filter(F.col("bucket").isin(own)).drop("bucket", "_row")
+            self.write(upsert_raw_posts(self.read(spark, own, version), rows), version)
         if touched:
-            self.write(upsert_raw_posts(current, envelopes), version, before)
+            self.head(spark, version, {**before, **dict.fromkeys(touched, version)})
+
 
+def unchanged(current: DataFrame, placed: DataFrame) -> DataFrame:
+    """B2: ``_row`` of envelopes whose fingerprint is that of the envelope before, the first ones' that of the stored post.
 
-def changed_against(current: DataFrame, envelopes: DataFrame) -> DataFrame:
-    """B2: envelopes whose fingerprint differs from that of the envelope before, the first ones from the stored post."""
-    rows = previous_value(envelopes, KEY, ["seq"], F.floor(F.col("seq") / 60_000_000), F.col("content_hash"), "_before")
+    Only keys and fingerprints are moved for that, no texts.
+    """
+    rows = placed.select(*KEY, "seq", "content_hash", "_row")
+    rows = previous_value(rows, KEY, ["seq", "_row"], F.floor(F.col("seq") / 60_000_000), F.col("content_hash"), "_before")
     stored = current.select(*KEY, F.col("content_hash").alias("_stored"))
     rows = rows.join(stored, KEY, "left")
-    return rows.filter(~F.col("content_hash").eqNullSafe(F.coalesce("_before", "_stored"))).drop("_before", "_stored")
+    return rows.filter(F.col("content_hash").eqNullSafe(F.coalesce("_before", "_stored"))).select("_row")

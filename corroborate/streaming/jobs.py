@@ -23,7 +23,7 @@ from corroborate.functions.timefn import day_key
 from corroborate.operators.posts import normalize_posts, upsert_raw_posts
 from corroborate.operators.quota import admit_calls
 from corroborate.schemas import PAGES
-from corroborate.session import stored
+from corroborate.session import cut_lineage
 from corroborate.sources.pages import cap_pages, page_warnings, parse_pages, to_envelopes
 from corroborate.sources.store import PostStore
 
@@ -127,11 +127,11 @@ def store_stream(pages: DataFrame, sources: DataFrame, store: PostStore, out: st
     buckets of its own messages. A batch that broke off is run again by the
     stream and starts from the version before it.
     """
+    sources = cut_lineage(sources)  # every batch needs them
 
     def ingest(rows: DataFrame, batch_id: int) -> None:
         posts = parse_pages(rows).withColumn("seq", F.unix_micros("observed_at"))
-        envelopes = stored(to_envelopes(posts, sources))  # read several times by the merge, so pages are parsed once
-        store.merge(envelopes, batch_id + 1, changed_only=True)
+        store.merge(to_envelopes(posts, sources), batch_id + 1, changed_only=True)
         page_warnings(rows).drop("html").write.mode("overwrite").parquet(f"{out}/quarantine/batch_id={batch_id}")
 
     return per_batch(pages, ingest, f"{out}/_checkpoints/store", once)

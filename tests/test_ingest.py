@@ -14,6 +14,8 @@ from corroborate.sources import manifest as M
 from corroborate.sources import pages as G
 from corroborate.sources import registry as R
 from corroborate.sources import sinks as S
+from corroborate.session import shared_folder
+from corroborate.sources import store as store_module
 from corroborate.sources.store import PostStore
 from corroborate.streaming import jobs as J
 
@@ -226,6 +228,39 @@ def test_a_broken_merge_leaves_the_store_and_can_be_repeated(spark, tmp_path, mo
     assert store.read(spark).exceptAll(expected).count() == 0 and store.read(spark).count() == expected.count()
 
 
+@pytest.mark.parametrize("large_bytes", [0, 1 << 40])
+def test_a_store_keeps_two_versions_and_no_step(spark, tmp_path, monkeypatch, large_bytes):
+    """Older versions and the stored envelopes of each merge stayed on disk; rounds over buckets give the same rows."""
+    monkeypatch.setattr(store_module, "LARGE_BYTES", large_bytes)
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    v = Views(spark, FOLDER)
+    store = PostStore(str(tmp_path / "store"), v.stored_posts.schema, buckets=6)
+    expected, steps = v.stored_posts.filter("false"), set(shared.glob("stored-*"))
+    for version in (1, 2, 2, 3, 4):
+        log = v.envelopes.filter(F.col("seq") % 4 == version - 1)
+        store.merge(log, version)
+        assert {p.name for p in (tmp_path / "store" / "rows").iterdir()} <= {f"version={n}" for n in (version - 1, version)}
+    for version in (1, 2, 3, 4):
+        expected = P.upsert_raw_posts(expected, v.envelopes.filter(F.col("seq") % 4 == version - 1))
+    got = store.read(spark)
+    assert got.exceptAll(expected).count() == 0 and got.count() == expected.count() > 0
+    assert set(shared.glob("stored-*")) == steps
+    store.forget(spark)
+    assert [p.name for p in (tmp_path / "store" / "rows").iterdir()] == ["version=4"] and store.read(spark).count() == got.count()
+
+
+def test_a_first_merge_can_be_repeated(spark, tmp_path):
+    v = Views(spark, FOLDER)
+    store = PostStore(str(tmp_path / "store"), v.stored_posts.schema, buckets=4)
+    log = v.envelopes.filter("seq < 300")
+    for _ in range(2):
+        store.merge(log, 1, changed_only=True)
+    assert store.read(spark).count() == log.select("source_id", "message_id").distinct().count()
+    store.merge(log.filter("seq < 0"), 2, changed_only=True)  # an empty micro-batch
+    store.merge(v.envelopes.filter("seq = 299"), 3, changed_only=True)
+    assert set(store.heads(spark).values()) == {1}  # nothing has changed
+
+
 def test_pages_stream_into_the_store(spark, tmp_path):
     v = Views(spark, FOLDER)
     store = PostStore(str(tmp_path / "store"), v.stored_posts.schema, buckets=8)
