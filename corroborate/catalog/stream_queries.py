@@ -15,7 +15,7 @@ from corroborate.catalog.views import BASE, now
 from corroborate.functions import sql as S
 from corroborate.functions.text import let, set_overlap, tokens
 from corroborate.operators import clusters as C
-from corroborate.session import pieces, released_shuffles, remove, shared_folder
+from corroborate.session import pieces, released_shuffles, remove, shared_folder, stored_meanwhile
 from corroborate.streaming import jobs as J
 
 
@@ -95,8 +95,8 @@ def _(v):
     files = -(-pieces(v.table("documents")) // 2)  # of one micro-batch; a landing is two
 
     def land(pages):
-        with released_shuffles(v.spark):
-            pages.repartition(2 * files, "url").write.mode("append").option("compression", "zstd").parquet(f"{out}/pages")
+        with stored_meanwhile(pages) as made, released_shuffles(v.spark):  # pages are made and dealt out one after the other
+            made.repartition(2 * files, "url").write.mode("append").option("compression", "zstd").parquet(f"{out}/pages")
         J.store_stream(J.page_stream(v.spark, f"{out}/pages", files), v.sources, store, out, once=True).awaitTermination()
         remove(v.spark, f"{out}/pages")  # all of them are in the store
         store.forget(v.spark)

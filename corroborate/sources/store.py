@@ -7,25 +7,29 @@ bucket. The head is one file, written last, so a merge that broke off leaves
 the store as it was, and repeating a version starts from the one before it.
 A merge first removes the rows that the version before it does not hold: only
 two versions are on disk at once. Large merges go through the buckets in
-``SHARES`` rounds, so only a share of the posts is shuffled at once.
+rounds, so only a share of the posts is shuffled at once.
 """
 
 from __future__ import annotations
 
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from corroborate.functions.text import trim_spaces
 from corroborate.operators.blocks import join_few, previous_value
 from corroborate.operators.posts import KEY, upsert_raw_posts
 from corroborate.session import cut_lineage, folders, released_shuffles, remove, stored_meanwhile, table_bytes
 
-#: Rounds in which a large merge goes through its buckets.
-SHARES = 4
-#: Bytes of files from which a merge is large.
-LARGE_BYTES = 64 << 20
+#: Rounds in which a merge goes through its buckets, at most.
+SHARES = 8
+#: Bytes of files that are merged in one round, unless the rounds are used up.
+ROUND_BYTES = 128 << 20
+#: Set where a row's clean text is its trimmed text: most are, and are written once.
+TRIMMED = "_trimmed"
 
 
 @dataclass(frozen=True)
@@ -53,14 +57,18 @@ class PostStore:
     def read(self, spark: SparkSession, buckets: list[int] | None = None, before: int | None = None) -> DataFrame:
         """Stored posts, all or those of some buckets; the folders of other buckets are not opened."""
         held = {b: v for b, v in self.heads(spark, before).items() if buckets is None or b in buckets}
-        folders = [f"{self.path}/rows/version={v}/bucket={b}" for b, v in sorted(held.items())]
-        if not folders:
+        found = [f"{self.path}/rows/version={v}/bucket={b}" for b, v in sorted(held.items())]
+        if not found:
             return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(*folders)
+        rows = spark.read.schema(StructType([*self.schema.fields, StructField(TRIMMED, BooleanType())])).parquet(*found)
+        clean = F.when(F.col(TRIMMED), trim_spaces(F.col("original_text"))).otherwise(F.col("normalized_text"))
+        return rows.withColumn("normalized_text", clean).select(*self.schema.names)
 
     def write(self, posts: DataFrame, version: int) -> None:
         """Rows added to a version's buckets; they count once the head says so."""
         placed = posts.select(*self.schema.names, self.bucket().alias("bucket")).repartition("bucket")
+        trimmed = F.col("normalized_text").eqNullSafe(trim_spaces(F.col("original_text")))
+        placed = placed.withColumn(TRIMMED, trimmed).withColumn("normalized_text", F.when(~F.col(TRIMMED), F.col("normalized_text")))
         with released_shuffles(posts.sparkSession):
             placed.write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/rows/version={version}")
 
@@ -105,24 +113,22 @@ class PostStore:
         self.forget(spark, version)
         before = self.heads(spark, version)
         placed = envelopes.withColumns({"bucket": self.bucket(), "_row": F.monotonically_increasing_id()})
-        with stored_meanwhile(placed) as landed:
-            if not changed_only:
-                self._merge(landed, version, before)
-                return
-            same = cut_lineage(unchanged(self.read(spark, self._touched(landed), version), landed))
-            if same.isEmpty():
-                self._merge(landed, version, before)
-                return
-            with stored_meanwhile(join_few(landed, same, "_row", "left_anti")) as changed:
-                self._merge(changed, version, before)
+        with ExitStack() as after:
+            with stored_meanwhile(placed) as landed:
+                same = cut_lineage(unchanged(self.read(spark, self._touched(landed), version), landed)) if changed_only else None
+                if same is None or same.isEmpty():
+                    self._merge(landed, version, before)
+                    return
+                changed = after.enter_context(stored_meanwhile(join_few(landed, same, "_row", "left_anti")))
+            self._merge(changed, version, before)  # what landed is gone by now
 
     def _touched(self, placed: DataFrame) -> list[int]:
         return sorted(r["bucket"] for r in placed.select("bucket").distinct().collect())
 
     def _merge(self, placed: DataFrame, version: int, before: dict[int, int]) -> None:
         spark, touched = placed.sparkSession, self._touched(placed)
-        large = touched and table_bytes(placed) + table_bytes(self.read(spark, touched, version)) > LARGE_BYTES
-        shares = min(SHARES, len(touched)) if large else 1
+        size = table_bytes(placed) + table_bytes(self.read(spark, touched, version))
+        shares = min(SHARES, max(1, len(touched)), 1 + size // ROUND_BYTES)
         for share in range(shares):
             own = touched[share::shares]
             rows = placed.filter(F.col("bucket").isin(own)).drop("bucket", "_row")

@@ -228,10 +228,10 @@ def test_a_broken_merge_leaves_the_store_and_can_be_repeated(spark, tmp_path, mo
     assert store.read(spark).exceptAll(expected).count() == 0 and store.read(spark).count() == expected.count()
 
 
-@pytest.mark.parametrize("large_bytes", [0, 1 << 40])
-def test_a_store_keeps_two_versions_and_no_step(spark, tmp_path, monkeypatch, large_bytes):
+@pytest.mark.parametrize("round_bytes", [1, 1 << 40])
+def test_a_store_keeps_two_versions_and_no_step(spark, tmp_path, monkeypatch, round_bytes):
     """Older versions and the stored envelopes of each merge stayed on disk; rounds over buckets give the same rows."""
-    monkeypatch.setattr(store_module, "LARGE_BYTES", large_bytes)
+    monkeypatch.setattr(store_module, "ROUND_BYTES", round_bytes)
     shared = Path(shared_folder(spark).removeprefix("file:"))
     v = Views(spark, FOLDER)
     store = PostStore(str(tmp_path / "store"), v.stored_posts.schema, buckets=6)
@@ -249,6 +249,19 @@ def test_a_store_keeps_two_versions_and_no_step(spark, tmp_path, monkeypatch, la
     assert [p.name for p in (tmp_path / "store" / "rows").iterdir()] == ["version=4"] and store.read(spark).count() == got.count()
 
 
+def test_clean_texts_that_are_trimmed_texts_are_written_once(spark, tmp_path):
+    v = Views(spark, FOLDER)
+    texts = {1: (" a ", "a"), 2: (" a ", "b"), 3: ("a", None), 4: (None, None), 5: (None, "c"), 6: ("", "")}
+    pick = lambda k: F.create_map(*[x for i, t in texts.items() for x in (F.lit(i), F.lit(t[k]).cast("string"))])[F.col("message_id").cast("int")]
+    posts = v.stored_posts.limit(1).drop("message_id").crossJoin(spark.range(1, 7).withColumnRenamed("id", "message_id"))
+    posts = posts.withColumns({"original_text": pick(0), "normalized_text": pick(1)}).select(*v.stored_posts.columns)
+    store = PostStore(str(tmp_path / "store"), posts.schema, buckets=4).create(posts)
+    assert {r.message_id: (r.original_text, r.normalized_text) for r in store.read(spark).collect()} == texts
+    assert store.read(spark).schema.names == posts.schema.names
+    written = spark.read.parquet(str(tmp_path / "store" / "rows"))
+    assert {r.message_id for r in written.filter("normalized_text is not null").collect()} == {2, 5}
+
+
 def test_a_first_merge_can_be_repeated(spark, tmp_path):
     v = Views(spark, FOLDER)
     store = PostStore(str(tmp_path / "store"), v.stored_posts.schema, buckets=4)
